@@ -29,6 +29,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.llm.exprs import let
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 NEAR, KEEP = 40, 0.5
@@ -53,11 +55,6 @@ RAISE = 0.2
 _WIDE = 256
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def running_starts(lengths: Column) -> Column:
     """Exclusive running sums of an array of longs, by blocks so that long arrays stay cheap.
 
