@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, fingerprints, language, mixing, pii, sharding, substring_dedup
+from tessera.llm import bpe, chat, fingerprints, jaccard_join, language, mixing, pii, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.drop_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_texts(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -66,8 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_mixing": op4_mixing,
     "op5_substring": op5_substring,
+    "op6_jaccard": op6_jaccard,
     "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL}
