@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, fingerprints, jaccard_join, language, mixing, pii, sharding, substring_dedup
+from tessera.llm import bpe, chat, fingerprints, jaccard_join, language, mixing, neighbours, pii, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(table(spark, sf_dir, "documents"))
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "languages")
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_jaccard": op6_jaccard,
     "op7_pii": op7_pii,
     "op8_fingerprints": op8_fingerprints,
+    "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
 }
 ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL}
