@@ -232,16 +232,30 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     return nodes, links
 
 
-def join_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable), and txt, the text's hash."""
+def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """doc_id, txt (the text's hash), n (shingles), root (the same for all of a component)."""
     stage = Stage(df.sparkSession, "jaccard")
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("txt"), F.col(text).alias("text"))
     nodes, links = link_nodes(docs, stage, percent)
     roots = components(stage.put("links", links), stage, "joined")
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.join(roots, "node", "left").select("doc_id", "txt", "n", F.coalesce("root", "node").alias("root"))
+
+
+def join_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable)."""
+    placed = grouped(df, doc_id, text, percent)
     least = placed.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = placed.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "txt")
+    return placed.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``df``, of each component only the one of least id; texts without words all stay."""
+    placed = grouped(df, doc_id, text, percent)
+    kept = placed.filter("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "txt")).alias("k")).select(F.col("k.doc_id").alias("keep_id"), F.col("k.txt").alias("keep_txt"))
+    wordless = F.coalesce(F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")), F.lit(0)) == 0
+    rows = df.withColumn("keep_txt", F.xxhash64(text))
+    full = rows.filter(~wordless).join(kept, (F.col(doc_id).eqNullSafe(F.col("keep_id"))) & (rows.keep_txt == kept.keep_txt)).dropDuplicates(["keep_id", text]).select(*(rows[c] for c in df.columns))
+    return full.unionByName(rows.filter(wordless).select(df.columns))
 
 
 ORACLE_SQL = r"""

@@ -50,7 +50,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     """doc_id, size, source, source_size, target, taken, and the word ranges taken in each pass."""
     stage = Stage(df.sparkSession, "mixing")
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = stage.put("rows", df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h")))
+    rows = stage.put("rows", df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), F.xxhash64(text).alias("txt")))
     goal = stage.put("targets", targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
     block = F.greatest(F.ceil(share * F.col("total") / BLOCKS), F.lit(1)).cast("long")
     goal = goal.withColumn("block", block)
@@ -76,14 +76,30 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(F.broadcast(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
-    inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size", "txt").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r").join(cells.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.cell") == F.col("c.cell")))
-    placed = placed.select("doc_id", "r.source", "size", "source_size", "target", "idx", "block", (F.col("base") + F.col("inner")).alias("start"))
+    placed = placed.select("doc_id", "txt", "r.source", "size", "source_size", "target", "idx", "block", (F.col("base") + F.col("inner")).alias("start"))
     first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
     cut = placed.withColumn("blk", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
     low = F.greatest(F.col("start"), F.col("blk") * F.col("block")) - F.col("start")
     high = F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * F.col("block")) - F.col("start")
     got = cut.join(F.broadcast(chosen), ["idx", "blk"], "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("span", F.struct(low.alias("low"), high.alias("high"), F.col("times").alias("times"))).withColumn("words", F.when(F.col("times") > 0, F.col("times") * (high - low)).otherwise(F.lit(0)))
-    whole = got.filter((F.col("blk") == first) & (F.col("blk") == last) | (F.col("size") == 0)).select("doc_id", "source", "size", "source_size", "target", F.col("words").alias("taken"), F.array("span").alias("spans"))
-    split = got.filter((F.col("blk") >= 0) & (first < last)).groupBy("doc_id", "source", "size", "source_size", "target", "start", "idx").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
+    whole = got.filter((F.col("blk") == first) & (F.col("blk") == last) | (F.col("size") == 0)).select("doc_id", "txt", "source", "size", "source_size", "target", F.col("words").alias("taken"), F.array("span").alias("spans"))
+    split = got.filter((F.col("blk") >= 0) & (first < last)).groupBy("doc_id", "txt", "source", "size", "source_size", "target", "start", "idx").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     return whole.unionByName(split.select(whole.columns))
+
+
+def take_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: rows of ``df`` with the taken part of their text, once a pass.
+
+    A document taken whole keeps its text; of others the taken words stay, joined by blanks.
+    """
+    placed = mix(df, doc_id=doc_id, text=text, source=source, **options).filter("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("txt").alias("mix_txt"), F.col("size").alias("mix_size"), F.col("spans").alias("mix_spans"))
+    rows = df.withColumn("mix_txt", F.xxhash64(text)).dropDuplicates([doc_id, "mix_txt"])
+    got = rows.join(placed, rows[doc_id].eqNullSafe(placed.mix_id) & (rows.mix_txt == placed.mix_txt)).drop("mix_txt", "mix_id")
+    most = F.array_max(F.transform("mix_spans", lambda s: s["times"])).cast("int")
+    got = got.withColumn("mix_pass", F.explode(F.sequence(F.lit(1), most)))
+    cover = F.filter("mix_spans", lambda s: s["times"] >= F.col("mix_pass"))
+    words = F.aggregate(cover, F.lit(0).cast("long"), lambda acc, s: acc + s["high"] - s["low"])
+    part = F.array_join(F.flatten(F.transform(cover, lambda s: F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
+    return got.withColumn(text, F.when(words == F.col("mix_size"), F.col(text)).otherwise(part)).select(df.columns)
