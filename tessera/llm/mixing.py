@@ -103,3 +103,28 @@ def take_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
     words = F.aggregate(cover, F.lit(0).cast("long"), lambda acc, s: acc + s["high"] - s["low"])
     part = F.array_join(F.flatten(F.transform(cover, lambda s: F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), (s["low"] + 1).cast("int"), (s["high"] - s["low"]).cast("int")))), " ")
     return got.withColumn(text, F.when(words == F.col("mix_size"), F.col(text)).otherwise(part)).select(df.columns)
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents
+), g0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+), g1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM g0
+), g2 AS (SELECT *, CAST([5, 2, 1][idx % 3 + 1] AS DOUBLE) AS weight, 2.0::DOUBLE * source_size AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM g1
+), g3 AS (
+  SELECT *, (1.5::DOUBLE * total - coalesce(sum(cap) OVER (ORDER BY cap / weight, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(weight) OVER (ORDER BY cap / weight, idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM g2
+), g4 AS (SELECT first(lvl ORDER BY cap / weight, idx) AS lvl FROM g3 WHERE cap / weight > lvl
+), g AS (
+  SELECT source, source_size, idx, total, least(cap, coalesce(g4.lvl * weight, cap)) AS target, CAST(greatest(ceil(1.5::DOUBLE * total / 16384), 1) AS BIGINT) AS block FROM g3 LEFT JOIN g4 ON true
+), s0 AS (SELECT idx, block, target, total, unnest(range(0, CAST(ceil(target / block) AS BIGINT) + 2)) AS k FROM g WHERE target > 0
+), s AS (SELECT idx, k, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, idx, k) - 1 AS seat, total, block FROM s0 QUALIFY seat < round(1.5::DOUBLE * total / block)
+), b0 AS (SELECT idx, unnest(range(0, CAST(ceil(source_size / block::DOUBLE) AS BIGINT))) AS blk, CAST(ceil(source_size / block::DOUBLE) AS BIGINT) AS n FROM g WHERE source_size > 0
+), b AS (SELECT idx, blk, n, row_number() OVER (PARTITION BY idx ORDER BY md5('mix:' || idx || ':' || blk), blk) - 1 AS j FROM b0
+), c AS (SELECT b.idx, b.blk, count(*) AS times FROM b CROSS JOIN (SELECT unnest([0, 1]) AS pass) p JOIN s ON s.idx = b.idx AND s.k = p.pass * b.n + b.j GROUP BY b.idx, b.blk
+), r AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, g.idx, g.block, CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS BIGINT) AS st FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), t AS (
+  SELECT r.doc_id, r.st, r.idx, sum(c.times * (least(st + size, (c.blk + 1) * block) - greatest(st, c.blk * block))) AS taken FROM r JOIN c ON c.idx = r.idx AND c.blk * block < st + size AND (c.blk + 1) * block > st WHERE size > 0 GROUP BY 1, 2, 3
+)
+SELECT r.doc_id, CAST(r.size AS BIGINT) AS size, r.source_size, r.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken FROM r LEFT JOIN t ON t.doc_id IS NOT DISTINCT FROM r.doc_id AND t.st = r.st AND t.idx = r.idx AND r.size > 0
+"""

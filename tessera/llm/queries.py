@@ -80,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_substring": substring_dedup.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL}

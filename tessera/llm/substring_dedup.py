@@ -213,3 +213,17 @@ def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", larg
     spans = stage.put("spans", spans_to_drop(docs, stage, large))
     joined = docs.join(spans, ["doc", "txt"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_rewrite, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), p AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS p FROM d
+), k AS (SELECT doc_id, p, sha256(array_to_string(w[p + 1:p + 50], ' ')) AS k FROM p
+), f AS (SELECT k, min(doc_id) AS first_id FROM k GROUP BY k
+), x AS (SELECT DISTINCT doc_id, unnest(range(k.p, k.p + 50)) AS i FROM k JOIN f USING (k) WHERE doc_id > first_id
+), e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d
+), o AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) FILTER (x.i IS NULL) AS kept, count(x.i) AS gone FROM e LEFT JOIN x ON x.doc_id = e.doc_id AND x.i = e.i GROUP BY e.doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(o.gone, 0) AS n_removed, sha256(coalesce(o.kept, '')) AS kept_sha256 FROM d LEFT JOIN o ON o.doc_id = d.doc_id
+"""
