@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def live_counts(chunks: DataFrame) -> DataFrame:
@@ -123,11 +123,8 @@ def sample_stats(df: DataFrame, value: str) -> DataFrame:
     """
     counts = df.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     total = df.agg(F.count("*").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
-    at = total.first()["n"] // 2 if total.first() else 0
-    from pyspark.sql import Window
-
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    median = upto.filter(F.col("upto") > at).agg(F.min("v").alias("median"))
+    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).crossJoin(F.broadcast(total.select(F.col("n").alias("total"))))
+    median = upto.filter(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("v").alias("median"))
     return total.crossJoin(F.broadcast(median))
 
 

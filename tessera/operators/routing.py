@@ -166,7 +166,7 @@ def daily_budget(requests: DataFrame, limit: int = DAILY_UNITS, by: list[str] |
 
 def preferred_model(tasks: DataFrame, preferences: DataFrame, available: DataFrame) -> DataFrame:
     """First preference of a task that an available model's name contains.  Dimension tables."""
-    hit = tasks.join(preferences, "task").join(F.broadcast(available), F.contains(F.col("model"), F.col("pattern")))
+    hit = tasks.join(preferences, "task").join(available, F.contains(F.col("model"), F.col("pattern")))
     return hit.groupBy("task").agg(F.min_by("model", F.struct("rank", "model")).alias("model"))
 
 
@@ -174,7 +174,7 @@ def capabilities(models: DataFrame, registry: DataFrame) -> DataFrame:
     """Registered capabilities, else by the model's name."""
     n = F.lower("model")
     guess = F.when(F.contains(n, F.lit("code")), F.array(F.lit("code"), F.lit("chat"))).when(F.contains(n, F.lit("embed")), F.array(F.lit("embedding"))).when(F.contains(n, F.lit("vision")) | F.contains(n, F.lit("llava")), F.array(F.lit("vision"), F.lit("chat"))).otherwise(F.array(F.lit("chat")))
-    return models.join(F.broadcast(registry), "model", "left").withColumn("capabilities", F.coalesce("capabilities", guess))
+    return models.join(registry, "model", "left").withColumn("capabilities", F.coalesce("capabilities", guess))
 
 
 def messages(system: Column, prompt: Column, provider: str) -> Column:

@@ -24,11 +24,12 @@ def select_within(df: DataFrame, budget: int, by: str | None = None, min_score:
     with ``by`` queries are spread over the cluster.
     """
     key = [by] if by else []
-    judged = df.withColumn("_ok", F.col("score") >= min_score)
-    best = F.max(F.struct("density", F.negative("tokens"), F.negative("id"))).over(Window.partitionBy(*key))
-    none = ~F.max("_ok").over(Window.partitionBy(*key))
-    usable = judged.withColumn("_first", best == F.struct("density", F.negative("tokens"), F.negative("id"))).withColumn("_none", none)
-    usable = usable.filter(F.when(F.col("_none"), F.col("_first")).otherwise(F.col("_ok") & ((F.col("tokens") <= budget * OVERAGE) | F.col("_first"))))
+    order = F.struct("density", F.negative("tokens"), F.negative("id"))
+    judged = df.select(*key, "id", "path", "score", "tokens", "density").withColumn("_ok", F.col("score") >= min_score)
+    best = judged.groupBy(*key).agg(F.max(order).alias("_best"), (~F.max("_ok")).alias("_none"))
+    both = judged.join(best, key) if key else judged.crossJoin(F.broadcast(best))  # without a key one row
+    both = both.withColumn("_first", F.col("_best") == order)
+    usable = both.filter(F.when(F.col("_none"), F.col("_first")).otherwise(F.col("_ok") & ((F.col("tokens") <= budget * OVERAGE) | F.col("_first"))))
     lead = F.when(F.row_number().over(Window.partitionBy(*key, "path").orderBy(F.desc("score"), F.desc("density"), "id")) == 1, 0).otherwise(1) if diversity else F.lit(0)
     row = F.struct(lead.alias("later"), F.negative("density").alias("minus"), "tokens", "id", "path", "score", "density")
     item_type = "array<struct<later:int,minus:double,tokens:bigint,id:bigint,path:string,score:double,density:double>>"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.functions import text
 
@@ -78,9 +78,8 @@ def explain_usage(chunks: DataFrame, symbol: str) -> DataFrame:
     """Chunks that define or mention a symbol; the first of them is the definition."""
     rx = rf"(?i)\b{re.escape(symbol)}\b"
     hit = chunks.filter(F.array_contains("symbols", symbol) | F.col("content").rlike(rx))
-    defines = F.array_contains("symbols", symbol)
-    first = F.min(F.when(defines, F.struct("path", "start_line"))).over(Window.partitionBy())
-    return hit.withColumn("is_definition", F.coalesce(F.struct("path", "start_line") == first, F.lit(False)))
+    first = hit.filter(F.array_contains("symbols", symbol)).agg(F.min(F.struct("path", "start_line")).alias("_first"))  # one row
+    return hit.crossJoin(F.broadcast(first)).withColumn("is_definition", F.coalesce(F.struct("path", "start_line") == F.col("_first"), F.lit(False))).drop("_first")
 
 
 def related_terms(history: DataFrame, results: DataFrame, query: str, limit: int = 5) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
-from tessera.operators import scoring, search, selection, textindex
+from tessera.operators import search, selection, textindex
 from tessera.plans import api
-from tessera.plans.common import CHUNKS, FILES, NOW_SQL, chunks, files, history, now, prompts, r6, table, vector_rows
+from tessera.plans.common import CHUNKS, FILES, chunks, files, history, prompts, r6, table, vector_rows
 
 # A fixed query vector: alternating signs, falling with the position.
 QUERY = [((-1) ** i) * (1.0 - i / 64.0) for i in range(64)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import analytics, textindex
-from tessera.plans.common import FILES, NOW_SQL, files, history, now, r6, table
+from tessera.plans.common import FILES, files, history, r6, table
 from tessera.streaming import state
 
 
