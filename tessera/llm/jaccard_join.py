@@ -10,16 +10,18 @@ document x that is within d of pivot p if d(z, p) <= 2d and d(x, p) >= d(z, p) -
    Nodes that fail this end here; only (shingle, node) pairs move to find them.
 3. Unrelated texts are all at distance 1 of each other, where Voronoi cells of random pivots
    say nothing, so regions are seeded by shingles: linked nodes share one of their
-   ``quarter + 1`` least-hashed shingles.  Every such shingle's nodes get the most central
-   of them (most shingles shared with others) as pivot; nodes are compared with their pivots.
+   ``quarter + 1`` rarest shingles.  Every such shingle's nodes get the most central
+   of them (whose shingles most others have) as pivot; nodes are compared with their pivots.
 4. Nodes within d of a pivot of a shingle are settled for it.  The others join again with
    new pivots, eight times as many per shingle each time, until none is left.
 5. Boundary windows: where z is not within d but within 2d of a pivot and not in its
    component yet, it is joined with the pivot's nodes x of the window.  Both are seen as
    differences from the pivot; a link needs a shared difference, so they meet by those.
 
-No step lists the pairs of a group, and groups are only aggregated and joined.  Sets are
-compared whole, as 64-bit hashes.
+No step lists the pairs of a group, and groups are only aggregated and joined.  A pair is
+first tried by sketches of its sets, about two bits a shingle, whose differing bits are a
+lower bound of the shingles that differ; what that leaves is compared by whole sets, as
+64-bit hashes.
 
 Cases: null and empty texts, or texts without words, have an empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; texts are read whole; a null id
@@ -33,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import words as W
 from tessera.llm.components import components
@@ -63,28 +66,30 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(at, _SLICE)
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _parts(batches):
-        sets = [shingles(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("txt"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "txt", "n", "node"])
+def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a document (key is its node), and the least-hashed shingles of its node.
 
-
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least-hashed shingles of each node; a task gives each node once, as far as it remembers."""
+    A task gives each node's shingles once, as far as it remembers.
+    """
+    names = ["key", "node", "doc_id", "txt", "n"]
     seen: set[int] = set()
     for b in _parts(batches):
-        keys, nodes, sizes = [], [], []
-        for t in b.column("text").to_pylist():
-            s = shingles(t)
-            if len(s) and (node := node_of(s)) not in seen:
+        sets = [shingles(t) for t in b.column("text").to_pylist()]
+        nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes), b.column("doc_id"), b.column("txt"), pa.array([len(s) for s in sets], pa.int64())], names=names)
+        keys, of, sizes = [], [], []
+        for s, node in zip(sets, nodes.tolist()):
+            if len(s) and node not in seen:
                 seen.add(node)
                 keys.append(s[: band(len(s))])
-                nodes.append(node)
+                of.append(node)
                 sizes.append(len(keys[-1]))
         if len(seen) > _SEEN:
             seen.clear()
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(np.array(nodes, dtype=np.int64), sizes))], names=["key", "node"])
+            flat = np.concatenate(keys).view(np.int64)
+            none = pa.nulls(len(flat), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(of, dtype=np.int64), sizes)), none, none, none], names=names)
 
 
 def band(n: int) -> int:
@@ -93,7 +98,9 @@ def band(n: int) -> int:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, node) to the number of keys each node shares with another."""
+    """Rows sorted by (key, node) to the number of keys each node shares with another; rows of documents pass."""
+
+    names = ["node", "shared", "doc_id", "txt", "n"]
 
     def emit(key: np.ndarray, node: np.ndarray, first_alone: bool, last_alone: bool) -> pa.RecordBatch:
         same = key[1:] == key[:-1]
@@ -103,12 +110,20 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[0] |= not first_alone
         shared[-1] |= not last_alone
         of, n = np.unique(node[shared], return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(n)], names=["node", "shared"])
+        none = pa.nulls(len(of), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(n), none, none, none], names=names)
 
     last_key = None
     held_key, held_node = np.empty(0, np.int64), np.empty(0, np.int64)
-    for b in batches:
-        key, node = np.concatenate((held_key, b.column(0).to_numpy())), np.concatenate((held_node, b.column(1).to_numpy()))
+    for whole in batches:
+        is_doc = whole.column("n").is_valid()
+        d = whole.filter(is_doc)
+        if d.num_rows:
+            yield pa.RecordBatch.from_arrays([d.column("node"), pa.nulls(d.num_rows, pa.int64()), d.column("doc_id"), d.column("txt"), d.column("n")], names=names)
+        b = whole.filter(pc.invert(is_doc))
+        key, node = np.concatenate((held_key, b.column("key").to_numpy())), np.concatenate((held_node, b.column("node").to_numpy()))
+        if not len(key):
+            continue
         new = np.ones(len(key), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
         key, node = key[new], node[new]
@@ -120,18 +135,45 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit(held_key, held_node, held_key[0] != last_key, True)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """One bit for each class of the low hash bits: whether an odd number of the set falls there."""
+    width = max(64, 1 << int(2 * max(len(s), 1) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of how many shingles only one of two sets has: differing bits of their sketches."""
+    x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _parts(batches):
         sets = [shingles(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("rank"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "rank", "body"])
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "n", "bits", "body"])
+
+
+def _near_enough(least: int):
+    """Pairs whose sketches leave a similarity of ``least`` per cent possible."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = (b.column("n_a").to_numpy() + b.column("n_b").to_numpy()).astype(np.int64)
+            apart = np.fromiter(map(least_difference, b.column("bits_a").to_pylist(), b.column("bits_b").to_pylist()), dtype=np.int64, count=b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(100 * (both - apart) >= least * (both + apart)))
 
-def _prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return run
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _parts(batches):
         sets = [np.frombuffer(x, dtype=np.int64) for x in b.column("body").to_pylist()]
-        take = [s[: len(s) // 4 + 1] for s in sets]
-        n = [len(s) for s in take]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(take) if take else np.empty(0, np.int64)), pa.array(np.repeat(b.column("node").to_numpy(), n)), pa.array(np.repeat(b.column("rank").to_numpy(), n))], names=["key", "node", "rank"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)), pa.array(np.repeat(b.column("node").to_numpy(), [len(s) for s in sets]))], names=["key", "node"])
 
 
 def _overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -152,52 +194,92 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(inter, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "inter", "uni"])
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pivot, node, distance) to one row for each shingle that only one of both has."""
-    for b in _parts(batches):
-        out: list[np.ndarray] = []
-        for x, y in zip(b.column("body_a").to_pylist(), b.column("body_b").to_pylist()):
-            out.append(np.setxor1d(np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64), assume_unique=True))
-        at = np.repeat(np.arange(len(out)), [len(o) for o in out])
-        yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in ("a", "b", "dist", "linked")] + [pa.array(np.concatenate(out) if out else np.empty(0, np.int64))], names=["a", "b", "dist", "linked", "token"])
+def _differences(percent: int):
+    """(pivot a, node b) to one row for each difference by which a linked node can be met.
+
+    Let c be percent / (100 + percent) and b have A shingles beside the pivot's and lack D of
+    them.  Two nodes, one of them not linked to the pivot, are linked only if they share more
+    than c A + (1 - c) D differences, and at least c (|a| + |b|) - |a and b| of an unlinked b.
+    So of its differences, in one order for all, it has to show ``take``.
+    """
+    c = percent / (100 + percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches):
+            out: list[np.ndarray] = []
+            takes: list[int] = []
+            for x, y, linked in zip(batch.column("body_a").to_pylist(), batch.column("body_b").to_pylist(), batch.column("linked").to_pylist()):
+                p, z = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                diff = np.setxor1d(p, z, assume_unique=True)
+                both = (len(p) + len(z) - len(diff)) // 2
+                more, less = len(z) - both, len(p) - both
+                need = int(c * more + (1 - c) * less + 1e-9) + 1 if linked else max(1, int(np.ceil(c * (len(p) + len(z)) - both - 1e-9)))
+                take = len(diff) - need + 1
+                out.append(diff.view(np.int64) if take > 0 else diff[:0].view(np.int64))
+                takes.append(max(0, take))
+            n = [len(o) for o in out]
+            at = pa.array(np.repeat(np.arange(len(out)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in ("a", "b", "dist", "linked")] + [pa.array(np.concatenate(out) if out else np.empty(0, np.int64)), pa.array(np.repeat(np.array(takes, dtype=np.int32), n))], names=["a", "b", "dist", "linked", "token", "take"])
+
+    return run
 
 
 def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, txt, text.  Gives (doc_id, txt, n, node) and links (a, b) that join all components."""
     if percent < 75:
         raise ValueError("shingle prefixes are laid out for a similarity of 0.75 or more")
-    nodes = stage.put("nodes", docs.mapInArrow(_nodes, "doc_id long, txt long, n long, node long"))
-    pairs = docs.select("text").mapInArrow(_banded, "key long, node long")
-    counts = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    rows = docs.mapInArrow(_scanned, "key long, node long, doc_id long, txt long, n long")
+    scan = stage.put("scan", rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "node long, shared long, doc_id long, txt long, n long"))
+    nodes = scan.filter("n is not null").select("doc_id", "txt", "n", "node")
+    counts = scan.filter("n is null").groupBy("node").agg(F.sum("shared").alias("shared"))
     size = F.col("n")
     looked = F.least(size, F.floor(size / 4) + 1 + F.floor((15 * size + 99) / 100))
     one = nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "txt")).alias("d"), F.first("n").alias("n"))
     alive = one.join(counts, "node").filter(F.col("shared") >= looked - F.floor(size / 4))
-    alive = alive.select("node", F.col("d.doc_id").alias("doc_id"), F.col("d.txt").alias("txt"), (F.floor(F.col("shared") * 1_000_000 / looked) * 4_000_000 + F.least(size, F.lit(3_999_999))).alias("rank"))
+    alive = alive.select("node", F.col("d.doc_id").alias("doc_id"), F.col("d.txt").alias("txt"))
     same = docs.doc_id.eqNullSafe(alive.doc_id) & (docs.txt == alive.txt)
-    chosen = docs.join(alive, same).select("node", "rank", "text").dropDuplicates(["node"])
-    sets = stage.put("sets", chosen.mapInArrow(_sets, "node long, rank long, body binary"))
+    chosen = docs.join(alive, same).select("node", "text").dropDuplicates(["node"])
+    sets = stage.put("sets", chosen.mapInArrow(_sets, "node long, n long, bits binary, body binary"))
 
     def with_sets(p: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), sets.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
         return p.join(a, "a").join(b, "b")
 
     def compare(p: DataFrame, least: int) -> DataFrame:
-        """(a, b) with sizes that allow a similarity of ``least`` per cent, to a, b, inter, uni."""
-        near = with_sets(p).filter(100 * F.least(F.octet_length("body_a"), F.octet_length("body_b")) >= least * F.greatest(F.octet_length("body_a"), F.octet_length("body_b")))
-        return near.mapInArrow(_compared, "a long, b long, inter long, uni long")
+        """Of pairs (a, b) those whose sizes and sketches allow ``least`` per cent, to a, b, inter, uni."""
+        side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        near = p.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
+        return with_sets(near.mapInArrow(_near_enough(least), "a long, b long")).mapInArrow(_compared, "a long, b long, inter long, uni long")
 
     linked = 100 * F.col("inter") >= percent * F.col("uni")
     reach = 2 * percent - 100  # per cent of similarity at distance 2d
-    left = stage.put("left-0", sets.mapInArrow(_prefix, "key long, node long, rank long"))
+    # Rarest shingles first: those of one node alone fill a node's prefix without a row.
+    keys = sets.mapInArrow(_keys, "key long, node long")
+    common = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
+    by_node = keys.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks")).join(sets.select("node", "n"), "node")
+    # Of two linked nodes the smaller has its first common shingle among its first
+    # n - ceil(2 c n) + 1, with c = percent / (100 + percent), the larger among a quarter and one.
+    # A partner has at most ``most`` shingles, since only what others have can be shared.
+    # Central nodes rank high: their shingles are those that most others have.
+    alone = F.col("n") - F.size("ks")
+    by_node = stage.put("by_node", by_node.select(
+        "node", "n", "ks", (F.aggregate("ks", F.lit(0).cast("long"), lambda acc, k: acc + k["df"]) / F.col("n")).alias("rank"), (F.floor(F.col("n") / 4) + 1 - alone).cast("int").alias("slots"),
+        (F.col("n") - F.ceil(F.col("n") * (2 * percent / (100 + percent)) - 1e-9) + 1 - alone).cast("int").alias("as_smaller"), F.floor(F.size("ks") * ((100 + percent) / percent) - F.col("n") + 1e-9).cast("long").alias("most"),
+    ))
+    reach_of = by_node.select("node", "n", "most")
+    # Every linked pair has the smaller node here as ``open``: only those need to be pivots.
+    left = by_node.filter("slots > 0").select("node", "rank", F.when(F.col("most") >= F.col("n"), F.col("as_smaller")).otherwise(0).alias("opened"), F.posexplode(F.slice("ks", F.lit(1), F.col("slots"))).alias("at", "k"))
+    left = left.select("k.key", "node", "rank", (F.col("at") < F.col("opened")).alias("open"))
+    left = stage.put("left-0", left)
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars, i, pivots = [], 0, 1
     while True:
         # One pivot for each (shingle, lane); a shingle has ``pivots`` lanes.
         lane = F.pmod(F.xxhash64("node"), F.lit(pivots))
-        tops = left.groupBy("key", lane.alias("lane")).agg(F.max(F.struct("rank", "node")).alias("top"), F.count("*").alias("many"))
-        several = left.groupBy("key").agg(F.count("*").alias("all")).filter("all > 1").select("key")
+        tops = left.filter("open").groupBy("key", lane.alias("lane")).agg(F.max(F.struct("rank", "node")).alias("top"))
+        several = left.groupBy("key").agg(F.count("*").alias("all"), F.max("open").alias("any")).filter("all > 1 and any").select("key")
         heads = stage.put(f"heads-{i}", tops.join(several, "key").select("key", F.col("top.node").alias("a")))
-        met = left.join(heads, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"))
+        met = left.repartition(spread, "key").join(heads, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"))
         star = stage.put(f"star-{i}", compare(met.select("a", "b").distinct(), reach).filter(100 * F.col("inter") >= reach * F.col("uni")).withColumn("linked", linked))
         stars.append(star)
         settled = met.join(star.filter("linked").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("node")).distinct()
@@ -223,11 +305,18 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     if not outer.isEmpty():
         inner = star.filter("linked").join(outer.select("a").distinct(), "a", "left_semi").distinct()
         region = outer.select("a", "b", dist, F.lit(False).alias("linked")).unionByName(inner.select("a", "b", dist, F.lit(True).alias("linked")))
-        diff = stage.put("differences", with_sets(region).mapInArrow(_differences, "a long, b long, dist double, linked boolean, token long"))
+        diff = stage.put("differences", with_sets(region).mapInArrow(_differences(percent), "a long, b long, dist double, linked boolean, token long, take int"))
+        # The rarest of a region first: what all its nodes differ in comes last, or not at all.
+        often = diff.groupBy("a", "token").agg(F.count("*").alias("often"), F.max(~F.col("linked")).alias("outside")).filter("often > 1 and outside")
+        shown = diff.join(often, ["a", "token"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("often", F.lit(1)), "token")))
+        diff = shown.filter("nth <= take and often is not null")
         z = diff.filter("not linked").select("a", "token", F.col("b").alias("z"), F.col("dist").alias("dz"))
         x = diff.filter("linked").select("a", "token", F.col("b").alias("x"), F.col("dist").alias("dx"))
         window = F.col("dx") >= F.col("dz") - (1 - percent / 100) - 1e-9
-        meet = z.join(x, ["a", "token"]).filter(window & (F.col("x") != F.col("z"))).select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
+        z = z.join(reach_of.select(F.col("node").alias("z"), F.col("n").alias("n_z"), F.col("most").alias("most_z")), "z")
+        x = x.join(reach_of.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("most").alias("most_x")), "x")
+        fit = (F.col("n_x") <= F.col("most_z")) & (F.col("n_z") <= F.col("most_x"))
+        meet = z.join(x, ["a", "token"]).filter(window & fit & (F.col("x") != F.col("z"))).select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct()
         links = links.unionByName(compare(meet, percent).filter(linked).select("a", "b"))
     return nodes, links
 
