@@ -9,6 +9,11 @@ shard, which is house-monotone, so each shard has integer quotas and all shards
 have the quotas of the whole mix.  A source's documents in seeded order form a stream cut
 into blocks; its seats take blocks in seeded order, each block once before any twice.
 
+A block is a share of all words, so seats alone give a source of few blocks too much, too
+little or nothing.  Each source that its seats leave more than ``SLACK`` of its target away
+is settled by words instead: its stream is taken whole as often as it fits into the target,
+and its first words once more.
+
 Scale: one narrow scan stages id, source and size; the rest moves those rows only.  A
 source's running sum is built from 4,096 seeded cells, so a source with a third of all rows
 is spread over as many window groups.  Seats and blocks are bounded by ``BLOCKS``; the seat
@@ -27,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tessera.llm.staging import Stage
 
 BLOCKS, SHARDS = 16_384, 64
+SLACK = 0.01
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +75,15 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     seeded = F.md5(F.concat_ws(":", F.lit(seed), "idx", "blk"))
     blocks = blocks.withColumn("j", F.row_number().over(Window.partitionBy("idx").orderBy(seeded, "blk")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("idx")))
     slots = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("k", (F.col("pass") * F.col("n") + F.col("j")).cast("int"))
-    chosen = slots.join(seats, ["idx", "k"]).groupBy("idx", "blk").agg(F.count("*").alias("times"))
+    chosen = stage.put("chosen", slots.join(seats, ["idx", "k"]).groupBy("idx", "blk").agg(F.count("*").alias("times")))
+
+    # Sources that seats leave away from their target: whole passes and the words of one more.
+    length = F.least((F.col("blk") + 1) * F.col("block"), "source_size") - F.col("blk") * F.col("block")
+    seated = chosen.join(goal.select("idx", "block", "source_size"), "idx").groupBy("idx").agg(F.sum(F.col("times") * length).alias("seated"))
+    away = (F.col("target") > 0) & (F.abs(F.coalesce("seated", F.lit(0)) - F.col("target")) > SLACK * F.col("target"))
+    words = F.round("target").cast("long")
+    goal = goal.join(seated, "idx", "left").withColumn("full", F.when(away, F.floor(words / F.col("source_size")).cast("long")))
+    goal = stage.put("settled", goal.withColumn("rest", words - F.col("full") * F.col("source_size")).drop("seated"))
 
     # Where each document lies in its source's stream.
     rows = rows.withColumn("cell", F.substring("h", 1, 3))
@@ -78,12 +92,16 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     cells = cells.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(F.broadcast(goal.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s"))).drop("s", "words")
     inside = Window.partitionBy("source", "cell").orderBy("h", "doc_id", "size", "txt").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("r").join(cells.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")) & (F.col("r.cell") == F.col("c.cell")))
-    placed = placed.select("doc_id", "txt", "r.source", "size", "source_size", "target", "idx", "block", (F.col("base") + F.col("inner")).alias("start"))
-    first, last = F.floor(F.col("start") / F.col("block")), F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
+    placed = placed.select("doc_id", "txt", "r.source", "size", "source_size", "target", "idx", "block", "full", "rest", (F.col("base") + F.col("inner")).alias("start"))
+    # A settled source has two blocks: the words of the further pass, and the others.
+    settled, unit = F.col("full").isNotNull(), F.coalesce("rest", "block")
+    place = lambda at: F.when(settled, F.when(at < F.col("rest"), 0).otherwise(1).cast("long")).otherwise(F.floor(at / F.col("block")))
+    first, last = place(F.col("start")), place(F.col("start") + F.col("size") - 1)
     cut = placed.withColumn("blk", F.explode(F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array(F.lit(-1).cast("long")))))
-    low = F.greatest(F.col("start"), F.col("blk") * F.col("block")) - F.col("start")
-    high = F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * F.col("block")) - F.col("start")
-    got = cut.join(F.broadcast(chosen), ["idx", "blk"], "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("span", F.struct(low.alias("low"), high.alias("high"), F.col("times").alias("times"))).withColumn("words", F.when(F.col("times") > 0, F.col("times") * (high - low)).otherwise(F.lit(0)))
+    low = F.greatest(F.col("start"), F.col("blk") * unit) - F.col("start")
+    high = F.least(F.col("start") + F.col("size"), F.when(settled & (F.col("blk") == 1), F.col("source_size")).otherwise((F.col("blk") + 1) * unit)) - F.col("start")
+    times = F.when(settled & (F.col("size") > 0), F.col("full") + F.when(F.col("blk") == 0, 1).otherwise(0)).otherwise(F.coalesce("times", F.lit(0)))
+    got = cut.join(F.broadcast(chosen), ["idx", "blk"], "left").withColumn("times", times).withColumn("span", F.struct(low.alias("low"), high.alias("high"), F.col("times").alias("times"))).withColumn("words", F.when(F.col("times") > 0, F.col("times") * (high - low)).otherwise(F.lit(0)))
     whole = got.filter((F.col("blk") == first) & (F.col("blk") == last) | (F.col("size") == 0)).select("doc_id", "txt", "source", "size", "source_size", "target", F.col("words").alias("taken"), F.array("span").alias("spans"))
     split = got.filter((F.col("blk") >= 0) & (first < last)).groupBy("doc_id", "txt", "source", "size", "source_size", "target", "start", "idx").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     return whole.unionByName(split.select(whole.columns))

@@ -95,6 +95,28 @@ def test_mixing_near_targets(spark):
     assert abs(sum(len(r.text.split()) for r in pieces) - 1.5 * sum(words.values())) < 0.05 * sum(words.values())
 
 
+def test_mixing_takes_small_sources(spark):
+    """Sources of under half a block, of less than one and of a few blocks beside large ones."""
+    sizes = {"a": 400_000, "b": 150_000, "c": 11, "d": 17, "e": 40, "f": 3, "g": 95, "h": 700, "i": 1, None: 21}
+    rows, n = [], 0
+    for s, size in sizes.items():
+        step = 5_000 if size > 100_000 else max(1, size // 4)
+        for a in range(0, size, step):
+            n += 1
+            rows.append((n, " ".join(f"w{n}-{i}" for i in range(min(step, size - a))), s))
+    df = docs(spark, rows)
+    taken, target = Counter(), {}
+    for r in mixing.mix(df).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        assert 0 <= r.taken <= 2 * r.size and sum(s.times * (s.high - s.low) for s in r.spans) == r.taken
+    assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 0.5 for s in sizes), (taken, target)
+    pieces = Counter()
+    for r in mixing.take_pieces(df).collect():
+        pieces[r.source] += len(r.text.split())
+    assert pieces == +taken
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
