@@ -6,10 +6,12 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window, functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tessera.llm import bpe, jaccard_join, language, neighbours, substring_dedup
+from tessera.llm.staging import Stage
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DATA = "/root/testdata/sf0.001"
@@ -141,6 +143,42 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), lambda c: c >= 0).count() == 0
 
 
+@pytest.mark.parametrize("away", [1, 8])
+def test_neighbours_off_the_main_cone(spark, away):
+    """A lone vector, or a few, opposite to all others fall into a small block at every start."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((2600, 16)) * 0.003
+    x[:, 0] += 4
+    group = [1000 + 20 * i for i in range(away)]
+    x[group, 0] -= 8
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, lambda c: c % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    hits = 0
+    for q in range(0, 2600, 20):
+        assert sorted(f[0] for f in got.get(q, [])) == list(range(1, 21)), q
+        best = [i for i in np.lexsort((np.arange(len(x)), -(x @ x[q]))) if i != q][:20]
+        hits += len(set(best) & {f[1] for f in got[q]})
+        if q in group:  # the others of the group come first
+            assert {f[1] for f in got[q] if f[0] < away} == set(group) - {q}
+    assert hits >= 0.9 * 20 * len(got)
+
+
+def test_neighbours_complete_short_lists(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 4))
+    nodes = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(x)], "node long, body binary").repartition(3)
+    no_edges = spark.createDataFrame([], neighbours.GRAPH)
+    out = neighbours.search(nodes.filter("node < 270").select("node"), nodes, no_edges, Stage(spark, "test"), 4)
+    best = Window.partitionBy("node").orderBy(F.desc("s"))
+    rows = out.withColumn("nth", F.row_number().over(best)).filter("nth <= 21").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.node, []).append(r.w)
+    assert len(got) == 270 and all(set(w) == set(np.argsort(-(x @ x[q]))[:21].tolist()) for q, w in got.items())
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = language.identify(docs).filter("held_out").collect()
