@@ -7,6 +7,8 @@ import random
 import re
 from collections import Counter
 
+import xxhash
+
 from tessera.llm import chat, fingerprints, mixing, pii, sharding
 
 DOCS = "doc_id long, text string, source string, lang string, n_chars long, shard string, entities string"
@@ -151,6 +153,49 @@ def test_personal_data_equals_plain_patterns(spark):
     assert row.t == "to [EMAIL] or [PHONE]!"
 
 
+def spark_hash(x, at=None):
+    """The engine's 64-bit hash of a word, or of a long."""
+    return xxhash.xxh64_intdigest(x if at is None else ((x ^ at) & (1 << 64) - 1).to_bytes(8, "little"), seed=42)
+
+
+def signature(text):
+    """For each sample the (term, t) of least a, every weighted term drawn for, and that a."""
+    out = []
+    terms = [(spark_hash(w.encode()), 1 + math.log(n)) for w, n in Counter((text or "").split()).items()]
+    for k in range(fingerprints.SAMPLES if terms else 0):
+        best = None
+        for h, w in terms:
+            x, y, z = (spark_hash(h, s) for s in fingerprints.salts(k))
+            high, low = (lambda q: ((q >> 33) + 0.5) / 2**31), (lambda q: ((q & 2**31 - 1) + 0.5) / 2**31)
+            rb, rest, c = -math.log(low(z)), -math.log(high(x)), -math.log(high(y) * low(y))
+            r, b = rb + rest, rb / (rb + rest)
+            t = math.floor(math.log(w) / r + b)
+            best = min(best or (math.inf,), (c * math.exp(-r * (t - b + 1)), h, t))
+        out.append(best[1:])
+    return out
+
+
+def test_fingerprints_equal_brute_force_sampling(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(900)]
+    rows = EDGES[:4] + [(-(2**63), "low end " * 9, "s"), (2**63 - 1, "high end", "s")] + [(1000 + i, " ".join(rnd.choice(vocabulary[: rnd.choice([20, 900])]) for _ in range(rnd.randint(0, 120))), "s") for i in range(60)]
+    out = fingerprints.compare_edited(docs(spark, rows)).collect()
+    assert len(out) == len(rows)
+    text = {i: t or "" for i, t, _ in rows}
+    order = sorted((i for i in text if i is not None)) + [None]
+    following = dict(zip(order, order[1:] + order[:1]))
+
+    def alike(a, b):
+        return 1.0 if not a and not b else sum(x == y for x, y in zip(a, b)) / fingerprints.SAMPLES
+
+    for r in out:
+        t, nxt = text[r.doc_id], text[following[r.doc_id]]
+        edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and r.n_chars == len(t)
+        assert (r.near_edited, r.near_next) == (alike(signature(t), signature(edited)), alike(signature(t), signature(nxt)))
+        assert len(r.fingerprint) == (6 * fingerprints.SAMPLES if t.split() else 0)
+
+
 def test_fingerprints_estimate_generalised_jaccard(spark):
     rnd = random.Random(4)
     vocabulary = [f"w{i}" for i in range(900)]
@@ -180,3 +225,23 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
     assert abs(sum(errors) / len(errors)) < 0.02 and math.sqrt(sum(e * e for e in errors) / len(errors)) < 0.1
     assert fingerprints.compare_edited(docs(spark, [])).count() == 0
     assert len({r.fingerprint for r in out if r.doc_id in (5, 6)}) == 1
+    by_id = fingerprints.fingerprint(docs(spark, rows).filter("doc_id > 5").withColumn("h2", fingerprints.F.lit(1)), ["doc_id"])
+    assert {r.doc_id: fingerprints_text(r.codes) for r in by_id.collect()} == {r.doc_id: r.fingerprint for r in out if (r.doc_id or 0) > 5}
+    try:
+        fingerprints.fingerprint(docs(spark, []).withColumnRenamed("doc_id", "H"), ["H"])
+        raise AssertionError("a clashing key name was taken")
+    except ValueError:
+        pass
+
+
+def fingerprints_text(codes):
+    return "".join(f"{c:06x}" for c in codes)
+
+
+def test_ranges_follow_rows_not_values(spark):
+    """Outlying ids leave the others spread over many ranges."""
+    ids = [-(2**62), *range(3000), 2**62, None]
+    df = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").repartition(3)
+    out = fingerprints.with_next(df, fingerprints.F.xxhash64("text")).filter("edge = 0").collect()
+    assert max(Counter(r.rng for r in out).values()) <= 2 * len(ids) / (len(ids) // fingerprints.RANGE_ROWS)
+    assert {r.doc_id: r.nxt.doc_id for r in out} == dict(zip(ids, ids[1:] + ids[:1]))
