@@ -18,10 +18,12 @@ document x that is within d of pivot p if d(z, p) <= 2d and d(x, p) >= d(z, p) -
    component yet, it is joined with the pivot's nodes x of the window.  Both are seen as
    differences from the pivot; a link needs a shared difference, so they meet by those.
 
-No step lists the pairs of a group, and groups are only aggregated and joined.  A pair is
-first tried by sketches of its sets, about two bits a shingle, whose differing bits are a
-lower bound of the shingles that differ; what that leaves is compared by whole sets, as
-64-bit hashes.
+Groups are only aggregated and joined, and nodes of a shingle meet its pivots alone.  Copies
+settle in the first round, however many they are.  Where many texts share rare shingles
+without being linked, each open one becomes a pivot in the end, so a shingle then costs the
+square of its nodes.  A pair is first tried by sizes and by sketches of its sets, about two
+bits a shingle, whose differing bits are a lower bound of the shingles that differ; what
+that leaves is compared by whole sets, as 64-bit hashes.  Nodes are told apart by 128 bits.
 
 Cases: null and empty texts, or texts without words, have an empty set and are linked with
 nothing; a text of fewer words than a shingle is one shingle; texts are read whole; a null id
@@ -71,12 +73,13 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A task gives each node's shingles once, as far as it remembers.
     """
-    names = ["key", "node", "doc_id", "txt", "n"]
+    names = ["key", "node", "doc_id", "txt", "n", "chk"]
     seen: set[int] = set()
     for b in _parts(batches):
         sets = [shingles(t) for t in b.column("text").to_pylist()]
         nodes = np.array([node_of(s) for s in sets], dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes), b.column("doc_id"), b.column("txt"), pa.array([len(s) for s in sets], pa.int64())], names=names)
+        checks = np.array([xxhash.xxh3_64_intdigest(s.tobytes(), seed=1) for s in sets], dtype=np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes), b.column("doc_id"), b.column("txt"), pa.array([len(s) for s in sets], pa.int64()), pa.array(checks)], names=names)
         keys, of, sizes = [], [], []
         for s, node in zip(sets, nodes.tolist()):
             if len(s) and node not in seen:
@@ -89,7 +92,7 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if keys:
             flat = np.concatenate(keys).view(np.int64)
             none = pa.nulls(len(flat), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(of, dtype=np.int64), sizes)), none, none, none], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(of, dtype=np.int64), sizes)), none, none, none, none], names=names)
 
 
 def band(n: int) -> int:
@@ -100,7 +103,7 @@ def band(n: int) -> int:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, node) to the number of keys each node shares with another; rows of documents pass."""
 
-    names = ["node", "shared", "doc_id", "txt", "n"]
+    names = ["node", "shared", "doc_id", "txt", "n", "chk"]
 
     def emit(key: np.ndarray, node: np.ndarray, first_alone: bool, last_alone: bool) -> pa.RecordBatch:
         same = key[1:] == key[:-1]
@@ -111,7 +114,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared[-1] |= not last_alone
         of, n = np.unique(node[shared], return_counts=True)
         none = pa.nulls(len(of), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(n), none, none, none], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(n), none, none, none, none], names=names)
 
     last_key = None
     held_key, held_node = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -119,7 +122,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_doc = whole.column("n").is_valid()
         d = whole.filter(is_doc)
         if d.num_rows:
-            yield pa.RecordBatch.from_arrays([d.column("node"), pa.nulls(d.num_rows, pa.int64()), d.column("doc_id"), d.column("txt"), d.column("n")], names=names)
+            yield pa.RecordBatch.from_arrays([d.column("node"), pa.nulls(d.num_rows, pa.int64()), d.column("doc_id"), d.column("txt"), d.column("n"), d.column("chk")], names=names)
         b = whole.filter(pc.invert(is_doc))
         key, node = np.concatenate((held_key, b.column("key").to_numpy())), np.concatenate((held_node, b.column("node").to_numpy()))
         if not len(key):
@@ -228,18 +231,23 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     """docs: doc_id, txt, text.  Gives (doc_id, txt, n, node) and links (a, b) that join all components."""
     if percent < 75:
         raise ValueError("shingle prefixes are laid out for a similarity of 0.75 or more")
-    rows = docs.mapInArrow(_scanned, "key long, node long, doc_id long, txt long, n long")
-    scan = stage.put("scan", rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "node long, shared long, doc_id long, txt long, n long"))
-    nodes = scan.filter("n is not null").select("doc_id", "txt", "n", "node")
-    counts = scan.filter("n is null").groupBy("node").agg(F.sum("shared").alias("shared"))
+    rows = docs.mapInArrow(_scanned, "key long, node long, doc_id long, txt long, n long, chk long")
+    scan = stage.put("scan", rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "node long, shared long, doc_id long, txt long, n long, chk long"))
+    nodes = scan.filter("n is not null").select("doc_id", "txt", "n", "node", "chk")
+    # Sets that have 64 bits in common but not 128; about none, even among billions.
+    twins = nodes.filter("n > 0").groupBy("node").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).filter("lo <> hi").select("node", F.lit(True).alias("twin"))
+    counts = scan.filter("n is null").groupBy("node").agg(F.sum("shared").alias("shared")).join(twins, "node", "left_anti")
+    nodes = nodes.join(twins, "node", "left").select("doc_id", "txt", "n", F.when(F.col("twin"), F.xxhash64("node", "chk")).otherwise(F.col("node")).alias("node"), F.coalesce("twin", F.lit(False)).alias("twin"))
+    nodes = stage.put("nodes", nodes)
     size = F.col("n")
     looked = F.least(size, F.floor(size / 4) + 1 + F.floor((15 * size + 99) / 100))
-    one = nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "txt")).alias("d"), F.first("n").alias("n"))
-    alive = one.join(counts, "node").filter(F.col("shared") >= looked - F.floor(size / 4))
+    one = nodes.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "txt")).alias("d"), F.first("n").alias("n"), F.max("twin").alias("twin"))
+    alive = one.join(counts, "node", "left").filter(F.col("twin") | (F.col("shared") >= looked - F.floor(size / 4)))
     alive = alive.select("node", F.col("d.doc_id").alias("doc_id"), F.col("d.txt").alias("txt"))
     same = docs.doc_id.eqNullSafe(alive.doc_id) & (docs.txt == alive.txt)
     chosen = docs.join(alive, same).select("node", "text").dropDuplicates(["node"])
     sets = stage.put("sets", chosen.mapInArrow(_sets, "node long, n long, bits binary, body binary"))
+    stage.drop("scan")
 
     def with_sets(p: DataFrame) -> DataFrame:
         a, b = sets.select(F.col("node").alias("a"), F.col("body").alias("body_a")), sets.select(F.col("node").alias("b"), F.col("body").alias("body_b"))
@@ -268,18 +276,18 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     ))
     reach_of = by_node.select("node", "n", "most")
     # Every linked pair has the smaller node here as ``open``: only those need to be pivots.
-    left = by_node.filter("slots > 0").select("node", "rank", F.when(F.col("most") >= F.col("n"), F.col("as_smaller")).otherwise(0).alias("opened"), F.posexplode(F.slice("ks", F.lit(1), F.col("slots"))).alias("at", "k"))
-    left = left.select("k.key", "node", "rank", (F.col("at") < F.col("opened")).alias("open"))
+    left = by_node.filter("slots > 0").select("node", "n", "rank", F.when(F.col("most") >= F.col("n"), F.col("as_smaller")).otherwise(0).alias("opened"), F.posexplode(F.slice("ks", F.lit(1), F.col("slots"))).alias("at", "k"))
+    left = left.select("k.key", "node", "n", "rank", (F.col("at") < F.col("opened")).alias("open"))
     left = stage.put("left-0", left)
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     stars, i, pivots = [], 0, 1
     while True:
         # One pivot for each (shingle, lane); a shingle has ``pivots`` lanes.
         lane = F.pmod(F.xxhash64("node"), F.lit(pivots))
-        tops = left.filter("open").groupBy("key", lane.alias("lane")).agg(F.max(F.struct("rank", "node")).alias("top"))
+        tops = left.filter("open").groupBy("key", lane.alias("lane")).agg(F.max(F.struct("rank", "node", "n")).alias("top"))
         several = left.groupBy("key").agg(F.count("*").alias("all"), F.max("open").alias("any")).filter("all > 1 and any").select("key")
-        heads = stage.put(f"heads-{i}", tops.join(several, "key").select("key", F.col("top.node").alias("a")))
-        met = left.repartition(spread, "key").join(heads, "key").filter("node <> a").select("key", "a", F.col("node").alias("b"))
+        heads = stage.put(f"heads-{i}", tops.join(several, "key").select("key", F.col("top.node").alias("a"), F.col("top.n").alias("n_a")))
+        apart = (F.col("node") != F.col("a")) & (100 * F.least("n", "n_a") >= reach * F.greatest("n", "n_a"))
+        met = left.join(heads, "key").filter(apart).select("key", "a", F.col("node").alias("b"))
         star = stage.put(f"star-{i}", compare(met.select("a", "b").distinct(), reach).filter(100 * F.col("inter") >= reach * F.col("uni")).withColumn("linked", linked))
         stars.append(star)
         settled = met.join(star.filter("linked").select("a", "b"), ["a", "b"]).select("key", F.col("b").alias("node")).distinct()
@@ -287,6 +295,7 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
         i += 1
         left = stage.put(f"left-{i}", rest)
         stage.drop(f"left-{i - 1}")
+        stage.drop(f"heads-{i - 1}")
         if left.isEmpty():
             break
         pivots *= 8
@@ -326,7 +335,10 @@ def grouped(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     stage = Stage(df.sparkSession, "jaccard")
     docs = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("txt"), F.col(text).alias("text"))
     nodes, links = link_nodes(docs, stage, percent)
-    roots = components(stage.put("links", links), stage, "joined")
+    links = stage.put("links", links)
+    stage.keep("nodes", "links")
+    roots = stage.put("placed", components(links, stage, "joined"))
+    stage.keep("nodes", "placed")
     return nodes.join(roots, "node", "left").select("doc_id", "txt", "n", F.coalesce("root", "node").alias("root"))
 
 

@@ -2,8 +2,9 @@
 
 Iterative operators cut their lineage by writing a Parquet table below the folder that
 ``spark.checkpoint.dir`` names, which every executor and the driver share.  Where the
-setting is absent (unit tests) a folder of the session's own is used instead.  Tables of a
-driver process are removed when it ends.
+setting is absent a session on this machine alone (unit tests) uses a folder of its own, and
+any other is refused.  Operators drop what they no longer read; the rest of a driver process
+is removed when it ends.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="tessera-checkpoint-")
     return "file://" + _FALLBACK["dir"]
@@ -41,7 +44,7 @@ def _sweep() -> None:
         try:
             remove(spark, path)
         except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+            continue
 
 
 class Stage:
@@ -60,3 +63,12 @@ class Stage:
 
     def drop(self, name: str) -> None:
         remove(self.spark, f"{self.root}/{name}")
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but those named."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.listStatus(root):
+            if status.getPath().getName() not in names:
+                fs.delete(status.getPath(), True)

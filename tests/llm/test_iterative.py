@@ -119,6 +119,33 @@ def test_jaccard_classes(spark):
     assert jaccard_join.join_texts(df.limit(0)).count() == 0
 
 
+def overlapping(n, seed=3):
+    """Texts of 8 of 18 paragraphs: most pairs overlap by 0.2 to 0.5, hardly any is linked."""
+    rnd = random.Random(seed)
+    paragraphs = [[f"p{i}w{j}" for j in range(12)] for i in range(18)]
+    return [(i, " ".join(w for k in rnd.sample(range(18), 8) for w in paragraphs[k])) for i in range(n)]
+
+
+def test_jaccard_overlapping_texts(spark):
+    rows = overlapping(300)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_texts(df).collect()) == classes(rows)
+
+
+def test_jaccard_shingle_common_to_all(spark):
+    rows = [(i, f"one two three four five {i} " + " ".join(f"w{i}x{j}" for j in range(3 + i % 40))) for i in range(150)] + [(500, "one two three four five"), (501, "ONE two three four five")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_texts(df).collect()) == classes(rows)
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words), (None, words + " x"), (3, words), (3, words), (3, "lone text of six words here"), (9, words.upper()), (9, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join_texts(df).collect()), key=str)
+    assert got == sorted([(None, 56, 3), (None, 57, 3), (3, 56, 3), (3, 56, 3), (3, 2, 3), (9, 56, 3), (9, 0, 9), (None, 0, None)], key=str)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((900, 16)).astype(np.float32)
