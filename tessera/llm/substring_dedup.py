@@ -12,12 +12,14 @@ the same window starts in a document of smaller id.
 3. Segments of the other groups are collapsed by content to the smallest document that
    holds them, with map-side partial aggregation: however many copies a passage has, its
    group gets one segment a distinct content.
-4. Each group's suffixes are sorted by five blocks of ten words: a suffix tree whose edges
+4. A group of more than ``GROUP_WORDS`` words has its prefix lengthened by ``GRAM`` words, to
+   the right of where the prefix first stands in a suffix, or to the left where the suffix ends
+   too soon; its segments are cut where the longer prefix changes, collapsed again, and so on
+   until the group fits or the prefix is the whole window and so a node by itself.
+5. Each group's suffixes are sorted by five blocks of ten words: a suffix tree whose edges
    are blocks.  Its internal nodes of depth ``WINDOW`` are the runs of neighbours with all
    blocks in common; the smallest document of a node keeps its window, the others lose it.
-   Groups beyond ``LARGE`` segments get their key lengthened to the whole window: every key
-   is then one such node, found by an aggregation, and no task holds the group.
-5. Node results go back to the segments, these to the documents, which are read again to
+6. Node results go back to the segments, these to the documents, which are read again to
    drop words and join the rest.  Texts move once (by id; both joins use that exchange).
 
 Words are compared by 32-bit hashes, all 50 of them, groups and contents by 64 and 128 bits.
@@ -41,11 +43,16 @@ from tessera.llm import words as W
 from tessera.llm.staging import Stage
 
 WINDOW, GRAM, BLOCK = 50, 10, 10
-LARGE = 4096
+GROUP_WORDS = 500_000
 _SLICE = 256
 _LAST = (1 << 63) - 1
 
 
+def short_hashes(text: str | None) -> np.ndarray:
+    """32 bits for each word of a text, as 64-bit integers."""
+    return W.hashes(W.split(text)) & np.uint64(0xFFFFFFFF)
+
+
 def group_of(h: np.ndarray) -> np.ndarray:
     """The group of each window of a text's word hashes."""
     return W.sliding_min(W.grams(h, GRAM), WINDOW - GRAM + 1) if len(h) >= WINDOW else np.empty(0, dtype=np.uint64)
@@ -59,7 +66,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _parts(batches):
-        found = [np.unique(group_of(W.hashes(W.split(t)))) for t in b.column(1).to_pylist()]
+        found = [np.unique(group_of(short_hashes(t))) for t in b.column(1).to_pylist()]
         keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
         docs = np.repeat(b.column(0).to_numpy(), [len(f) for f in found])
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(docs)], names=["grp", "doc"])
@@ -69,7 +76,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _parts(batches):
         out: list[list] = [[] for _ in range(7)]
         for doc, key, text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
-            h = W.hashes(W.split(text))
+            h = short_hashes(text)
             g = group_of(h).view(np.int64)
             if not len(g):
                 continue
@@ -146,15 +153,49 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield solve(held)
 
 
-def _split_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments of large groups to one row a window: its content as key."""
+_PIECE = "grp long, cls binary, doc long, ref binary, at int, n int, content binary"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+    columns = zip(*found) if found else [[]] * 7
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["grp", "cls", "doc", "ref", "at", "n", "content"])
+
+
+def longer(key: int, words: np.ndarray, length: int) -> np.ndarray:
+    """For each window of ``words``, all of which hold the gram ``key`` of ``length`` words, a gram of ``GRAM`` more words."""
+    n = len(words) - WINDOW + 1
+    here = np.flatnonzero(W.grams(words, length) == np.uint64(key))
+    at = here[np.searchsorted(here, np.arange(n))]
+    more = W.grams(words, length + GRAM)
+    return more[np.where(at + length + GRAM <= np.arange(n) + WINDOW, at, at - GRAM)]
+
+
+def _lengthened(length: int):
+    """Segments of large groups, cut into those of longer prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _parts(batches):
+            found = []
+            for grp, cls, doc, content in zip(*(b.column(c).to_pylist() for c in ("grp", "cls", "least", "content"))):
+                h = np.frombuffer(content, dtype=np.uint32)
+                g = longer(grp % (1 << 64), h.astype(np.uint64), length).view(np.int64)
+                starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist()
+                for a, e in zip(starts, [*starts[1:], len(g)]):
+                    piece = h[a : e + WINDOW - 1].tobytes()
+                    found.append((int(g[a]), xxhash.xxh3_128_digest(piece), doc, cls, a, e - a, piece))
+            yield _rows(found)
+
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of large groups to one row a window, the longest prefix: its digest is the node."""
     for b in _parts(batches):
-        out: list[list] = [[], [], [], []]
         for cls, doc, n, content in zip(*(b.column(c).to_pylist() for c in ("cls", "least", "n", "content"))):
-            for i in range(n):
-                for column, value in zip(out, (xxhash.xxh3_128_digest(content[4 * i : 4 * (i + WINDOW)]), cls, doc, i)):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.binary(), pa.binary(), pa.int64(), pa.int32()))], names=["win", "cls", "least", "i"])
+            for a in range(0, n, 4096):
+                digests = [xxhash.xxh3_128_digest(content[4 * i : 4 * (i + WINDOW)]) for i in range(a, min(n, a + 4096))]
+                yield _rows([(0, d, doc, cls, a + i, 1, b"") for i, d in enumerate(digests)])
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,35 +223,46 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kept_texts, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
 
-def spans_to_drop(docs: DataFrame, stage: Stage, large: int = LARGE) -> DataFrame:
+def lost(seg: DataFrame, stage: Stage, length: int, group_words: int) -> DataFrame:
+    """(doc, ref, s): ranges of windows that a smaller document has.  seg: grp, cls, doc, ref, at, n, content."""
+    classes = stage.put(f"classes-{length}", seg.groupBy("grp", "cls").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("n").alias("n"), F.first("content").alias("content")))
+    if length >= WINDOW:  # a class is a node
+        found = classes.filter("least < most").select("cls", "least", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
+    else:
+        large = classes.groupBy("grp").agg(F.sum(F.col("n") + WINDOW - 1).alias("words")).filter(F.col("words") > group_words).select("grp")
+        trees = classes.join(large, "grp", "left_anti").select("grp", "cls", "least", "n", "content").repartition("grp").sortWithinPartitions("grp").mapInArrow(_trees, "cls binary, least long, runs array<struct<a:int,b:int>>")
+        nodes = trees.filter(F.size("runs") > 0).select("cls", "runs")
+        parts = classes.join(large, "grp", "left_semi").select("grp", "cls", "least", "n", "content")
+        # Prefixes up to 40 words can be lengthened within the window whichever side it has room on.
+        parts = stage.put(f"parts-{length}", parts.mapInArrow(_lengthened(length) if length + 2 * GRAM <= WINDOW else _windows, _PIECE))
+        if not parts.isEmpty():
+            deeper = lost(parts, stage, length + GRAM if length + 2 * GRAM <= WINDOW else WINDOW, group_words)
+            nodes = nodes.unionByName(deeper.groupBy(F.col("ref").alias("cls")).agg(F.flatten(F.collect_list("s")).alias("runs")))
+        found = classes.select("cls", "least", "most").join(nodes, "cls", "left").filter("least < most or runs is not null").select("cls", "least", "runs")
+    hit = seg.select("cls", "doc", "ref", "at", "n").join(found, "cls")
+    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n")).alias("b")))
+    moved = F.transform(F.coalesce("runs", F.expr("cast(array() as array<struct<a:int,b:int>>)")), lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at")).alias("b")))
+    return hit.select("doc", "ref", F.when(F.col("doc") > F.col("least"), whole).otherwise(moved).alias("s")).filter(F.size("s") > 0)
+
+
+def spans_to_drop(docs: DataFrame, stage: Stage, group_words: int = GROUP_WORDS) -> DataFrame:
     """(doc, txt) with the word ranges to drop.  docs: doc, txt (hash of the text), text."""
     pairs = stage.put("groups", docs.select("doc", "text").mapInArrow(_groups, "grp long, doc long"))
     shared = pairs.groupBy("grp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("grp")
     wanted = pairs.join(shared, "grp").groupBy("doc").agg(F.collect_list("grp").alias("wanted"))
     found = docs.join(wanted, "doc").select("doc", "txt", "text", "wanted")
     seg = stage.put("segments", found.mapInArrow(_segments, "grp long, cls binary, doc long, txt long, at int, n int, content binary"))
-    classes = seg.groupBy("grp", "cls").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.first("n").alias("n"), F.first("content").alias("content"))
-    classes = stage.put("classes", classes)
-    big = classes.groupBy("grp").count().filter(F.col("count") > large).select("grp")
-    small = classes.join(big, "grp", "left_anti")
-    nodes = small.select("grp", "cls", "least", "n", "content").repartition("grp").sortWithinPartitions("grp").mapInArrow(_trees, "cls binary, least long, runs array<struct<a:int,b:int>>")
-    windows = classes.join(big, "grp", "left_semi").select("cls", "least", "n", "content").mapInArrow(_split_windows, "win binary, cls binary, least long, i int")
-    least = windows.groupBy("win").agg(F.min("least").alias("lo"))
-    lost = windows.join(least, "win").filter("least > lo").groupBy("cls", "least").agg(F.collect_list(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))).alias("runs"))
-    nodes = nodes.unionByName(lost).filter(F.size("runs") > 0).groupBy("cls").agg(F.first("runs").alias("runs"))
-    bounds = classes.select("cls", "least", "most").join(nodes, "cls", "left").filter("least < most or runs is not null")
-    hit = seg.select("cls", "doc", "txt", "at", "n").join(bounds, "cls")
-    whole = F.array(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("n") + WINDOW - 1).alias("b")))
-    moved = F.transform(F.coalesce("runs", F.expr("cast(array() as array<struct<a:int,b:int>>)")), lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["b"] + F.col("at") + WINDOW - 1).alias("b")))
-    hit = hit.select("doc", "txt", F.when(F.col("doc") > F.col("least"), whole).otherwise(moved).alias("s")).filter(F.size("s") > 0)
-    return hit.groupBy("doc", "txt").agg(F.flatten(F.collect_list("s")).alias("spans"))
-
-
-def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", large: int = LARGE) -> DataFrame:
+    gone = lost(seg.withColumnRenamed("txt", "ref"), stage, GRAM, group_words)
+    in_words = F.transform(F.flatten(F.collect_list("s")), lambda r: F.struct(r["a"].alias("a"), (r["b"] + WINDOW - 1).alias("b")))
+    return gone.groupBy("doc", F.col("ref").alias("txt")).agg(in_words.alias("spans"))
+
+
+def drop_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", group_words: int = GROUP_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and the kept words of each text."""
     stage = Stage(df.sparkSession, "substring")
     docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id), F.lit(_LAST)).cast("long").alias("doc"), F.xxhash64(text).alias("txt"), F.col(text).alias("text"))
-    spans = stage.put("spans", spans_to_drop(docs, stage, large))
+    spans = stage.put("spans", spans_to_drop(docs, stage, group_words))
+    stage.keep("spans")
     joined = docs.join(spans, ["doc", "txt"], "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_rewrite, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 

@@ -63,8 +63,8 @@ def test_substrings(spark):
         rows.append((rnd.choice([None, *range(120)]), " ".join(w) if rnd.random() > 0.05 else None))
     rows += [(999, "x " * 300), (998, "x " * 200), (997, "\x0bx\x1cy\xa0z " * 80), (1000, "\x0bx\x1cy\xa0z " * 80)]
     df = spark.createDataFrame([(d, t, "c", 1) for d, t in rows], "doc_id long, text string, grp string, at int").repartition(5)
-    for large in (4096, 2):
-        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(df, large=large).collect()), key=str)
+    for words in (500_000, 400, 60):
+        got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(df, group_words=words).collect()), key=str)
         assert got == repeats(rows)
     assert substring_dedup.drop_repeats(df.limit(0)).count() == 0
 
