@@ -14,9 +14,11 @@ its characters, which keeps very long texts linear:
   of one character class.
 
 Kinds email, ip, card and phone follow fixed rules and always stay.  The method adds IBANs
-(mod-97) and social security numbers (which need a context word nearby).  Scores: a base by
-kind, raised when a context word stands within ``NEAR`` characters; spans from ``KEEP`` on
-are reported.
+(length by country, mod-97), social security numbers and secrets (long runs of letters and
+digits, as keys and tokens are).  Scores: a base by kind, raised when a word that speaks for
+the kind stands within ``NEAR`` characters and lowered when one that speaks against it does;
+spans from ``KEEP`` on are reported.  A number like a social security number or a secret
+needs a word for it; an IBAN is dropped where words speak against it.
 
 Cases: null and empty texts have no spans; texts are read whole; repeated rows give repeated
 results; an empty table gives an empty table; further columns are kept, and a clash with an
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.llm.exprs import let
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE = KINDS[:4]
 NEAR, KEEP = 40, 0.5
 
@@ -40,9 +42,15 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9 -]{2,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|XK", 21: "CH|CR|HR|LI|LV", 22: "BG|BH|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LC|LY|PT|ST", 26: "IS|TR", 27: "FR|GR|IT|MC|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU", 31: "MT|SC",
+}
+IBAN = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c})[0-9]{{2}}(?:[ ]?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+SECRET = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
+SCORE = {"email": 0.8, "ip": 0.8, "card": 0.8, "phone": 0.8, "iban": 0.6, "ssn": 0.4, "secret": 0.4}
 CONTEXT = {
     "email": "mail|contact|write|courriel|correo",
     "ip": "ip|address|server|host|adresse",
@@ -50,6 +58,16 @@ CONTEXT = {
     "phone": "phone|call|tel|mobile|fax",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social security",
+    "secret": "token|secret|api|key|password|passwd|auth|bearer|credential",
+}
+AGAINST = {
+    "email": "example|test",
+    "ip": "version|release",
+    "card": "order|serial|isbn",
+    "phone": "order|serial|isbn",
+    "iban": "serial|part|order|model|example",
+    "ssn": "order|serial|part|example",
+    "secret": "sha|md5|commit|checksum|digest|uuid|example",
 }
 RAISE = 0.2
 _WIDE = 256
@@ -114,6 +132,7 @@ def proposals(text: Column) -> dict[str, Column]:
         "card": F.when(text.rlike(r"[0-9](?:[ -]?[0-9]){13}"), F.filter(matches(text, CARD, runs), lambda m: let(_digits(m["hit"]), lambda d: F.when(F.length(d).between(14, 19), luhn(d)).otherwise(False)))),
         "phone": F.when(text.rlike(r"\+[0-9]"), F.filter(matches(text, PHONE), lambda m: F.length(_digits(m["hit"])).between(10, 15))),
         "iban": F.when(text.rlike(r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]"), F.filter(matches(text, IBAN), lambda m: mod97(m["hit"]))),
+        "secret": F.when(text.rlike("[A-Za-z0-9_-]{20}"), F.filter(matches(text, SECRET), lambda m: m["hit"].rlike("[A-Za-z]") & (F.length(_digits(m["hit"])) >= 4))),
         "ssn": F.when(text.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"), matches(text, SSN)),
     }
     return found
@@ -123,8 +142,8 @@ def _scorer(text: Column, order: int, kind: str) -> Callable[[Column], Column]:
     def scored(m: Column) -> Column:
         a = F.greatest(m["start"] - NEAR, F.lit(0))
         around = F.lower(F.concat_ws("\n", F.substring(text, (a + 1).cast("int"), (m["start"] - a).cast("int")), F.substring(text, (m["end"] + 1).cast("int"), F.lit(NEAR))))
-        score = F.lit(SCORE[kind]) + F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0)
-        return F.struct(m["start"].alias("start"), F.lit(order).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["hit"].alias("hit"), score.alias("score"))
+        score = F.lit(SCORE[kind]) + F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})"), RAISE).otherwise(0.0) - F.when(around.rlike(rf"\b(?:{AGAINST[kind]})"), RAISE).otherwise(0.0)
+        return F.struct(m["start"].alias("start"), F.lit(order).alias("ord"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["hit"].alias("hit"), F.greatest(score, F.lit(KEEP if order < len(BASE) else 0.0)).alias("score"))
 
     return scored
 
@@ -166,4 +185,5 @@ def report(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     e = find(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "entities").select("doc_id", "entities")
     count = lambda k: F.size(F.filter("entities", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("entities", lambda x: x["ord"] < len(BASE))
-    return e.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("entities")).alias("spans"))
+    scores = F.array_join(F.transform("entities", lambda x: F.format_number(x["score"], 1)), ",")
+    return e.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("entities")).alias("spans"), *map(count, KINDS[len(BASE) :]), F.size("entities").cast("long").alias("n_spans"), scores.alias("scores"))

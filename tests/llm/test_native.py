@@ -141,14 +141,26 @@ def test_personal_data_equals_plain_patterns(spark):
     rnd = random.Random(3)
     bits = ["a@b.c", "@", ".", "..", "x", "1", "12", "255", "256", "0001", "-", " ", "  ", "+", "(", ")", "4111 1111 1111 1111", "4111-1111-1111-1111", "é", "\n", "a@b", "+1 (212) 555-0100", "_", "%", "b.c-d", "😀", "1.2.3.4", "378282246310005"]
     texts = [None, "", " "] + ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 25))) for _ in range(600)] + ["1" * 30_000, "a." * 20_000 + "@" + "b." * 20_000 + "c", "1 " * 20_000, "4111111111111111 é " * 700]
-    texts += ["DE89 3704 0044 0532 0130 00", "ssn 123-45-6789", "123-45-6789"]
+    key = "9abc9ff9ca9fb9e9c999a9eb99999999a999bdde"
+    added = {
+        "DE89 3704 0044 0532 0130 00": "iban:0:27", "ssn 123-45-6789": "ssn:4:15", "123-45-6789": "", "pay DE89 3704 0044 0532 0130 00 NOW": "iban:4:31", "DE89370400440532013000 AND GO": "iban:0:22",
+        "GB82WEST12345698765432": "iban:0:22", "DE89 3704 0044 0532 0130 01": "", "serial DE89370400440532013000": "", "bank serial DE89370400440532013000": "iban:12:34", "DE8937040044053201300": "",
+        f'TOKEN = "{key}"': "secret:9:49", key: "", f"commit token {key}": "", "token aaaaaaaaaaaaaaaaaaaaaaaaaaaa": "", "order ssn 123-45-6789": "",
+    }
+    texts += added
     got = {r.doc_id: r for r in pii.report(docs(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
     for i, t in enumerate(texts):
         want = base_spans(t or "")
         assert got[i].base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), t
         assert set(want) <= set(got[i].spans.split(",")) | {""}
-    n = len(texts)
-    assert [got[n - 3].spans, got[n - 2].spans, got[n - 1].spans] == ["iban:0:27", "ssn:4:15", ""]
+    assert {t: got[len(texts) - len(added) + i].spans for i, t in enumerate(added)} == added
+    assert all(r.n_spans == len(r.spans.split(",")) * bool(r.spans) == len(r.scores.split(",")) * bool(r.scores) for r in got.values())
+    assert pii.report(docs(spark, [])).count() == 0
+    try:
+        pii.find(docs(spark, []))
+        raise AssertionError("a clashing output name was taken")
+    except ValueError:
+        pass
     row = pii.find(docs(spark, [(1, "to a@b.de or +1 (212) 555-0100!", "s")]).drop("entities")).select(pii.redact(pii.F.col("text"), pii.F.col("entities")).alias("t")).first()
     assert row.t == "to [EMAIL] or [PHONE]!"
 
