@@ -12,7 +12,8 @@ cache per Python worker and hold one batch at a time.
 
 Cases: null text counts as empty (no tokens, empty decoding); texts of any length are
 encoded whole; repeated rows stay repeated; an empty table gives an empty table; columns of
-the input are kept, and an output name that is already taken raises ``ValueError``.
+the input are kept, and an output name that is already taken raises ``ValueError``, as does a
+vocabulary with another normaliser, splitter or decoder than the one modelled here.
 """
 
 from __future__ import annotations
@@ -45,12 +46,38 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(keep) else chr(next(shifted)) for b in range(256)]
 
 
+# The normaliser and splitter that ``WordBpe.words`` models.
+NORMALIZER = ["NFC", {"Regex": r"\s+"}, " ", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check(j: dict) -> None:
+    """Raise for a file whose coding this module does not model, rather than give other ids."""
+    model, wrong = j["model"], []
+    if model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        wrong.append("model")
+    steps = (j.get("normalizer") or {}).get("normalizers", [])
+    if [x for n in steps for x in ([n["pattern"], n["content"]] if n["type"] == "Replace" else [n["type"]])] != NORMALIZER:
+        wrong.append("normalizer")
+    steps = (j.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    kinds = [n["type"] for n in steps]
+    if kinds != ["Split", "ByteLevel"] or steps[0]["pattern"] != {"Regex": SPLIT} or (steps[0]["behavior"], steps[0]["invert"]) != ("Removed", True) or steps[1]["add_prefix_space"] or steps[1]["use_regex"]:
+        wrong.append("pre_tokenizer")
+    if j.get("decoder"):
+        wrong.append("decoder")
+    if any("<" not in t["content"] or any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in j["added_tokens"]):
+        wrong.append("added_tokens")
+    if wrong:
+        raise ValueError(f"this vocabulary's {', '.join(wrong)} is not supported")
+
+
 class WordBpe:
     """A vocabulary of merges with word ends, read from the text of its JSON file."""
 
     def __init__(self, spec: str):
         self.spec = spec
         j = json.loads(spec)
+        check(j)
         model, vocab = j["model"], j["model"]["vocab"]
         end = model.get("end_of_word_suffix") or ""
         symbols = byte_symbols()
@@ -191,6 +218,7 @@ _SLICE = 256
 
 def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids", n: str = "n_tokens") -> DataFrame:
     """Add the token ids of ``text`` (packed little-endian unsigned 32-bit) and their number."""
+    check(json.loads(spec))
     held = df.sparkSession.sparkContext.broadcast(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,10 @@
 
 A document is a mixture of languages.  Letter trigrams, hashed to ``BUCKETS``, are counted
 for each language over all learning documents; a document's proportions are estimated by
-expectation-maximisation of its trigrams' likelihood, and its set of languages is grown one
-by one while the likelihood gains more than ``PENALTY`` * ln(trigrams) for one more.
+expectation-maximisation of its trigrams' likelihood, until no proportion moves by more than
+``STEP``.  Its set of languages is grown one by one: of all languages not in it the one whose
+addition makes the likelihood largest is taken, while that gains more than ``PENALTY`` *
+ln(trigrams).
 
 Scale: both passes are narrow Arrow batch functions.  Counts are summed within each map task
 and then by (language, bucket); the model is languages times ``BUCKETS`` numbers, whatever
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 BUCKETS = 1 << 15
 ALPHA = 0.05
 PENALTY = 2.0
-ROUNDS = 12
+STEP, ROUNDS = 1e-4, 1000
 UNKNOWN = "und"
 _SLICE = 256
 _LETTER: list[np.ndarray] = []
@@ -85,13 +87,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str
     return names, counts / counts.sum(axis=1, keepdims=True)
 
 
-def proportions(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """EM for mixture weights; p: trigrams by languages, n: how often each occurs."""
+def proportions(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+    """EM for mixture weights; p: trigrams by languages, n: how often each occurs.
+
+    Steps shrink geometrically; ``ROUNDS`` only guards against rounding that never settles.
+    """
     w = np.full(p.shape[1], 1 / p.shape[1])
     total = n.sum()
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         joint = p * w
-        w = (n / joint.sum(axis=1)) @ joint / total
+        last, w = w, (n / joint.sum(axis=1)) @ joint / total
+        if np.abs(w - last).max() <= STEP:
+            break
     return w, float(n @ np.log(p @ w))
 
 
@@ -104,15 +111,17 @@ def mixture(text: str | None, model: np.ndarray) -> list[tuple[int, float]]:
     p, n = model[at], n.astype(float)
     single = n @ np.log(p)
     order = [int(np.argmax(single))]
-    best, shares = float(single[order[0]]), np.ones(1)
-    if model.shape[1] > 1:
-        w, _ = proportions(p, n, 4)
-        rest = [int(k) for k in np.argsort(-w, kind="stable") if k != order[0]]
-        for k in rest:
-            w, like = proportions(p[:, [*order, k]], n)
-            if like - best <= PENALTY * np.log(n.sum() + 1):
-                break
-            order, best, shares = [*order, k], like, w
+    best, shares, cost = float(single[order[0]]), np.ones(1), PENALTY * np.log(n.sum() + 1)
+    while len(order) < p.shape[1]:
+        rest = [k for k in range(p.shape[1]) if k not in order]
+        # No mixture can gain more than taking the better of its languages for each trigram.
+        now = np.log(p[:, order] @ shares)
+        rest = [k for k in rest if n @ np.maximum(np.log(p[:, k]) - now, 0) > cost]
+        tried = [(like, -k, w) for k in rest for w, like in [proportions(p[:, [*order, k]], n)]]
+        if not tried or max(tried, key=lambda t: t[:2])[0] - best <= cost:
+            break
+        best, k, shares = max(tried, key=lambda t: t[:2])
+        order.append(-k)
     return sorted(((k, float(s)) for k, s in zip(order, shares)), key=lambda x: -x[1])
 
 

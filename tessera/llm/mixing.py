@@ -21,8 +21,9 @@ ranking and the broadcast of chosen blocks hold at any input size.
 
 Cases: null text has size 0; null sources are one source, last; a null id is valid; repeated
 rows are separate documents; empty tables give empty tables; sources without words have
-target 0.  Rows of size 0 are never taken.  Further columns are kept by ``take_pieces`` and
-not read by ``mix``.
+target 0.  Rows of size 0 are never taken.  Further columns are not read by ``mix`` and kept
+by ``take_pieces``, where rows of equal id and text share those of one of them; its own names
+(``mix_``...) in the input raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -61,11 +62,15 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     block = F.greatest(F.ceil(share * F.col("total") / BLOCKS), F.lit(1)).cast("long")
     goal = goal.withColumn("block", block)
 
-    # Seats: the BLOCKS highest quotients.  A source never has more than its share and one.
-    k = F.explode(F.sequence(F.lit(0), F.ceil(F.col("target") / F.col("block")).cast("int") + 1))
-    seats = goal.filter("target > 0").select("idx", "block", "target", "source_size", "total", k.alias("k"))
+    # Seats: the highest quotients, as many as blocks.  Rounding target / divisor up from a half
+    # loses at most half a seat a source, so the divisor of n sources and S seats is at least
+    # all targets / (S + n / 2), and no source has a seat beyond its share by that divisor.
+    asked = goal.filter("target > 0").withColumn("seats", F.round(share * F.col("total") / F.col("block")))
+    wide = asked.agg(F.sum("target").alias("targets"), F.count("*").alias("sources"))
+    most_seats = F.ceil(F.col("target") * (F.col("seats") + F.col("sources") / 2) / F.col("targets")).cast("int")
+    seats = asked.join(F.broadcast(wide)).select("idx", "block", "target", "seats", F.explode(F.sequence(F.lit(0), most_seats)).alias("k"))
     rank = Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "idx", "k")
-    seats = seats.withColumn("seat", F.row_number().over(rank) - 1).filter(F.col("seat") < F.round(share * F.col("total") / F.col("block")))
+    seats = seats.withColumn("seat", F.row_number().over(rank) - 1).filter(F.col("seat") < F.col("seats"))
     seats = seats.select("idx", "k", F.floor(F.col("seat") / (BLOCKS // SHARDS)).cast("int").alias("shard"))
 
     # Blocks of a source in seeded order, first pass before second.
@@ -112,6 +117,8 @@ def take_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sourc
 
     A document taken whole keeps its text; of others the taken words stay, joined by blanks.
     """
+    if any(c.lower().startswith("mix_") for c in df.columns):
+        raise ValueError("input columns may not begin with mix_")
     placed = mix(df, doc_id=doc_id, text=text, source=source, **options).filter("taken > 0").select(F.col("doc_id").alias("mix_id"), F.col("txt").alias("mix_txt"), F.col("size").alias("mix_size"), F.col("spans").alias("mix_spans"))
     rows = df.withColumn("mix_txt", F.xxhash64(text)).dropDuplicates([doc_id, "mix_txt"])
     got = rows.join(placed, rows[doc_id].eqNullSafe(placed.mix_id) & (rows.mix_txt == placed.mix_txt)).drop("mix_txt", "mix_id")

@@ -32,6 +32,10 @@ def test_bpe_equals_the_library(spark):
     assert own.by_scan(parts[:]) == own.by_heap(parts[:])
     with pytest.raises(ValueError):
         bpe.encode(df.withColumnRenamed("doc_id", "N_tokens"), spec)
+    with pytest.raises(ValueError):
+        bpe.encode(df, bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    twice = df.filter("doc_id = 2").unionByName(df.filter("doc_id = 2"))
+    assert bpe.decode(bpe.encode(twice, spec), spec).count() == 2 and bpe.decode(bpe.encode(df.limit(0), spec), spec).count() == 0
 
 
 def repeats(rows):
@@ -206,6 +210,67 @@ def test_neighbours_complete_short_lists(spark):
     assert len(got) == 270 and all(set(w) == set(np.argsort(-(x @ x[q]))[:21].tolist()) for q, w in got.items())
 
 
+def plain_trigrams(text):
+    """Trigrams of lower-cased letters, runs of anything else being one blank, as one dictionary of counts."""
+    t = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    while "  " in t:
+        t = t.replace("  ", " ")
+    return [t[i : i + 3] for i in range(len(t) - 2)] if t.strip() else []
+
+
+def test_language_equals_brute_force(spark):
+    """Counts, expectation-maximisation run out, and every set of languages that growing could reach."""
+    rnd = random.Random(6)
+    alphabets = {"xx": "abcde fgh", "yy": "abcfgh klm", "zz": "kmnop qab"}
+    make = lambda k, n: "".join(rnd.choice(alphabets[k]) for _ in range(n))
+    learn = [(i, make(k, rnd.randint(40, 400)), k) for i, k in enumerate(list(alphabets) * 12)]
+    df = spark.createDataFrame(learn + [(900, None, "xx"), (901, "abc", None)], "doc_id long, text string, lang string").repartition(3)
+    names, model = language.fit(df)
+    assert names == sorted(alphabets)
+    counts = np.full((3, language.BUCKETS), language.ALPHA)
+    for _, t, k in learn:
+        for h in (language.trigrams(t)):
+            counts[names.index(k), h] += 1
+        assert len(language.trigrams(t)) == len(plain_trigrams(t))
+    assert np.allclose(model, counts / counts.sum(axis=1, keepdims=True))
+
+    def run_out(p, n):
+        w = np.full(p.shape[1], 1 / p.shape[1])
+        for _ in range(20_000):
+            w = (n[:, None] * (p * w) / (p @ w)[:, None]).sum(axis=0) / n.sum()
+        return w, float(n @ np.log(p @ w))
+
+    for text in [make("xx", 300), make("xx", 200) + make("zz", 200), make("xx", 300) + make("yy", 300) + make("zz", 300), make("yy", 9), "ab", "?"]:
+        h = language.trigrams(text)
+        got = language.mixture(text, model.T)
+        if not len(h):
+            assert got == []
+            continue
+        at, n = np.unique(h, return_counts=True)
+        p, n = model.T[at], n.astype(float)
+        chosen, best = [], -np.inf
+        while len(chosen) < 3:
+            like, k = max((run_out(p[:, [*chosen, k]], n)[1], -k) for k in range(3) if k not in chosen)
+            if chosen and like - best <= language.PENALTY * np.log(n.sum() + 1):
+                break
+            chosen, best = [*chosen, -k], like
+        w = run_out(p[:, chosen], n)[0]
+        assert {k for k, _ in got} == set(chosen)
+        assert all(abs(share - w[chosen.index(k)]) < 0.01 for k, share in got) and abs(sum(s for _, s in got) - 1) < 1e-9
+
+
+def test_language_edge_cases(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    fitted = language.fit(docs)
+    rows = [(1, "le chat est sur la table " * 9000, "zz", 1), (1, "le chat est sur la table " * 9000, "zz", 1), (None, "12", None, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, shares int")
+    out = language.predict(df, *fitted).collect()
+    assert [r.lang_pred for r in sorted(out, key=lambda r: str(r.doc_id))] == ["fr", "fr", "und"] and all(0 <= r.score <= 1 for r in out)
+    assert language.identify(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        language.predict(df.withColumnRenamed("shares", "Score"), *fitted)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = language.identify(docs).filter("held_out").collect()

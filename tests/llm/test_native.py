@@ -48,6 +48,32 @@ def test_sharding_is_longest_first(spark):
     assert sharding.shard_documents(docs(spark, [])).count() == 0
 
 
+def test_sharding_bundles_small_groups(spark):
+    """Thousands of groups below the share of a unit, a few above, one of many copies."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 60))) for _ in range(4000)] + ["z" * 3000, "y" * 9000] + ["copy"] * 2000
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    out = sharding.shard_documents(docs(spark, rows), 16, heavy_share=64, bundles=256).collect()
+    got, where = Counter(), {}
+    for r in out:
+        got[r["shard"]] += r["size"]
+        where.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+    assert len(out) == len(rows) and all(len(v) == 1 for v in where.values()) and len(got) == 16
+    mean = sum(got.values()) / 16
+    assert max(got.values()) <= max(mean * 1.05, 5 * 2000)
+    assert max(Counter(r["shard"] for r in out).values()) < 4200
+    assert sharding.shard_documents(docs(spark, EDGES), 16, heavy_share=1, bundles=1).count() == len(EDGES)
+
+
+def test_chat_edge_cases(spark):
+    schema = "conv_id long, turn long, role string, text string, formatted string, n_turns int"
+    assert chat.read_back(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
+    long = "word <|im_end|> " * 30_000
+    rows = [(7, 0, "user", long, "x", 1), (7, 1, "assistant", long, "y", 2)]
+    r = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, schema))).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (2, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     odd = ["<|im_end|>", "<\\|x", "<\\\\|", "a\nb", "", None, "<|im_start|>assistant\nno<|im_end|>\n", "<|<|", "é😀"]
     rows = [(c, t, r, x) for c in (1, 2, None) for t, (r, x) in enumerate([("system", "s"), ("user", odd[2]), ("assistant", odd[0]), ("us%0A\ner", odd[6]), ("assistant", odd[1]), ("assistant", None), (None, odd[7])])]
@@ -93,7 +119,13 @@ def test_mixing_near_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 0.01 * target[s] + 20 for s in order)
     key = lambda x: sorted((r.doc_id or -1, r.size, r.taken) for r in x)
     assert key(out) == key(mixing.mix(df.repartition(5)).collect())
-    pieces = mixing.take_pieces(df.filter("doc_id is null or doc_id <> 5")).collect()
+    assert mixing.mix(docs(spark, [])).count() == 0
+    try:
+        mixing.take_pieces(df.withColumn("mix_pass", mixing.F.lit(1)))
+        raise AssertionError("a clashing name was taken")
+    except ValueError:
+        pass
+    pieces = mixing.take_pieces(df).collect()
     assert abs(sum(len(r.text.split()) for r in pieces) - 1.5 * sum(words.values())) < 0.05 * sum(words.values())
 
 
