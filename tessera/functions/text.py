@@ -34,9 +34,10 @@ def words(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Index terms: distinct words beyond two letters and no stop words, then their pairs and triples."""
-    w = F.filter(words(c), lambda x: (F.length(x) > 2) & ~x.isin(*STOP_WORDS))
-    run = lambda k: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))
-    return F.concat(F.array_distinct(w), run(2), run(3))
+    found = F.filter(words(c), lambda x: (F.length(x) > 2) & ~x.isin(*STOP_WORDS))
+    # Bound once: the words would be split again for each pair.
+    run = lambda w, k: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - (k - 1), F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(w, i + j) for j in range(1, k)]))
+    return F.get(F.transform(F.array(found), lambda w: F.concat(F.array_distinct(w), run(w, 2), run(w, 3))), F.lit(0))
 
 
 def positions(c: Column, needle: Column) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Intents with keywords and weights in order of precedence; base budgets and chunks.
 INTENTS = (
@@ -156,12 +159,31 @@ def units(tokens: Column, per_million: Column | None = None) -> Column:
     return (F.lit(UNITS_PER_MILLION) if per_million is None else per_million) * tokens / 1_000_000
 
 
-def daily_budget(requests: DataFrame, limit: int = DAILY_UNITS, by: list[str] | None = None) -> DataFrame:
-    """Running units of a UTC day, what remained before a request, whether it was affordable, and the alert."""
-    day = F.to_date("ts")
-    order = Window.partitionBy(*(by or []), "day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
-    r = requests.withColumn("day", day).withColumn("units", units(F.col("tokens"))).withColumn("used", F.sum("units").over(order))
-    return r.withColumn("remaining_before", F.greatest(F.lit(0.0), limit - (F.col("used") - F.col("units")))).withColumn("affordable", F.col("units") <= F.col("remaining_before")).withColumn("alert", F.col("used") > limit * ALERT_AT)
+def daily_budget(requests: DataFrame, limit: float = DAILY_UNITS, by: list[str] | None = None) -> DataFrame:
+    """For each request by time and id: units, used after it, remaining_before, affordable, alert.
+
+    A request is billed only if what remains of its UTC day covers it, so each depends on all
+    before it.  Days (and ``by``, such as shards of the limit or tenants) are spread over the
+    cluster; inside one, sorted rows stream past a single running sum.
+    """
+    keys = [*(by or []), "day"]
+    r = requests.withColumn("day", F.to_date("ts")).withColumn("units", units(F.col("tokens")))
+    out = T.StructType([*r.schema.fields, *(T.StructField(n, T.DoubleType()) for n in ("used", "remaining_before")), *(T.StructField(n, T.BooleanType()) for n in ("affordable", "alert"))])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, used = None, 0.0
+        for b in batches:
+            rows = []
+            for at, cost in zip(b[keys].itertuples(index=False, name=None), b["units"].tolist()):
+                if at != last:
+                    last, used = at, 0.0
+                left = max(0.0, limit - used)
+                fits = cost <= left
+                used += cost if fits else 0.0
+                rows.append((used, left, fits, used > limit * ALERT_AT))
+            yield b.assign(**dict(zip(("used", "remaining_before", "affordable", "alert"), map(list, zip(*rows))))) if rows else b.assign(used=0.0, remaining_before=0.0, affordable=False, alert=False)
+
+    return r.repartition(*keys).sortWithinPartitions(*keys, "ts", "id").mapInPandas(fold, out)
 
 
 def preferred_model(tasks: DataFrame, preferences: DataFrame, available: DataFrame) -> DataFrame:

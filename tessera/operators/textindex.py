@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions import text
 
@@ -16,9 +19,31 @@ def postings(files: DataFrame) -> DataFrame:
 
 
 def postings_with_positions(files: DataFrame) -> DataFrame:
-    """term, path, positions (0-based offsets, ascending), for all index terms."""
-    t = files.select("path", "content", F.explode(F.array_distinct(text.terms(F.col("content")))).alias("term"))
-    return t.select("term", "path", text.positions(F.col("content"), F.col("term")).alias("positions")).filter(F.size("positions") > 0)
+    """term, path, positions (0-based offsets of non-overlapping occurrences, ascending), for all index terms.
+
+    A file's terms are found in one pass over its text by an automaton of them all, in Arrow
+    batches: built-in functions would scan the text again for each term.
+    """
+    t = files.select("path", F.lower("content").alias("content"), F.array_distinct(text.terms(F.col("content"))).alias("terms"))
+    out = T.StructType([T.StructField("term", T.StringType()), t.schema["path"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content, terms in b.itertuples(index=False, name=None):
+                if not len(terms):
+                    continue
+                automaton = ahocorasick.Automaton()
+                for term in terms:
+                    automaton.add_word(term, term)
+                automaton.make_automaton()
+                found: dict[str, list[int]] = {}
+                for end, term in automaton.iter(content):
+                    at, mine = end - len(term) + 1, found.setdefault(term, [])
+                    if not mine or at >= mine[-1] + len(term):
+                        mine.append(at)
+                yield pd.DataFrame({"term": list(found), "path": [path] * len(found), "positions": list(found.values())})
+
+    return t.mapInPandas(run, out)
 
 
 def update(index: DataFrame, changed: DataFrame) -> DataFrame:

@@ -201,6 +201,19 @@ _AGE = "(epoch_us(TIMESTAMP '1998-12-01') - epoch_us(o_orderdate)) / 86400000000
 _AGO = lambda x, unit: f"CAST(CAST(floor({x}) AS BIGINT) AS VARCHAR) || ' {unit}' || CASE WHEN floor({x}) = 1 THEN '' ELSE 's' END || ' ago'"
 _LIGHT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)//.*$', '', 'g'), '/\*[\s\S]*?\*/', '', 'g'), '(?m)^\s*[\r\n]', '', 'g'), '^\s+|\s+$', '', 'g')"
 
+_N = "len(regexp_extract_all(text, {}))"
+_LEN = "coalesce(list_sum(list_transform(regexp_extract_all(text, {}), lambda x: length(x))), 0)"
+_K, _O = r"'\b(function|const|let|var|if|else|for|while|return|import|export|class|interface|type|async|await)\b'", r"'[{}();\[\]<>+\-*/%=!&|,:.]'"
+_S = r"""'"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*''|`(?:[^`\\]|\\.)*`'"""
+_C, _U, _E = r"'(?m)(//.*$|/\*[\s\S]*?\*/)'", r"'https?://[^\s]+'", r"'\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'"
+_SIGNS = (r"'(function|class|interface|type|const|let|var)\s+\w+'", r"""'(import|export)\s+.*from\s+[''"].+[''"]'""", r"'\{\s*\n.*\n\s*\}'", r"'(\[[\s\S]*\]|\{[\s\S]*\})'", r"'[=+\-*/<>!&|]{2,}'")
+_BREAKDOWN = (
+    f"WITH a AS (SELECT doc_id, text, {' + '.join(_N.format(x) for x in _SIGNS)} >= 2 AS code, {_N.format(_K)} AS k, {_N.format(_O)} AS o, {_N.format(_S)} AS s, {_LEN.format(_C)} AS c, {_LEN.format(_U)} AS u, coalesce(list_sum(list_transform(regexp_extract_all(text, {_U}), lambda x: ceil(length(x) / 20.0))), 0) AS un, {_LEN.format(_E)} AS e, {_N.format(_E)} AS en FROM documents),"
+    " b AS (SELECT *, CAST(CASE WHEN code THEN ceil(length(text) / 3.0) ELSE ceil(length(text) / 4.0) END AS BIGINT) AS base FROM a),"
+    r" t AS (SELECT *, CAST(CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0 WHEN code THEN greatest(1, base - ceil((k * 8 + o * 2 + s * 20) / 4.0) + k + o + ceil(s * 20 / 4.0) + ceil(c / 4.0)) ELSE greatest(1, base - ceil(u / 4.0) + un - ceil(e / 4.0) + 2 * en) END AS BIGINT) AS total FROM b)"
+    " SELECT doc_id, total, CASE WHEN code THEN 'code' ELSE 'text' END AS type, length(text) AS characters, base, total - base AS adjustments FROM t"
+)
+
 QUERIES = {
     "token_estimates": (token_estimates, "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(ceil(length(text) / 3.0) AS BIGINT) AS code_tokens, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS byte_tokens FROM documents"),
     "token_text": (
@@ -211,9 +224,9 @@ SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0) - ceil(coalesce(list_su
   len(regexp_extract_all(text, '(function|class|interface|type|const|let|var)\s+\w+')) + len(regexp_extract_all(text, '(import|export)\s+.*from\s+[''"].+[''"]')) + len(regexp_extract_all(text, '\{\s*\n.*\n\s*\}'))
   + len(regexp_extract_all(text, '(\[[\s\S]*\]|\{[\s\S]*\})')) + len(regexp_extract_all(text, '[=+\-*/<>!&|]{2,}')) >= 2 AS is_code FROM a""",
     ),
-    "token_breakdown": (token_breakdown, None),
+    "token_breakdown": (token_breakdown, _BREAKDOWN),
     "checksums": (checksums, f"WITH {FILES} SELECT doc_id, sha256(content) AS checksum, left(sha256(content), 16) AS short_hash, sha256(path || ':1-50:' || content) AS chunk_checksum, sha256(length(content) || ':0') AS meta_checksum FROM files"),
-    "hash_strings": (hash_strings, None),
+    "hash_strings": (hash_strings, "WITH a AS (SELECT p_partkey, list_transform(list_filter(string_split(p_name, ''), lambda c: c <> ''), lambda c: CAST(unicode(c) AS BIGINT)) AS c FROM part), b AS (SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, c), lambda h, x: ((h * 31 + x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) AS h FROM a) SELECT p_partkey, lower(to_base(abs(h), 36)) AS hash FROM b"),
     "path_parts": (path_parts, f"WITH {FILES} SELECT doc_id, 'txt' AS extension, regexp_extract(path, '[^/]*$') AS file_name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, 'text' AS language, starts_with(path, '/') AS is_absolute, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM files"),
     "path_distance": (
         path_distance,
@@ -262,8 +275,10 @@ SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0) - ceil(coalesce(list_su
     ),
     "budget_running": (
         budget_running,
-        "WITH a AS (SELECT event_id AS id, ts, 8239 * (CAST(floor(value) AS BIGINT) * 100) / 1000000.0::DOUBLE AS units FROM events), b AS (SELECT *, sum(units) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS used FROM a)"
-        " SELECT id, round(units, 6) AS units, round(used, 6) AS used, round(greatest(0.0, 100 - (used - units)), 6) AS remaining_before, units <= greatest(0.0, 100 - (used - units)) AS affordable, used > 90 AS alert FROM b",
+        "WITH RECURSIVE a AS (SELECT event_id AS id, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS nth, 8239 * (CAST(floor(value) AS BIGINT) * 100) / 1000000.0::DOUBLE AS units FROM events),"
+        " r AS (SELECT day, 0::BIGINT AS nth, NULL::BIGINT AS id, 0.0::DOUBLE AS units, 0.0::DOUBLE AS used, 0.0::DOUBLE AS remaining_before, false AS affordable FROM (SELECT DISTINCT day FROM a)"
+        " UNION ALL SELECT a.day, a.nth, a.id, a.units, CASE WHEN a.units <= greatest(0.0, 100 - r.used) THEN r.used + a.units ELSE r.used END, greatest(0.0, 100 - r.used), a.units <= greatest(0.0, 100 - r.used) FROM r JOIN a ON a.day = r.day AND a.nth = r.nth + 1)"
+        " SELECT id, round(units, 6) AS units, round(used, 6) AS used, round(remaining_before, 6) AS remaining_before, affordable, used > 90 AS alert FROM r WHERE nth > 0",
     ),
     "model_for_task": (model_for_task, "SELECT * FROM (VALUES ('code', 'deep-coder:6b'), ('chat', 'llama2:7b')) v(task, model)"),
     "compress_light": (compress_light, f"WITH a AS (SELECT doc_id, {_LIGHT} AS l FROM documents) SELECT doc_id, sha256(l) AS light, length(l)::BIGINT AS n FROM a"),

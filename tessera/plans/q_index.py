@@ -29,8 +29,19 @@ let plain = 1;
 PY = "import os\n\n# note\ndef f(x):\n    return x\n\nclass A:\n    def g(self):\n        return 1\n\n" + "\n".join(f"v{i} = {i}  # a line of some length" for i in range(8)) + "\n"
 
 
-def _code(s):
-    return s.createDataFrame([("/p/a.ts", CODE, "typescript"), ("/p/b.py", PY, "python"), ("/p/c.py", "def (:\n", "python")], "path string, content string, language string")
+def _code(s, d):
+    """A source file for each document: three kinds of text, whose names and comments carry its id."""
+    k, n = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    body = F.when(k == 0, CODE).when(k == 1, PY).otherwise("def (:\n")
+    named = F.replace(F.replace(F.replace(body, F.lit("add"), F.concat(F.lit("add"), n)), F.lit("Box"), F.concat(F.lit("Box"), n)), F.lit("f(x)"), F.concat(F.lit("f"), n, F.lit("(x)")))
+    return table(s, d, "documents").select(F.concat(F.lit("/p/"), n).alias("path"), named.alias("content"), F.when(k == 0, "typescript").otherwise("python").alias("language"))
+
+
+# What the two texts hold, by hand: kind, name, first and last line, parent.
+_PARSED = """(0, 'import', NULL, 1, 1, NULL), (0, 'import', NULL, 2, 2, NULL), (0, 'function', 'add', 5, 7, NULL), (0, 'class', 'Box', 9, 14, NULL),
+ (1, 'import', NULL, 1, 1, NULL), (1, 'function', 'f', 4, 5, NULL), (1, 'class', 'A', 7, 9, NULL), (1, 'function', 'g', 8, 9, 'A'), (2, 'error', NULL, 1, 1, NULL)"""
+_CHUNKED = "(0, 'function', 'add', 3, 7), (0, 'class', 'Box', 9, 14), (0, 'block', NULL, 15, 19), (1, 'function', 'f', 2, 5), (1, 'class', 'A', 7, 9), (1, 'block', NULL, 10, 19)"
+_NAMED = "CASE WHEN v.name IN ('add', 'Box', 'f') THEN v.name || doc_id ELSE v.name END AS name"
 
 
 def chunk_fixed(s, d):
@@ -52,19 +63,19 @@ def chunk_packed(s, d):
 
 
 def chunk_structural(s, d):
-    return chunking.structural(_code(s)).select("path", "kind", "name", "start_line", "end_line")
+    return chunking.structural(_code(s, d)).select("path", "kind", "name", "start_line", "end_line")
 
 
 def chunk_hybrid(s, d):
-    return chunking.chunk(_code(s), "hybrid").select("path", "start_line", "end_line")
+    return chunking.chunk(_code(s, d), "hybrid").select("path", "start_line", "end_line")
 
 
 def parsed(s, d):
-    return chunking.parse(_code(s)).select("path", "kind", "name", "start_line", "end_line", "parent")
+    return chunking.parse(_code(s, d)).select("path", "kind", "name", "start_line", "end_line", "parent")
 
 
 def symbols(s, d):
-    return _code(s).select("path", F.array_join(chunking.symbols(F.col("content")), ",").alias("symbols"), F.array_join(chunking.dependencies(F.col("content")), "|").alias("dependencies"))
+    return _code(s, d).select("path", F.array_join(chunking.symbols(F.col("content")), ",").alias("symbols"), F.array_join(chunking.dependencies(F.col("content")), "|").alias("dependencies"))
 
 
 def chunk_names(s, d):
@@ -221,12 +232,24 @@ QUERIES = {
         f"WITH {FILES}, l AS (SELECT path, string_split(regexp_replace(content, '(?m)^(The|Of) ', 'class \\1 ', 'g'), chr(10)) AS ls FROM files), s AS (SELECT path, ls, unnest(list_concat([0], list_filter(range(1, len(ls)), lambda i: starts_with(trim(ls[i + 1]), 'class')))) AS st FROM l), o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY st) - 1 AS idx, coalesce(lead(st) OVER (PARTITION BY path ORDER BY st), len(ls)) AS nx FROM s)"
         " SELECT path, CAST(idx AS BIGINT) AS idx, CAST(st + 1 AS BIGINT) AS start_line, CAST(nx AS BIGINT) AS end_line FROM o",
     ),
-    "chunk_packed_lines": (chunk_packed, None),
-    "chunk_structural": (chunk_structural, None),
-    "chunk_hybrid": (chunk_hybrid, None),
-    "parse_declarations": (parsed, None),
-    "extract_symbols": (symbols, None),
-    "chunk_names": (chunk_names, None),
+    "chunk_packed_lines": (
+        chunk_packed,
+        f"WITH RECURSIVE {FILES}, l AS (SELECT path, unnest(range(0, len(x))) AS i, unnest(list_transform(x, lambda t: CAST(ceil((length(t) + 1) / 4.0) AS BIGINT))) AS cost FROM (SELECT path, string_split(content, chr(10)) AS x FROM files)),"
+        " r AS (SELECT path, 0::BIGINT AS i, 0::BIGINT AS idx, cost AS tokens FROM l WHERE i = 0 UNION ALL SELECT r.path, l.i, r.idx + CASE WHEN r.tokens > 0 AND r.tokens + l.cost > 300 THEN 1 ELSE 0 END, CASE WHEN r.tokens > 0 AND r.tokens + l.cost > 300 THEN l.cost ELSE r.tokens + l.cost END FROM r JOIN l ON l.path = r.path AND l.i = r.i + 1)"
+        " SELECT path, CAST(idx AS INT) AS idx, CAST(min(i) + 1 AS INT) AS start_line, CAST(max(i) + 1 AS INT) AS end_line, max(tokens) AS tokens FROM r GROUP BY path, idx",
+    ),
+    "chunk_structural": (chunk_structural, f"SELECT '/p/' || doc_id AS path, kind, {_NAMED}, a AS start_line, b AS end_line FROM documents JOIN (VALUES {_CHUNKED}) v(k, kind, name, a, b) ON k = doc_id % 3"),
+    "chunk_hybrid": (chunk_hybrid, f"SELECT '/p/' || doc_id AS path, a AS start_line, b AS end_line FROM documents JOIN (VALUES {_CHUNKED}, (2, '', '', 1, 2)) v(k, kind, name, a, b) ON k = doc_id % 3"),
+    "parse_declarations": (parsed, f"SELECT '/p/' || doc_id AS path, kind, {_NAMED}, a AS start_line, b AS end_line, parent FROM documents JOIN (VALUES {_PARSED}) v(k, kind, name, a, b, parent) ON k = doc_id % 3"),
+    "extract_symbols": (
+        symbols,
+        "SELECT '/p/' || doc_id AS path, CASE doc_id % 3 WHEN 0 THEN 'add' || doc_id || ',Box' || doc_id || ',later' WHEN 1 THEN 'A' ELSE '' END AS symbols, CASE doc_id % 3 WHEN 0 THEN 'import os|import { a } from ' || chr(39) || 'b' || chr(39) WHEN 1 THEN 'import os' ELSE '' END AS dependencies FROM documents",
+    ),
+    "chunk_names": (
+        chunk_names,
+        _LINES.format(20) + r", n AS (SELECT path || ':' || (row_number() OVER (PARTITION BY path ORDER BY k) - 1) AS chunk_id, start_line, end_line, content, regexp_extract(content, 'function\s+(\w+)', 1) AS f, regexp_extract(content, 'class\s+(\w+)', 1) AS c FROM c WHERE NOT regexp_full_match(content, '\s*'))"
+        r" SELECT chunk_id, CASE WHEN f <> '' THEN f WHEN c <> '' THEN c ELSE 'lines-' || start_line || '-' || end_line END AS name, CASE WHEN c <> '' THEN 'class' WHEN f <> '' THEN 'function' WHEN end_line - start_line + 1 < 20 AND len(list_filter(string_split(content, chr(10)), lambda x: regexp_matches(trim(x), '^(import |use |require\()'))) > 0 THEN 'imports' ELSE 'function' END AS kind FROM n",
+    ),
     "changed_files": (changed_files, _ACT + " SELECT path, CASE WHEN oc IS NULL THEN 'new' WHEN mtime <= om THEN 'unchanged' WHEN checksum <> oc THEN 'changed' ELSE 'refresh' END AS action FROM j"),
     "changed_by_checksum": (changed_by_checksum, _ACT + " SELECT CASE WHEN oc IS NULL THEN 'new' WHEN checksum = oc THEN 'unchanged' ELSE 'changed' END AS action, count(*) AS n FROM j GROUP BY 1"),
     "changed_by_mtime": (changed_by_mtime, _ACT + " SELECT CASE WHEN oc IS NULL THEN 'new' WHEN mtime <= om THEN 'unchanged' ELSE 'changed' END AS action, count(*) AS n FROM j GROUP BY 1"),

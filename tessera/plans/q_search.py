@@ -95,7 +95,7 @@ def budget_select(s, d):
 
 
 def budget_select_diverse(s, d):
-    c = _scored(s, d).withColumn("path", F.substring_index("path", "/", 4)).withColumn("query_id", F.col("label"))
+    c = _scored(s, d).withColumn("path", F.col("language")).withColumn("query_id", F.col("label"))
     return selection.select_within(c, 4000, by="query_id", min_score=0.3, diversity=True).select("query_id", "id", "pos", "tokens")
 
 
@@ -110,7 +110,7 @@ def savings_report(s, d):
 
 
 def prompt_markdown(s, d):
-    c = table(s, d, "benchmark").filter("item_id < 12").select((F.col("item_id") + 1).alias("pos"), F.concat(F.lit("/f"), F.col("item_id") % 3).alias("path"), F.col("text").alias("content"), F.lit("text").alias("language"))
+    c = table(s, d, "benchmark").select((F.col("item_id") + 1).alias("pos"), F.concat(F.lit("/f"), F.col("item_id") % 3).alias("path"), F.col("text").alias("content"), F.lit("text").alias("language"))
     return selection.prompt(c).select(F.sha2("prompt", 256).alias("prompt"))
 
 
@@ -132,11 +132,11 @@ def service_search(s, d):
 
 
 def postings(s, d):
-    return textindex.postings(table(s, d, "benchmark").select(F.col("item_id").alias("path"), F.col("text").alias("content")))
+    return textindex.postings(files(s, d))
 
 
 def postings_grams(s, d):
-    p = textindex.postings_with_positions(table(s, d, "benchmark").select(F.col("item_id").alias("path"), F.col("text").alias("content")))
+    p = textindex.postings_with_positions(files(s, d))
     return p.select("term", "path", F.size("positions").alias("n"), F.get("positions", F.lit(0)).alias("first"))
 
 
@@ -170,8 +170,8 @@ def explain_usage(s, d):
 
 
 def index_update(s, d):
-    f = table(s, d, "benchmark").select(F.col("item_id").alias("path"), F.col("text").alias("content"))
-    changed = f.filter("path < 5").withColumn("content", F.lit("alpha beta alpha"))
+    f = files(s, d)
+    changed = f.filter("endswith(path, '5.txt')").withColumn("content", F.lit("alpha beta alpha"))
     return textindex.update(textindex.postings(f), changed).groupBy("path").agg(F.count("*").alias("terms"), F.sum("n").alias("n"))
 
 
@@ -189,13 +189,18 @@ def prefix_suggestions(s, d):
 
 def related_terms(s, d):
     h = history(s, d).select("query").distinct()
-    return textindex.related_terms(h, files(s, d).filter("doc_id < 3"), "click 7", 12).select("term", F.col("source").cast("long").alias("source"))
+    return textindex.related_terms(h, files(s, d), "click 7", 40).select("term", F.col("source").cast("long").alias("source"))
 
 
 _CNT = "WITH f AS (SELECT item_id AS path, list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by')) AS w FROM benchmark), t AS (SELECT path, unnest(w) AS term FROM f), p AS (SELECT term, path, count(*) AS n FROM t GROUP BY term, path)"
 _DOCS = _CNT.replace("item_id AS path", "path").replace("text", "content").replace("FROM benchmark", "FROM files").replace("WITH f AS", f"WITH {FILES}, f AS")
 _SC = f"WITH {CHUNKS}, c AS (SELECT chunk_id AS id, path, label, content, CAST(ceil(length(content) / 3.0) AS BIGINT) AS tokens, ((label * 97 + chunk_id * 31) % 100) / 100.0::DOUBLE AS score FROM chunks), s AS (SELECT *, CASE WHEN tokens = 0 THEN score * 1000 ELSE score / tokens END AS density FROM c)"
 _HIST = "h AS (SELECT event_type || ' ' || (user_id % 20) AS query, user_id, ts, event_id FROM events)"
+_FOLD = (
+    ", r AS (SELECT {k}0::BIGINT AS nth, 0::BIGINT AS spent, false AS done, NULL::BIGINT AS id, NULL::BIGINT AS tokens, NULL::DOUBLE AS score, false AS take, 0::BIGINT AS pos FROM {start}"
+    " UNION ALL SELECT {ok}o.nth, CASE WHEN {t} THEN spent + o.tokens ELSE spent END, CASE WHEN {t} THEN spent + o.tokens ELSE spent END >= {b} * 0.95::DOUBLE, o.id, o.tokens, o.score, {t}, r.pos + CASE WHEN {t} THEN 1 ELSE 0 END FROM r JOIN o ON o.nth = r.nth + 1{on} WHERE NOT r.done)"
+)
+_TAKE = "(spent + o.tokens <= {b} OR (spent + o.tokens <= {b} * 1.1::DOUBLE AND o.score > 0.8))"
 _TOP = "WITH q AS (SELECT {q} AS q) SELECT vec_id AS id, {cols}{cos} AS score FROM embeddings, q {where} ORDER BY score DESC, id LIMIT {k}"
 
 QUERIES = {
@@ -216,8 +221,25 @@ QUERIES = {
     "vec_threshold_counts": (threshold_counts, f"WITH q AS (SELECT {_Q} AS q) SELECT label, count(*) FILTER ({_COS} >= 0) AS above, count(*) AS n FROM embeddings, q GROUP BY label"),
     "density_rank": (density_rank, f"{_SC} SELECT id, tokens, round(density, 9) AS density FROM s ORDER BY s.density DESC, tokens, id LIMIT 25"),
     "best_per_file": (best_per_file, f"{_SC} SELECT regexp_extract(path, '^(/[^/]*/[^/]*/[^/]*)', 1) AS path, first(id ORDER BY score DESC, id) AS id, max(score) AS score FROM s GROUP BY 1"),
-    "budget_select": (budget_select, None),
-    "budget_select_diverse": (budget_select_diverse, None),
+    "budget_select": (
+        budget_select,
+        _SC.replace("WITH ", "WITH RECURSIVE ", 1) + ", o AS (SELECT *, row_number() OVER (ORDER BY density DESC, tokens, id) AS nth FROM s WHERE score >= 0.3)" + _FOLD.format(k="", ok="", start="(SELECT 1)", on="", b=8000, t=_TAKE.format(b=8000))
+        + " SELECT id, CAST(row_number() OVER (ORDER BY score DESC, nth) AS INT) AS pos, tokens, round(score, 6) AS score FROM r WHERE take",
+    ),
+    # Greedy choice by label, then the best of each of the few languages and what still fits.
+    "budget_select_diverse": (
+        budget_select_diverse,
+        _SC.replace("WITH ", "WITH RECURSIVE ", 1).replace("path, label", "path, language, label")
+        + ", o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY density DESC, tokens, id) AS nth FROM s WHERE score >= 0.3)"
+        + _FOLD.format(k="label, ", ok="o.label, ", start="(SELECT DISTINCT label FROM o)", on=" AND o.label = r.label", b=4000, t=_TAKE.format(b=4000))
+        + ", f AS (SELECT r.label, r.id, r.tokens, r.score, r.nth, language, count(*) OVER (PARTITION BY r.label, language) AS many, min(r.nth) OVER (PARTITION BY r.label, language) AS since, row_number() OVER (PARTITION BY r.label, language ORDER BY r.score DESC, r.nth) > 1 AS later, count(*) OVER (PARTITION BY r.label) AS n FROM r JOIN s USING (id) WHERE take)"
+        + ", g AS (SELECT *, count(DISTINCT language) OVER (PARTITION BY label) >= least(n, 5) OR n < 2 AS spread FROM f)"
+        + ", m AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY later, CASE WHEN later THEN 0 ELSE many END, CASE WHEN later THEN nth ELSE since END) AS turn FROM g WHERE NOT spread)"
+        + ", t AS (SELECT label, 0::BIGINT AS turn, 0::BIGINT AS spent, false AS done, NULL::BIGINT AS id, NULL::BIGINT AS tokens, NULL::DOUBLE AS score, false AS take FROM (SELECT DISTINCT label FROM m)"
+        + " UNION ALL SELECT m.label, m.turn, t.spent + CASE WHEN t.spent + m.tokens <= 4000 THEN m.tokens ELSE 0 END, m.later AND t.spent + CASE WHEN t.spent + m.tokens <= 4000 THEN m.tokens ELSE 0 END >= 3800, m.id, m.tokens, m.score, t.spent + m.tokens <= 4000 FROM t JOIN m ON m.label = t.label AND m.turn = t.turn + 1 WHERE NOT t.done)"
+        + ", u AS (SELECT label, id, tokens, score, turn FROM t WHERE take UNION ALL SELECT label, id, tokens, score, nth FROM g WHERE spread)"
+        + " SELECT label AS query_id, id, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, turn) AS INT) AS pos, tokens FROM u",
+    ),
     "selection_stats": (selection_stats, f"{_SC} SELECT count(*) AS selected, round(count(*) / 1000.0::DOUBLE, 6) AS rate, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(score), 6) AS avg_score FROM s WHERE score >= 0.8"),
     "savings_report": (
         savings_report,
@@ -225,13 +247,13 @@ QUERIES = {
     ),
     "prompt_markdown": (
         prompt_markdown,
-        "WITH b AS (SELECT item_id + 1 AS pos, '/f' || (item_id % 3) AS path, '```text' || chr(10) || text || chr(10) || '```' AS block FROM benchmark WHERE item_id < 12), f AS (SELECT path, min(pos) AS first, '## ' || path || chr(10) || string_agg(block, chr(10) ORDER BY pos) AS section FROM b GROUP BY path) SELECT sha256(string_agg(section, chr(10) || chr(10) ORDER BY first)) AS prompt FROM f",
+        "WITH b AS (SELECT item_id + 1 AS pos, '/f' || (item_id % 3) AS path, '```text' || chr(10) || text || chr(10) || '```' AS block FROM benchmark), f AS (SELECT path, min(pos) AS first, '## ' || path || chr(10) || string_agg(block, chr(10) ORDER BY pos) AS section FROM b GROUP BY path) SELECT sha256(string_agg(section, chr(10) || chr(10) ORDER BY first)) AS prompt FROM f",
     ),
     "reconstruct_prompt": (reconstruct, None),
     "get_context": (context_of_file, f"WITH {CHUNKS} SELECT chunk_id, path FROM chunks WHERE path = 'en/7.txt' OR ends_with(path, 'en/7.txt')"),
     "service_search": (service_search, f"WITH {CHUNKS}, q AS (SELECT {_Q} AS q), t AS (SELECT chunk_id AS id, {_COS} AS score FROM chunks, q WHERE language = 'de' AND {_COS} >= 0 ORDER BY score DESC, id LIMIT 5) SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM t"),
-    "postings_build": (postings, f"{_CNT} SELECT * FROM p"),
-    "postings_grams": (postings_grams, None),
+    "postings_build": (postings, f"{_DOCS} SELECT * FROM p"),
+    "postings_grams": (postings_grams, f"""WITH {FILES}, f AS (SELECT path, lower(content) AS t, list_filter(regexp_split_to_array(lower(content), '\\W+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by')) AS w FROM files), g AS (SELECT path, t, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM f) SELECT term, path, CAST((length(t) - length(replace(t, term, ''))) // length(term) AS INT) AS n, CAST(strpos(t, term) - 1 AS INT) AS first FROM g WHERE contains(t, term)"""),
     "text_search": (
         text_search,
         f"{_DOCS}, m AS (SELECT path, length(content) AS n_chars, strlen(content) AS size, date_diff('day', DATE '2024-01-31' - CAST(doc_id % 400 AS INT), DATE '2024-02-01') AS age, language FROM files) SELECT p.path, term, n, round((n / n_chars::DOUBLE * greatest(0.1, 1 - age / 365.0::DOUBLE) * CASE WHEN language = 'en' THEN 1.2 ELSE 1.0 END * least(1.0, size / 10000.0))::DOUBLE, 9) AS score FROM p JOIN m USING (path) WHERE term IN ('thing', 'tion') ORDER BY score DESC, path, term LIMIT 20",
@@ -243,12 +265,12 @@ QUERIES = {
     ),
     "word_overlap": (word_overlap, f"WITH {FILES}, a AS (SELECT path, regexp_split_to_array(lower(content), '\\W+') AS w FROM files), b AS (SELECT path, len(list_filter(['the', 'of', 'zzzz', 'anthe'], lambda x: list_contains(w, x))) / 4.0::DOUBLE AS score FROM a) SELECT path, round(score, 6) AS score FROM b WHERE score > 0.1"),
     "explain_usage": (explain_usage, f"WITH {CHUNKS} SELECT chunk_id, chunk_id = 3 AS is_definition FROM chunks WHERE chunk_id = 3 OR regexp_matches(content, '(?i)\\bthan\\b')"),
-    "index_update": (index_update, f"{_CNT} SELECT path, count(*) AS terms, CAST(sum(n) AS BIGINT) AS n FROM (SELECT path, n FROM p WHERE path >= 5 UNION ALL SELECT item_id, unnest([2, 1]) FROM benchmark WHERE item_id < 5) GROUP BY path"),
+    "index_update": (index_update, f"{_DOCS} SELECT path, count(*) AS terms, CAST(sum(n) AS BIGINT) AS n FROM (SELECT path, n FROM p WHERE NOT ends_with(path, '5.txt') UNION ALL SELECT path, unnest([2, 1]) FROM files WHERE ends_with(path, '5.txt')) GROUP BY path"),
     "popular_queries": (popular_queries, f"WITH {_HIST} SELECT lower(query) AS query, count(*) AS n FROM h GROUP BY 1 ORDER BY n DESC, query LIMIT 10"),
     "recent_distinct_queries": (recent_queries, f"WITH {_HIST}, l AS (SELECT query, ts FROM h ORDER BY ts DESC, query LIMIT 50) SELECT query, max(ts) AS ts FROM l GROUP BY query ORDER BY ts DESC, query LIMIT 10"),
     "prefix_suggestions": (prefix_suggestions, f"WITH {_HIST} SELECT lower(query) AS query, count(*) AS n FROM h WHERE starts_with(lower(query), 'cl') GROUP BY 1 ORDER BY n DESC, query LIMIT 5"),
     "related_terms": (
         related_terms,
-        f"WITH {FILES}, {_HIST}, t AS (SELECT DISTINCT lower(query) AS term, 0 AS source FROM h WHERE list_contains(regexp_split_to_array(lower(query), '\\W+'), 'click') AND lower(query) <> 'click 7' UNION ALL SELECT unnest(list_filter(regexp_split_to_array(lower(path), '[/._-]'), lambda w: length(w) > 3)), 1 FROM files WHERE doc_id < 3) SELECT term, CAST(min(source) AS BIGINT) AS source FROM t GROUP BY term ORDER BY source, term LIMIT 12",
+        f"WITH {FILES}, {_HIST}, t AS (SELECT DISTINCT lower(query) AS term, 0 AS source FROM h WHERE list_contains(regexp_split_to_array(lower(query), '\\W+'), 'click') AND lower(query) <> 'click 7' UNION ALL SELECT unnest(list_filter(regexp_split_to_array(lower(path), '[/._-]'), lambda w: length(w) > 3)), 1 FROM files) SELECT term, CAST(min(source) AS BIGINT) AS source FROM t GROUP BY term ORDER BY source, term LIMIT 40",
     ),
 }

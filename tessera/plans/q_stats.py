@@ -89,7 +89,7 @@ def health(s, d):
 
 
 def text_index_stats(s, d):
-    index = textindex.postings(table(s, d, "benchmark").select(F.col("item_id").alias("path"), F.col("text").alias("content")))
+    index = textindex.postings(files(s, d))
     return analytics.text_index_stats(index).select("files", r6(F.col("avg_terms")).alias("avg_terms"), "largest", "smallest", "terms")
 
 
@@ -155,7 +155,7 @@ def cache_totals(s, d):
 _C = FILES + ", c AS (SELECT doc_id AS id, path, content, language, doc_id % 9 = 0 AS gone, CASE WHEN doc_id % 4 = 0 THEN 'class' ELSE 'function' END AS kind FROM files)"
 _M = "m AS (SELECT event_type AS provider, user_id % 3 AS model, round(value, 2) AS t, user_id % 2 = 0 AS hit, CASE WHEN event_type = 'error' THEN 'e' || (user_id % 4) END AS error, ts FROM events)"
 _S = "s AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS original, o_custkey % 500 + 1 AS optimized, o_orderpriority AS query_type FROM orders)"
-_WORDS = "p AS (SELECT path, term, count(*) AS n FROM (SELECT item_id AS path, unnest(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by'))) AS term FROM benchmark) GROUP BY path, term), f AS (SELECT path, count(*) AS terms FROM p GROUP BY path)"
+_WORDS = FILES + ", p AS (SELECT path, term, count(*) AS n FROM (SELECT path, unnest(list_filter(regexp_split_to_array(lower(content), '\\W+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by'))) AS term FROM files) GROUP BY path, term), f AS (SELECT path, count(*) AS terms FROM p GROUP BY path)"
 
 QUERIES = {
     "live_counts": (live_counts, f"WITH {_C} SELECT count(*) AS total_chunks, count(DISTINCT path) AS total_files FROM c WHERE NOT gone"),

@@ -29,13 +29,19 @@ def test_budget_selection_equals_a_loop(spark, budget, least, most):
     rows = [(i, round(rnd.random(), 3), rnd.choice([0, 3, 30, 90, 200])) for i in range(80)]
     df = spark.createDataFrame([(i, f"/f{i % 9}", s, "x" * (3 * t)) for i, s, t in rows], "id long, path string, score double, content string")
     got = selection.select_within(selection.with_density(df), budget, min_score=least, max_chunks=most).orderBy("pos").collect()
-    assert [r.id for r in got] == greedy(rows, budget, least, most)
-
-
-def test_diversity_takes_the_best_of_each_file_first(spark):
-    df = spark.createDataFrame([(1, "/a", 0.9, "x" * 30), (2, "/a", 0.8, "x" * 30), (3, "/b", 0.2, "x" * 30)], "id long, path string, score double, content string")
-    got = selection.select_within(selection.with_density(df), 20, diversity=True).orderBy("pos").collect()
-    assert [r.id for r in got] == [1, 3]
+    score = {i: s for i, s, _ in rows}
+    assert [r.id for r in got] == sorted(greedy(rows, budget, least, most), key=lambda i: -score[i])
+
+
+def test_diversity_spreads_what_was_chosen(spark):
+    """The best of each file stays, files with fewest rows first; the others follow while they fit."""
+    rows = [(1, "/a", 0.99, 40), (2, "/a", 0.97, 40), (3, "/b", 0.95, 10), (4, "/a", 0.9, 18), (5, "/c", 0.1, 50)]
+    df = spark.createDataFrame([(i, p, s, "x" * (3 * t), 1) for i, p, s, t in rows], "id long, path string, score double, content string, q int")
+    for by in (None, "q"):
+        pick = lambda diversity, d=df, by=by: [r.id for r in selection.select_within(selection.with_density(d), 100, by=by, diversity=diversity).orderBy("pos").collect()]
+        assert pick(False) == [1, 2, 3, 4]  # 108 of 100: the last exceeds it by less than a tenth
+        assert pick(True) == [1, 3, 4]
+        assert pick(True, df.filter("id <> 4")) == [1, 2, 3]
     assert selection.select_within(selection.with_density(df.limit(0)), 20).count() == 0
 
 
@@ -130,3 +136,50 @@ def test_merge_and_json(spark):
         assert {r.key: r.value for r in integrity.merge([a, b], "key", how)[0].collect()} == want
     assert tuple(integrity.merge([a, b], "key")[1].first()) == (2, 2)
     assert integrity.json_shape('{"a": [1, "x", {"b": null}]}')[:7] == (True, 4, 2, 1, 1, 1, 2) and not integrity.json_shape("{")[0]
+
+
+def test_daily_budget_bills_only_what_is_granted(spark):
+    """Batch and stream agree: a refused request leaves the rest of the day's budget to later ones."""
+    from tessera.operators import routing
+
+    rows = [(1, "2024-01-01 01:00:00", 1_000_000), (2, "2024-01-01 02:00:00", 2_000_000), (3, "2024-01-01 03:00:00", 100_000), (4, "2024-01-02 01:00:00", 1_000_000), (5, "2024-01-01 04:00:00", 0)]
+    df = spark.createDataFrame(rows, "id long, at string, tokens long").selectExpr("id", "cast(at as timestamp) as ts", "tokens")
+    out = {r.id: r for r in routing.daily_budget(df, 10_000).collect()}
+    assert {k: r.affordable for k, r in out.items()} == {1: True, 2: False, 3: True, 4: True, 5: True}
+    assert abs(out[3].used - (8239 + 823.9)) < 1e-6 and abs(out[3].remaining_before - 1761) < 1e-6 and out[3].alert and not out[1].alert
+    assert routing.daily_budget(df.limit(0)).count() == 0
+
+
+def test_selection_pages_equal_one_fold(spark):
+    """Without a key candidates come in pages; the outcome is that of the fold over one array."""
+    import random
+
+    from tessera.operators import selection
+
+    rnd = random.Random(3)
+    rows = [(i, f"/f{rnd.randint(0, 40)}", rnd.random(), rnd.randint(0, 60)) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, path string, score double, tokens long").selectExpr("*", "if(tokens = 0, score * 1000, score / tokens) as density", "1 as q")
+    page, selection.PAGE = selection.PAGE, 50
+    try:
+        for budget, diverse, most in ((900, False, None), (900, True, None), (0, False, None), (5, True, 3), (10**6, False, None)):
+            a = [(r.id, r.pos) for r in selection.select_within(df, budget, min_score=0.2, max_chunks=most, diversity=diverse).orderBy("pos").collect()]
+            b = [(r.id, r.pos) for r in selection.select_within(df, budget, by="q", min_score=0.2, max_chunks=most, diversity=diverse).orderBy("pos").collect()]
+            assert a == b, (budget, diverse)
+    finally:
+        selection.PAGE = page
+
+
+def test_positions_in_one_pass(spark):
+    from tessera.operators import textindex
+
+    text = "Other the othe aaaa aaaa bother other, the aaaa-x"
+    rows = [("a", text), ("b", ""), ("c", None)]
+    got = {r.term: r.positions for r in textindex.postings_with_positions(spark.createDataFrame(rows, "path string, content string")).collect()}
+    low = text.lower()
+    for term, at in got.items():
+        want, i = [], low.find(term)
+        while i >= 0:
+            want.append(i)
+            i = low.find(term, i + len(term))
+        assert at == want
+    assert got["other"] == [0, 26, 32] and "aaaa aaaa" in got
