@@ -61,6 +61,11 @@ def overlap_score(query: Column, c: Column) -> Column:
     return F.try_divide(F.size(F.filter(q, lambda w: F.array_contains(words(c), w))), F.size(q))
 
 
+def sanitize_query(c: Column, most: int = 1000) -> Column:
+    """A query without outer blanks, at most ``most`` characters."""
+    return F.substring(F.trim(c), 1, most)
+
+
 def checksum(c: Column) -> Column:
     return F.sha2(F.coalesce(c, F.lit("")), 256)
 

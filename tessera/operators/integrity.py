@@ -57,6 +57,35 @@ def diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return j.withColumn("change", change).filter("change is not null").select(key, "change", "before", "after")
 
 
+def flatten_json(df: DataFrame, column: str, key: str) -> DataFrame:
+    """key, path, value: each leaf of a JSON text under its dotted path; a broken text is one row without path."""
+
+    def leaves(x, at: str) -> Iterator[tuple[str, str]]:
+        if isinstance(x, (dict, list)) and x:
+            for k, v in x.items() if isinstance(x, dict) else enumerate(x):
+                yield from leaves(v, f"{at}[{k}]" if isinstance(x, list) else f"{at}.{k}" if at else str(k))
+        else:
+            yield at, json.dumps(x, ensure_ascii=False)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, t in zip(b[key], b[column]):
+                try:
+                    rows += [(k, p, v) for p, v in leaves(json.loads(t or ""), "")]
+                except ValueError:
+                    rows.append((k, None, t))
+            yield pd.DataFrame(rows, columns=[key, "path", "value"])
+
+    return df.select(key, column).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, path string, value string")
+
+
+def diff_json(old: DataFrame, new: DataFrame, column: str, key: str) -> DataFrame:
+    """key, path, change and both values of the leaves that two versions of JSON texts differ in."""
+    at = lambda df: flatten_json(df, column, key).withColumn("_at", F.struct(key, "path"))
+    return diff(at(old), at(new), "_at", "value").select(f"_at.{key}", "_at.path", "change", "before", "after")
+
+
 def json_shape(text: str | None) -> tuple[bool, int, int, int, int, int, int, str | None]:
     """valid, depth, objects, arrays, strings, numbers, keys, error."""
     try:

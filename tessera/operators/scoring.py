@@ -21,8 +21,16 @@ def usage_stats(usage: DataFrame) -> DataFrame:
     return g.select("chunk_id", "total", "helpful", ratio.alias("helpful_ratio"), boost.alias("boost"), (ratio * boost).alias("frequency"))
 
 
-def recent_usage(usage: DataFrame, now: Column, days: int = 90) -> DataFrame:
-    return usage.filter(F.col("ts") >= now - F.expr(f"interval {days} days"))
+def recent_usage(usage: DataFrame, now: Column, days: int = 90, until: Column | None = None) -> DataFrame:
+    """Usage from ``days`` before ``now`` on, up to ``until`` if given, both bounds included."""
+    recent = usage.filter(F.col("ts") >= now - F.expr(f"interval {days} days"))
+    return recent if until is None else recent.filter(F.col("ts") <= until)
+
+
+def normalized_breakdown(df: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
+    """Feature columns clamped to 0..1; null and not-a-number count as 0."""
+    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))))
+    return df.withColumns({n: clamp(F.col(n)) for n in names})
 
 
 def symbol_match(name: Column, entities: Column) -> Column:

@@ -20,12 +20,12 @@ def literal(v: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in v])
 
 
-def filters(df: DataFrame, language: str | None = None, prefix: str | None = None, pattern: str | None = None, created_after: Column | None = None, created_before: Column | None = None) -> DataFrame:
-    """Live rows by language, path prefix, path substring without its first star, and time."""
+def filters(df: DataFrame, language: str | list[str] | None = None, prefix: str | None = None, pattern: str | None = None, created_after: Column | None = None, created_before: Column | None = None) -> DataFrame:
+    """Live rows by language (or a list of those allowed), path prefix, path substring without its first star, and time."""
     if "deleted_at" in df.columns:
         df = df.filter("deleted_at is null")
     if language is not None:
-        df = df.filter(F.col("language") == language)
+        df = df.filter(F.col("language").isin(language))
     if prefix is not None:
         df = df.filter(F.startswith("path", F.lit(prefix)))
     if pattern is not None:
@@ -94,6 +94,32 @@ def approximate(df: DataFrame, query: list[float], k: int = 10, preset: str = "d
     return top_k(near, query, k, vector=vector, key=key)
 
 
+def add(index: DataFrame, rows: DataFrame, dim: int, key: str = "id", vector: str = "embedding") -> DataFrame:
+    """The index with further rows.  A vector of another length, a missing one, or an id that is there already raises."""
+    length = F.coalesce(F.size(vector), F.lit(-1))
+    fitting = rows.withColumn(vector, F.when(length == dim, F.col(vector)).otherwise(F.raise_error(F.concat(F.lit(f"vector of {dim} dimensions expected, got "), length.cast("string")))))
+    both = index.select(key, vector, F.lit(0).alias("_new")).unionByName(fitting.select(key, vector, F.lit(1).alias("_new")))
+    merged = both.groupBy(key).agg(F.first(vector).alias(vector), F.count("*").alias("_n"))
+    return merged.select(F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("duplicate id "), F.col(key).cast("string")))).alias(key), vector)
+
+
+def save_index(df: DataFrame, path: str, dim: int, preset: str = "default", vector: str = "embedding") -> None:
+    """Store a table with its buckets: a search then reads the files of its own buckets alone."""
+    b = buckets(df, dim, preset, vector)
+    b.repartition("tbl", "bucket").write.mode("overwrite").partitionBy("tbl", "bucket").parquet(path)
+
+
+def search_index(spark, path: str, query: list[float], k: int = 10, preset: str = "default", vector: str = "embedding", key: str = "id") -> DataFrame:
+    """Best ``k`` of a stored index among rows that share a bucket with the query, scored exactly."""
+    one = spark.range(1).select(literal(query).alias(vector))
+    wanted = [(r.tbl, r.bucket) for r in buckets(one, len(query), preset, vector).select("tbl", "bucket").collect()]  # one a table
+    probe = F.lit(False)
+    for t, b in wanted:
+        probe = probe | ((F.col("tbl") == t) & (F.col("bucket") == b))
+    near = spark.read.parquet(path).filter(probe).drop("tbl", "bucket").dropDuplicates([key])
+    return top_k(near, query, k, vector=vector, key=key)
+
+
 def get_batch(df: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")
 

@@ -46,6 +46,17 @@ def postings_with_positions(files: DataFrame) -> DataFrame:
     return t.mapInPandas(run, out)
 
 
+def save(index: DataFrame, path: str, parts: int | None = None) -> None:
+    """Store postings sorted by term, so that the few terms of a query read few row groups."""
+    ranged = index.repartitionByRange(parts, "term") if parts else index.repartitionByRange("term")
+    ranged.sortWithinPartitions("term", "path").write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    """Stored postings; ``search`` pushes its terms down to the scan."""
+    return spark.read.parquet(path)
+
+
 def update(index: DataFrame, changed: DataFrame) -> DataFrame:
     """The index with the changed files' postings replaced."""
     return remove(index, changed.select("path")).unionByName(postings(changed))

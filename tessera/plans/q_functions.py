@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import paths, text, tokens, vectors
-from tessera.operators import compression, routing, scoring
+from tessera.operators import compression, routing, scoring, search
+from tessera.sources.files import split_valid
 from tessera.plans.common import CHUNKS, FILES, NOW_SQL, chunks, files, now, prompts, r6, table, usage, vector_rows
 
 PROMPTS = "prompts AS (SELECT conv_id * 1000 + turn AS id, text AS prompt FROM conversations WHERE role = 'user')"
@@ -99,6 +100,12 @@ def relevance(s, d):
     return out.select("chunk_id", *[r6(F.col(k)).alias(k) for k in ("semantic", "proximity", "symbol", "recency", "frequency", "score")])
 
 
+def relevance_top(s, d):
+    """The best twenty by the composite score, with rank."""
+    best = relevance(s, d).select(F.col("chunk_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(20)
+    return search.ranked(best).select("id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def store_scores(s, d):
     c = chunks(s, d)
     age, sem = (F.col("chunk_id") % 90).cast("double"), F.lit(0.5)
@@ -154,8 +161,10 @@ def compress_language(s, d):
 
 
 def validated(s, d):
-    t = F.col("text")
-    return table(s, d, "documents").select("doc_id", ((F.octet_length(t) > 0) & (F.octet_length(t) <= 10_485_760)).alias("valid"), F.substring(F.trim(t), 1, 1000).alias("clean")).select("doc_id", "valid", F.sha2("clean", 256).alias("clean"))
+    """Both outcomes of the payload check, by its own rules, and each text as a query."""
+    good, bad = split_valid(files(s, d).withColumn("path", F.substring("path", 2, 1000)))
+    both = good.withColumn("valid", F.lit(True)).unionByName(bad.withColumn("valid", F.lit(False)).drop("reason"))
+    return both.select("doc_id", "valid", F.sha2(text.sanitize_query(F.col("content")), 256).alias("clean"))
 
 
 _DOT = "list_inner_product(CAST(embedding AS DOUBLE[]), CAST({} AS DOUBLE[]))"
@@ -286,3 +295,4 @@ SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0) - ceil(coalesce(list_su
     "compress_language": (compress_language, None),
     "content_validation": (validated, "SELECT doc_id, strlen(text) > 0 AND strlen(text) <= 10485760 AS valid, sha256(substr(trim(text), 1, 1000)) AS clean FROM documents"),
 }
+QUERIES["score_relevance_top"] = (relevance_top, f"SELECT chunk_id AS id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM ({QUERIES['score_relevance'][1]}) ORDER BY score DESC, chunk_id LIMIT 20")

@@ -180,6 +180,13 @@ def json_merge_counts(s, d):
     return integrity.merge(list(_halves(s, d)), "k")[1]
 
 
+def backup_diff_paths(s, d):
+    """Leaves that differ between the events' properties and an edited copy."""
+    e = table(s, d, "events").select("event_id", "props")
+    new = e.filter("event_id % 7 <> 1").withColumn("props", F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", r"\}$", ", \"x\": {\"y\": [1, 2]}}")).otherwise(F.col("props")))
+    return integrity.diff_json(e, new, "props", "event_id")
+
+
 def backup_diff(s, d):
     a, b = _halves(s, d)
     return integrity.diff(a, b, "k", "value")
@@ -270,6 +277,11 @@ QUERIES = {
     "json_merge_first": (json_merge_first, f"WITH {_MERGE} SELECT k, coalesce(a.value, b.value) AS value FROM a FULL JOIN b USING (k)"),
     "json_merge_concat": (json_merge_concat, f"WITH {_MERGE}, c AS (SELECT * FROM b WHERE value IS NOT NULL) SELECT k, concat_ws(',', a.value, c.value) AS value FROM a FULL JOIN c USING (k)"),
     "json_merge_counts": (json_merge_counts, f"WITH {_MERGE}, u AS (SELECT k FROM a UNION ALL SELECT k FROM b) SELECT count(DISTINCT k) AS merged, count(*) - count(DISTINCT k) AS conflicts FROM u"),
+    "backup_diff_paths": (
+        backup_diff_paths,
+        "WITH e AS (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events) SELECT event_id, 'k' AS path, 'removed' AS change, k AS before, NULL AS after FROM e WHERE event_id % 7 = 1"
+        " UNION ALL SELECT event_id, unnest(['x.y[0]', 'x.y[1]']), 'added', NULL, unnest(['1', '2']) FROM e WHERE event_id % 7 <> 1 AND event_id % 5 = 0",
+    ),
     "backup_diff": (backup_diff, f"WITH {_MERGE}, j AS (SELECT k, a.value AS before, b.value AS after, a.k IS NOT NULL AS o, b.k IS NOT NULL AS n FROM (SELECT *, k AS k2 FROM a) a FULL JOIN b USING (k)) SELECT k, CASE WHEN NOT o THEN 'added' WHEN NOT n THEN 'removed' ELSE 'modified' END AS change, before, after FROM (SELECT coalesce(a.k, b.k) AS k, a.value AS before, b.value AS after, a.k IS NOT NULL AS o, b.k IS NOT NULL AS n FROM a FULL JOIN b ON a.k = b.k) WHERE NOT (o AND n AND before IS NOT DISTINCT FROM after)".replace(", j AS (SELECT k, a.value AS before, b.value AS after, a.k IS NOT NULL AS o, b.k IS NOT NULL AS n FROM (SELECT *, k AS k2 FROM a) a FULL JOIN b USING (k))", "")),
     "json_structure": (json_structure, "SELECT event_id, true AS valid, 2::BIGINT AS depth, 1::BIGINT AS objects, 1::BIGINT AS keys, 1::BIGINT AS numbers FROM events"),
     "cleanup_report": (

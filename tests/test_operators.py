@@ -183,3 +183,44 @@ def test_positions_in_one_pass(spark):
             i = low.find(term, i + len(term))
         assert at == want
     assert got["other"] == [0, 26, 32] and "aaaa aaaa" in got
+
+
+def test_stored_indexes(spark, tmp_path):
+    """A stored vector index finds what the unstored one finds; stored postings answer as fresh ones."""
+    import numpy as np
+
+    from tessera.operators import search, textindex
+
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 16))
+    x = np.repeat(base, 25, axis=0) + 0.15 * rng.standard_normal((1000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    path, hits = str(tmp_path / "vectors"), 0
+    search.save_index(df, path, 16)
+    for q in range(0, 1000, 100):
+        got = [r.id for r in search.search_index(spark, path, x[q].tolist(), 10).collect()]
+        cos = x @ x[q] / np.linalg.norm(x, axis=1)
+        hits += len(set(got) & set(np.argsort(-cos)[:10].tolist()))
+    assert hits >= 90
+    more = spark.createDataFrame([(5000, [0.0] * 16)], df.schema)
+    assert search.add(df, more, 16).count() == 1001
+    for bad in (spark.createDataFrame([(1, [0.0] * 16)], df.schema), spark.createDataFrame([(5001, [0.0] * 3)], df.schema), spark.createDataFrame([(5002, None)], df.schema)):
+        with pytest.raises(Exception, match="duplicate id|dimensions expected"):
+            search.add(df, bad, 16).collect()
+    files = spark.createDataFrame([("a", "alpha beta beta"), ("b", "beta gamma")], "path string, content string")
+    textindex.save(textindex.postings(files), str(tmp_path / "postings"), 2)
+    again = textindex.load(spark, str(tmp_path / "postings"))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, textindex.postings(files).collect()))
+
+
+def test_json_leaves_and_breakdown(spark):
+    from tessera.operators import integrity, scoring, search
+
+    old = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}, "c": "x"}'), (2, "{"), (3, "{}")], "id long, doc string")
+    new = spark.createDataFrame([(1, '{"a": {"b": [1, 3]}}'), (3, '{"n": null}')], "id long, doc string")
+    got = sorted((r.id, r.path, r.change) for r in integrity.diff_json(old, new, "doc", "id").collect() if r.path is not None)
+    assert got == [(1, "a.b[1]", "modified"), (1, "c", "removed"), (3, "", "removed"), (3, "n", "added")]
+    f = spark.createDataFrame([(2.0, -1.0, None, float("nan"), 0.5)], "semantic double, proximity double, symbol double, recency double, frequency double")
+    assert tuple(scoring.normalized_breakdown(f).first()) == (1.0, 0.0, 0.0, 0.0, 0.5)
+    langs = spark.createDataFrame([("en",), ("de",), ("fr",)], "language string")
+    assert search.filters(langs, language=["en", "fr"]).count() == 2 and search.filters(langs, language="de").count() == 1
