@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The patterns by which code is told from prose and adjusted for.
@@ -59,11 +61,19 @@ def _total_length(c: Column, pattern: str) -> Column:
     return F.aggregate(F.regexp_extract_all(_text(c), F.lit(pattern), F.lit(0)), F.lit(0), lambda acc, m: acc + F.length(m))
 
 
+def _adjusted(c: Column, sign: str, pattern: str, worth: Callable[[Column], Column]) -> Column:
+    """What matches of a pattern count beyond a quarter of their characters; looked for once, and only where ``sign`` occurs."""
+    length = lambda found: F.aggregate(found, F.lit(0), lambda acc, m: acc + F.length(m))
+    found = F.array(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)))
+    return F.when(F.contains(c, F.lit(sign)), F.get(F.transform(found, lambda m: worth(m) - F.ceil(length(m) / 4)), F.lit(0))).otherwise(F.lit(0))
+
+
 def text_tokens(c: Column) -> Column:
     """Prose estimate; a URL counts a token for each 20 characters, an e-mail address two."""
-    urls = F.aggregate(F.regexp_extract_all(_text(c), F.lit(URLS), F.lit(0)), F.lit(0).cast("long"), lambda acc, m: acc + F.ceil(F.length(m) / 20))
-    adjusted = estimate_tokens(c) - F.ceil(_total_length(c, URLS) / 4) + urls - F.ceil(_total_length(c, EMAILS) / 4) + 2 * count(c, EMAILS)
-    return _long(F.greatest(F.lit(1), adjusted))
+    t = _text(c)
+    urls = _adjusted(t, "://", URLS, lambda found: F.aggregate(found, F.lit(0).cast("long"), lambda acc, m: acc + F.ceil(F.length(m) / 20)))
+    emails = _adjusted(t, "@", EMAILS, lambda found: (2 * F.size(found)).cast("long"))
+    return _long(F.greatest(F.lit(1), estimate_tokens(c) + urls + emails))
 
 
 def code_tokens(c: Column) -> Column:
