@@ -9,6 +9,11 @@ Each stage takes (spark, docs, sf_dir) and returns the documents it kept, with t
 4. mixing: sources are mixed to their target weights; a document taken in part keeps its
    taken words, one taken twice comes twice.
 5. encoding: texts become token ids.
+
+Cases: a null or empty text, and one without letters, goes in the first stage; a null id or
+source is a value like any other; repeated rows are near copies of each other, so one stays;
+texts of any length are taken whole; an empty table gives an empty table; columns beyond
+those of ``documents`` are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations

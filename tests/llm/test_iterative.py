@@ -71,6 +71,10 @@ def test_substrings(spark):
         got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(df, group_words=words).collect()), key=str)
         assert got == repeats(rows)
     assert substring_dedup.drop_repeats(df.limit(0)).count() == 0
+    long = " ".join(f"w{i % 700}" for i in range(60_000))
+    rows = [(1, long), (2, "a b c " + long[: len(long) // 2]), (3, "same " * 20_000), (4, "same " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.drop_repeats(df, group_words=5000).collect()), key=str) == repeats(rows)
 
 
 def classes(rows):
@@ -291,3 +295,46 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in out} <= keep and len({r.doc_id for r in out}) > 0.8 * len(keep)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "private_data", "mixing", "encoding"]
     assert all(r.n_tokens == len(r.token_ids) // 4 for r in out)
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    """Each stage's decision on nulls, empty and very long texts, repeated rows and clashing extra columns."""
+    long = " ".join(f"the word number {i} of a very long english text" for i in range(9000))
+    learn = [(100 + i, f"the cat sat on the mat number {i} and the dog ran home with it again", "en", "a", 1) for i in range(12)]
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (3, "12 34 !!", "en", "a", 0), (4, long, None, None, 0), (5, "write to a@b.example now please, the mail is open", "en", "b", 0), (5, "write to a@b.example now please, the mail is open", "en", "b", 0), (None, "a text without an id is still a text of words", "en", "b", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node int, mix_pass int, entities string, token_ids int"
+    df = spark.createDataFrame([(*r, 1, 2, "x", 3) for r in learn + rows], schema)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, seen = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = docs.collect()
+    ids = lambda name: sorted({r.doc_id for r in seen[name]}, key=str)
+    assert {1, 2, 3}.isdisjoint(ids("language")) and {4, 5, None} <= set(ids("language")) and len([r for r in seen["language"] if r.doc_id == 5]) == 2
+    assert len([r for r in seen["near_duplicates"] if r.doc_id == 5]) == 1 and {4, None} <= set(ids("near_duplicates"))
+    assert any("[EMAIL]" in r.text for r in seen["private_data"]) and next(r for r in seen["private_data"] if r.doc_id == 4).text == long
+    assert all(r.n_tokens == len(r.token_ids) // 4 > 0 for r in seen["encoding"]) and seen["encoding"][0].asDict().keys() == {"doc_id", "lang", "source", "n_chars", "n_tokens", "token_ids"}
+    empty = str(tmp_path / "empty")
+    df.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_neighbours_clustered_and_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((30, 12)) * 2
+    x = centres[rng.integers(0, 30, 1500)] + 0.3 * rng.standard_normal((1500, 12))
+    x[200:700] = x[200]
+    ids = [i if i != 41 else 40 for i in range(1500)]  # one id stands on two rows
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, score int").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, lambda c: c % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    hits = 0
+    for q in [i for i in range(0, 1500, 20) if i != 40]:
+        s = x @ x[q]
+        best = sorted(((-s[j], i) for j, i in enumerate(ids) if i != q))[:20]
+        assert [f[0] for f in sorted(got[q])] == list(range(1, 21))
+        hits += len({round(-b[0], 9) for b in best} & {round(f[2], 9) for f in got[q]}) / len({round(-b[0], 9) for b in best})
+    assert hits >= 0.9 * 74
