@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from tessera.functions import vectors
 from tessera.operators import search, selection, textindex
@@ -115,9 +115,11 @@ def prompt_markdown(s, d):
 
 
 def reconstruct(s, d):
-    requests = prompts(s, d).orderBy("id").limit(10)
+    """Every user prompt with the twenty best chunks of a label as its candidates."""
+    requests = prompts(s, d)
     c = _scored(s, d).withColumn("kind", F.lit("function")).withColumn("signature", F.lit(None).cast("string")).withColumn("start_line", F.lit(1)).withColumn("end_line", F.lit(50))
-    pairs = c.join(F.broadcast(requests.select(F.col("id").alias("query_id"), (F.col("id") % 10).alias("label"))), "label")
+    best = c.withColumn("nth", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "id"))).filter("nth <= 20").drop("nth")
+    pairs = requests.select(F.col("id").alias("query_id"), (F.col("id") % 10).cast("int").alias("label")).join(best, "label")
     out = api.reconstruct_prompt(requests, pairs, 6000, F.lit(True))
     return out.select("id", "intent", "chunks", "original", "optimized", "model", F.length("context").alias("context_chars"))
 

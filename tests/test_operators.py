@@ -224,3 +224,19 @@ def test_json_leaves_and_breakdown(spark):
     assert tuple(scoring.normalized_breakdown(f).first()) == (1.0, 0.0, 0.0, 0.0, 0.5)
     langs = spark.createDataFrame([("en",), ("de",), ("fr",)], "language string")
     assert search.filters(langs, language=["en", "fr"]).count() == 2 and search.filters(langs, language="de").count() == 1
+
+
+def test_reconstructed_prompts_equal_a_loop(spark):
+    """Each request's chunks are those of a plain greedy choice among its candidates."""
+    from tessera.plans import api
+
+    rnd = random.Random(9)
+    chunks = [(q, i, f"/f{i}", "".join(rnd.choice("abc \n") for _ in range(rnd.randint(3, 400))), round(rnd.random(), 3)) for q in (1, 2, 3) for i in range(25)]
+    scored = spark.createDataFrame(chunks, "query_id long, id long, path string, content string, score double").selectExpr("*", "'text' as language", "'function' as kind", "cast(null as string) as signature", "1 as start_line", "9 as end_line")
+    requests = spark.createDataFrame([(1, "fix the bug"), (2, "explain this"), (3, "x"), (4, "no candidates")], "id long, prompt string")
+    out = {r.id: r for r in api.reconstruct_prompt(requests, scored, 600, F.lit(True)).collect()}
+    assert set(out) == {1, 2, 3}
+    for q in out:
+        mine = [(i, s, -(-len(c) // 3)) for k, i, _, c, s in chunks if k == q]
+        want = greedy(mine, 600, 0.3, None)
+        assert out[q].chunks == len(want) and all(f"## /f{i}\n" in out[q].context for i in want)
