@@ -4,8 +4,9 @@
 what the vocabulary file prescribes.  A word is encoded by the contiguous rank array: its
 part ids and the ranks of adjacent pairs lie in two short arrays; the smallest rank is
 found by a scan, the boundary behind it is deleted and only the two neighbouring ranks are
-looked up anew.  Words beyond ``SHORT`` parts, where scanning would be quadratic, take the
-same merges from a heap over a linked list.
+looked up anew.  The new words of some hundred texts do this in step, as the rows of two
+matrices, each row losing one boundary a step.  Words beyond ``SHORT`` parts, where scanning
+would be quadratic, take the same merges from a heap over a linked list.
 
 Both run as Arrow batch functions: they are narrow (no shuffle), keep one bounded word
 cache per Python worker and hold one batch at a time.
@@ -22,8 +23,9 @@ import heapq
 import json
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
@@ -31,6 +33,9 @@ from pyspark.sql import DataFrame, types as T
 SHORT = 256
 CACHE_WORDS = 250_000
 _NONE = 1 << 30
+#: A part that is in no pair; rows of the matrices that merge in step.
+_PAD = (1 << 20) - 1
+_ROWS = 4096
 
 # Texts of these characters alone are normalised and split by Python itself; any other text
 # takes the vocabulary file's own normaliser and splitter.  Left out are characters on which
@@ -95,7 +100,13 @@ class WordBpe:
         for s, i in [*vocab.items(), *self.special.items()]:
             self.token[i] = s.encode()
         self.by_symbol = {s: b for b, s in enumerate(symbols)}
-        self.cache = _Words(self)
+        # Pairs in ascending order, for many words at a time; the last one is larger than any.
+        at = np.array(sorted(self.rank), dtype=np.int64)
+        self.pairs = np.append(at, np.iinfo(np.int64).max)
+        self.pair_rank = np.array([*map(self.rank.get, at.tolist()), _NONE], dtype=np.int32)
+        self.made_of = np.array(self.made, dtype=np.int64)
+        self.first = np.array([self.inner, self.final], dtype=np.int64)
+        self.cache = _Cache(self.merged)
         self._tok = None
 
     # -- one word ---------------------------------------------------------------------
@@ -146,6 +157,57 @@ class WordBpe:
                 offer(left[i], i)
         return [p for p in parts if p >= 0]
 
+    # -- many words -------------------------------------------------------------------
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = a << 20 | b
+        at = np.searchsorted(self.pairs, pair)
+        return np.where(self.pairs[at] == pair, self.pair_rank[at], _NONE)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of words of at most ``SHORT`` bytes, those of like length in step."""
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        order = np.argsort(size, kind="stable")
+        cuts = np.searchsorted(size[order], [1, 7, 10, 14, 20, 32, 64, 128, SHORT + 1])
+        for a, b in zip(cuts, cuts[1:]):
+            for at in range(a, b, _ROWS):
+                self._in_step(words, order[at : min(at + _ROWS, b)], size, out)
+        return out
+
+    def _in_step(self, words: list[bytes], rows: np.ndarray, size: np.ndarray, out: list[bytes]) -> None:
+        n = size[rows]
+        text = np.frombuffer(b"".join(words[i] for i in rows.tolist()), dtype=np.uint8)
+        parts = np.full((len(rows), n.max()), _PAD, dtype=np.int64)
+        real = np.arange(parts.shape[1]) < n[:, None]
+        last = np.zeros(real.shape, dtype=np.int64)
+        last[np.arange(len(rows)), n - 1] = 1
+        parts[real] = self.first[last[real], text]
+        rank = self.ranks(parts[:, :-1], parts[:, 1:])
+        while len(rows):
+            done = np.ones(len(rows), dtype=bool) if not rank.shape[1] else rank.min(axis=1) == _NONE
+            if done.any():
+                ended = parts[done]
+                held = ended != _PAD
+                packed, ends = ended[held].astype("<u4").tobytes(), np.cumsum(held.sum(axis=1) * 4).tolist()
+                for i, x, y in zip(rows[done].tolist(), [0, *ends], ends):
+                    out[i] = packed[x:y]
+                rows, parts, rank = rows[~done], parts[~done], rank[~done]
+                if not len(rows):
+                    return
+            r, at = np.arange(len(rows)), rank.argmin(axis=1)
+            parts[r, at] = self.made_of[rank[r, at]]
+            keep = np.ones(parts.shape, dtype=bool)
+            keep[r, at + 1] = False
+            parts = parts[keep].reshape(len(rows), -1)
+            keep = np.ones(rank.shape, dtype=bool)
+            keep[r, at] = False
+            rank = rank[keep].reshape(len(rows), -1)
+            for there in (at - 1, at):
+                ok = (there >= 0) & (there < rank.shape[1])
+                i, j = r[ok], there[ok]
+                rank[i, j] = self.ranks(parts[i, j], parts[i, j + 1])
+
     # -- one text ---------------------------------------------------------------------
 
     def words(self, text: str) -> list[str]:
@@ -159,14 +221,58 @@ class WordBpe:
         pieces = self._tok.pre_tokenizer.pre_tokenize_str(self._tok.normalizer.normalize_str(text))
         return [bytes(map(self.by_symbol.__getitem__, p)).decode() for p, _ in pieces]
 
+    def merged(self, chunk: str) -> bytes:
+        """Ids of lower-case plain characters without white space: no word reaches beyond them."""
+        return b"".join(array("I", self.merge(w.encode())).tobytes() for w in _WORDS.findall(chunk))
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word of any characters."""
+        out = self.cache.get(word) or self.cache.revived(word)
+        if out is None:
+            out = array("I", self.merge(word.encode())).tobytes()
+            if len(word) <= SHORT:
+                self.cache[word] = out
+        return out
+
+    def learn(self, chunks: list[str]) -> None:
+        """Put what short chunks lack in the cache there, all their new words merged in step."""
+        self.cache.age()
+        new = {c: _WORDS.findall(c) for c in chunks if c not in self.cache and len(c) <= SHORT // 4 and not self.cache.revived(c)}
+        words = list({w for ws in new.values() for w in ws if w not in self.cache})
+        self.cache.update(zip(words, self.merge_many([w.encode() for w in words])))
+        look = self.cache.__getitem__
+        self.cache.update((c, b"".join(map(look, ws))) for c, ws in new.items() if len(ws) > 1)
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        look = self.cache.__getitem__
         if self.marks is None or "<" not in text:
-            return b"".join(map(look, self.words(text)))
-        return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else b"".join(map(look, self.words(p))) for p in self.marks.split(text))
+            return b"".join(map(self.word, self.words(text)))
+        return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else b"".join(map(self.word, self.words(p))) for p in self.marks.split(text))
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """``encode`` of each text; white-space chunks of plain ones are looked up once for all."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if _PLAIN.fullmatch(t) and not (self.marks and "<" in t and self.marks.search(t)):
+                plain.append(i)
+            else:
+                out[i] = self.encode(t)
+        lists = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(chunks)
+        packed = list(map(self.cache.__getitem__, chunks))
+        ids = np.frombuffer(b"".join(packed), dtype="<u4")
+        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        begin, length = np.cumsum(size) - size, size[at]
+        ends = np.cumsum(length)
+        where = np.repeat(begin[at] - ends + length, length)
+        where += np.arange(len(where))
+        flat, ends = ids[where], np.append(0, ends)[lists.offsets.to_numpy()]
+        for i, x, y in zip(plain, ends.tolist(), ends[1:].tolist()):
+            out[i] = flat[x:y].tobytes()
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 text of ids; the vocabulary has no decoder, so tokens are joined by a space."""
@@ -175,17 +281,31 @@ class WordBpe:
         return b" ".join(map(self.token.__getitem__, a))
 
 
-class _Words(dict):
-    def __init__(self, bpe: WordBpe):
+class _Cache(dict):
+    """Ids by string, in two generations: what the younger one lacks is taken from the older before it is made."""
+
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.bpe = bpe
+        self.make, self.older = make, {}
+
+    def revived(self, key: str) -> bytes | None:
+        if (out := self.older.get(key)) is not None:
+            self[key] = out
+        return out
 
-    def __missing__(self, word: str) -> bytes:
-        out = array("I", self.bpe.merge(word.encode())).tobytes()
-        if len(word) <= SHORT:
-            self[word] = out
+    def __missing__(self, key: str) -> bytes:
+        out = self.revived(key)
+        if out is None:
+            out = self.make(key)
+            if len(key) <= SHORT:
+                self[key] = out
         return out
 
+    def age(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.older = dict(self)
+            self.clear()
+
 
 _LOADED: dict[int, WordBpe] = {}
 
@@ -212,8 +332,20 @@ def _added(df: DataFrame, *fields: T.StructField) -> T.StructType:
     return T.StructType([*df.schema.fields, *fields])
 
 
-#: Rows of a batch that are in Python objects at a time.
-_SLICE = 256
+#: Rows and bytes of a batch that are in Python objects at a time.
+_SLICE = 1024
+_SLICE_BYTES = 1 << 22
+
+
+def slices(b: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows, and so many bytes of text where a row has no more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < b.num_rows:
+        most = (ends[at - 1] if at else 0) + _SLICE_BYTES
+        end = max(at + 1, min(at + _SLICE, int(np.searchsorted(ends, most, side="right"))))
+        yield b.slice(at, end - at)
+        at = end
 
 
 def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids", n: str = "n_tokens") -> DataFrame:
@@ -224,9 +356,8 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(held.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                b = whole.slice(at, _SLICE)
-                out = [bpe.encode(t or "") for t in b.column(text).to_pylist()]
+            for b in slices(whole, text):
+                out = bpe.encode_many([t or "" for t in b.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=[*b.schema.names, ids, n])
 
     return df.mapInArrow(run, _added(df, T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType())))
@@ -239,8 +370,7 @@ def decode(df: DataFrame, spec: str, ids: str = "token_ids", out: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(held.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, _SLICE):
-                b = whole.slice(at, _SLICE)
+            for b in slices(whole, ids):
                 texts = pa.array([bpe.decode(x or b"") for x in b.column(ids).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*b.columns, pc.cast(texts, pa.string())], names=[*b.schema.names, out])
 
