@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, fingerprints, jaccard_join, language, mixing, neighbours, packing, pii, sharding, substring_dedup
+from tessera.llm import bpe, chat, collocations, fingerprints, jaccard_join, language, mixing, neighbours, packing, pii, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_sharding": op2_sharding,
@@ -85,5 +89,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
     "op12_packing": op12_packing,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_substring": substring_dedup.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_substring": substring_dedup.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
