@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 SHORT = 256
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 _NONE = 1 << 30
 #: A part that is in no pair; rows of the matrices that merge in step.
 _PAD = (1 << 20) - 1
@@ -334,7 +334,7 @@ def _added(df: DataFrame, *fields: T.StructField) -> T.StructType:
 
 #: Rows and bytes of a batch that are in Python objects at a time.
 _SLICE = 1024
-_SLICE_BYTES = 1 << 22
+_SLICE_BYTES = 1 << 21
 
 
 def slices(b: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

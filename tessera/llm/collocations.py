@@ -304,10 +304,11 @@ def mine(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEA
         if clash.isEmpty():
             break
         seed += 1
-    totals = every.filter("word IS NULL").select("lang", F.col("f").alias("n"))
+    totals = stage.put("totals", every.filter("word IS NULL").select("lang", F.col("f").alias("n")))
     total = totals.agg(F.sum("n")).first()[0] or 0
     shard_bits = max(3, (total // SHARD_WORDS).bit_length())
     known = stage.put("known", every.filter("word IS NOT NULL").filter(F.col("f") >= least).withColumn("word", F.col("word").cast("string")))
+    stage.drop(f"words-{seed}")
     pairs = stage.put("pairs", count_grams(docs, 2, bit_array(known, ["id"], bits), seed, shard_bits, least))
     triples = stage.put("triples", count_grams(docs, 3, bit_array(pairs, ["id1", "id2"], bits), seed, shard_bits, least))
 
@@ -337,12 +338,12 @@ def mine(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEA
 
 ORACLE_SQL = """
 WITH pieces AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), x -> x <> '') AS w
+  SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w
   FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
 ), grams AS (
   SELECT lang, 1 AS k, unnest(w) AS phrase FROM pieces
-  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM pieces
-  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pieces
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces
 ), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),

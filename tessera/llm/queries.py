@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, chat, collocations, fingerprints, jaccard_join, language, mixing, neighbours, packing, pii, sharding, substring_dedup
+from tessera.llm import bpe, chat, collocations, fingerprints, jaccard_join, language, mixing, neighbours, packing, pii, repair, sharding, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.Repair(repair.damage(turns)).report(turns).drop("repaired")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary())
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -88,7 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_neighbours": op9_neighbours,
     "op10_language": op10_language,
+    "op11_repair": op11_repair,
     "op12_packing": op12_packing,
     "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_substring": substring_dedup.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL, "op5_substring": substring_dedup.ORACLE_SQL, "op6_jaccard": jaccard_join.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
