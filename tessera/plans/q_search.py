@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tessera.functions import vectors
-from tessera.operators import search, selection, textindex
+from tessera.operators import graphindex, search, selection, textindex
 from tessera.plans import api
 from tessera.plans.common import CHUNKS, FILES, chunks, files, history, prompts, r6, table, vector_rows
 
@@ -61,6 +61,20 @@ def approximate(s, d):
     return search.approximate(vector_rows(s, d), QUERY, 10, "accurate").select("id", r6(F.col("score")).alias("score"))
 
 
+def graph(s, d):
+    """Every fiftieth vector against a graph index of all of them."""
+    v = vector_rows(s, d)
+    hits = graphindex.search(graphindex.build(v, 64, "accurate"), v.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), 10, preset="accurate")
+    return hits.select("query_id", "id", r6(F.col("score")).alias("score"))
+
+
+def graph_stats(s, d):
+    """Figures of the index after rows were removed and their shards built anew."""
+    v = vector_rows(s, d)
+    left = graphindex.compact(graphindex.remove(graphindex.build(v, 64), v.filter("label < 3")))
+    return graphindex.stats(left)
+
+
 def get_batch(s, d):
     ids = table(s, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
     return search.get_batch(vector_rows(s, d), ids).select("id", "label")
@@ -218,6 +232,12 @@ QUERIES = {
         "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), c AS (SELECT label, pos, avg(x) AS x FROM e GROUP BY label, pos), v AS (SELECT label, list(x ORDER BY pos) AS v FROM c GROUP BY label) SELECT a.label AS a, b.label AS b, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM v a JOIN v b ON a.label < b.label",
     ),
     "vec_approximate": (approximate, None),
+    # The SQL is exact search: on these tables the graph finds all.
+    "vec_graph": (
+        graph,
+        "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) SELECT query_id, id, score FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 10",
+    ),
+    "vec_graph_stats": (graph_stats, "SELECT count(*) AS count, 64::BIGINT AS dimension, 16 AS m, 50 AS ef, count(*) * (64 * 4 + 150) AS size_bytes FROM embeddings WHERE label >= 3"),
     "vec_get_batch": (get_batch, "SELECT vec_id AS id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "vec_raw_glance": (raw_glance, f"WITH {CHUNKS} SELECT chunk_id AS id, substr(content, 1, 100) AS content, round(list_sum(list_transform(embedding[1:5], lambda x: x::DOUBLE)), 6) AS head_sum FROM chunks ORDER BY chunk_id LIMIT 10"),
     "vec_threshold_counts": (threshold_counts, f"WITH q AS (SELECT {_Q} AS q) SELECT label, count(*) FILTER ({_COS} >= 0) AS above, count(*) AS n FROM embeddings, q GROUP BY label"),
