@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import ast
-import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tessera.operators import declarations
+
 # Where a chunk begins, what names a symbol, what is a dependency line.
 BOUNDARY = r"^(function|def|class|export\s+function|export\s+class|const\s+\w+\s*=\s*async|\w+\s*=\s*async)"
 FUNCTION_NAME, CLASS_NAME = r"function\s+(\w+)", r"class\s+(\w+)"
@@ -67,17 +67,28 @@ def dependencies(content: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(content, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x.rlike(DEPENDENCY))
 
 
+def _gaps(lines: Column, spans: Column, least_lines: int, most_lines: int, least_bytes: int) -> Column:
+    """Pieces of the lines that no span (sorted, with start_line and end_line) covers."""
+    gap = lambda acc, s: F.struct(F.greatest(acc["at"], s["end_line"] + 1).alias("at"), F.when(s["start_line"] > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (s["start_line"] - 1).alias("b"))))).otherwise(acc["out"]).alias("out"))
+    closing = F.array(F.struct((F.size(lines) + 1).alias("start_line"), (F.size(lines) + 1).alias("end_line")))
+    ends = F.transform(spans, lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line")))
+    gaps = F.aggregate(F.concat(ends, closing), F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out")), gap, lambda acc: acc["out"])
+    long = F.filter(gaps, lambda g: g["b"] - g["a"] + 1 >= least_lines)
+    pieces = F.flatten(F.transform(long, lambda g: F.transform(F.sequence(g["a"], g["b"], F.lit(most_lines)), lambda at: F.struct(at.alias("start_line"), F.least(g["b"], at + most_lines - 1).alias("end_line")))))
+    return F.filter(_sliced(lines, pieces), lambda p: F.octet_length(F.trim(p["content"])) >= least_bytes)
+
+
+def _sliced(lines: Column, spans: Column) -> Column:
+    """Spans with the text of their lines."""
+    cut = lambda s: F.array_join(F.slice(lines, s["start_line"], s["end_line"] - s["start_line"] + 1), "\n")
+    return F.transform(spans, lambda s: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), cut(s).alias("content")))
+
+
 def uncovered(files: DataFrame, spans: DataFrame, least_lines: int = 5, most_lines: int = 200, least_bytes: int = 50) -> DataFrame:
     """Runs of lines that no span (path, start_line, end_line) covers: gaps of sorted span ends."""
     by_file = spans.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_line", "end_line"))).alias("spans"))
     f = files.join(by_file, "path", "left").select("path", _lines("content").alias("lines"), F.coalesce("spans", F.expr("cast(array() as array<struct<start_line:int,end_line:int>>)")).alias("spans"))
-    gap = lambda acc, s: F.struct(F.greatest(acc["at"], s["end_line"] + 1).alias("at"), F.when(s["start_line"] > acc["at"], F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (s["start_line"] - 1).alias("b"))))).otherwise(acc["out"]).alias("out"))
-    closing = F.array(F.struct((F.size("lines") + 1).alias("start_line"), (F.size("lines") + 1).alias("end_line")))
-    gaps = F.aggregate(F.concat("spans", closing), F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<struct<a:int,b:int>>)").alias("out")), gap, lambda acc: acc["out"])
-    long = f.select("path", "lines", F.explode(gaps).alias("g")).filter(F.col("g.b") - F.col("g.a") + 1 >= least_lines)
-    piece = long.select("path", "lines", "g", F.explode(F.expr(f"sequence(g.a, g.b, {most_lines})")).alias("start_line"))
-    piece = piece.withColumn("end_line", F.least("g.b", F.col("start_line") + most_lines - 1)).withColumn("content", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
-    return piece.filter(F.octet_length(F.trim("content")) >= least_bytes).select("path", "start_line", "end_line", "content")
+    return f.select("path", F.explode(_gaps(F.col("lines"), F.col("spans"), least_lines, most_lines, least_bytes)).alias("g")).select("path", "g.*")
 
 
 def name_and_kind(chunks: DataFrame) -> DataFrame:
@@ -89,85 +100,56 @@ def name_and_kind(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("name", name).withColumn("kind", kind)
 
 
-# -- structure: Python by its own parser, other languages by braces ------------------------
-
-PARSED = "path string, kind string, name string, signature string, start_line int, end_line int, parent string, error string"
-_BRACED = re.compile(r"^\s*(?:export\s+|pub\s+|public\s+|async\s+|static\s+)*(class|struct|interface|function|fn|func)\s+(\w+)")
-_IMPORT = re.compile(r"^\s*(?:import|use|require|from|#include)\b.*")
-
-
-def parse_python(content: str) -> list[tuple]:
-    """(kind, name, signature, first, last, parent, error) of imports, functions and classes."""
-    try:
-        tree = ast.parse(content)
-    except SyntaxError as e:
-        return [("error", None, None, e.lineno or 1, e.lineno or 1, None, e.msg)]
-    lines, out = content.split("\n"), []
-
-    def visit(node: ast.AST, parent: str | None) -> None:
-        for n in ast.iter_child_nodes(node):
-            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                kind = "class" if isinstance(n, ast.ClassDef) else "function"
-                out.append((kind, n.name, lines[n.lineno - 1].strip(), n.lineno, n.end_lineno, parent, None))
-                visit(n, n.name if kind == "class" else parent)
-            elif isinstance(n, (ast.Import, ast.ImportFrom)):
-                out.append(("import", None, lines[n.lineno - 1].strip(), n.lineno, n.end_lineno, parent, None))
-
-    visit(tree, None)
-    return out
-
-
-def parse_braces(content: str) -> list[tuple]:
-    """The same for languages of braces: a declaration lasts until its braces balance."""
-    lines, out, parents = content.split("\n"), [], []
-    for i, line in enumerate(lines, 1):
-        while parents and i > parents[-1][1]:
-            parents.pop()
-        if m := _BRACED.match(line):
-            depth, last, opened = 0, i, False
-            for j in range(i, len(lines) + 1):
-                depth += lines[j - 1].count("{") - lines[j - 1].count("}")
-                opened |= "{" in lines[j - 1]
-                last = j
-                if opened and depth <= 0:
-                    break
-            kind = "class" if m[1] in ("class", "struct", "interface") else "function"
-            out.append((kind, m[2], line.strip(), i, last, parents[-1][0] if parents else None, None))
-            if kind == "class":
-                parents.append((m[2], last))
-        elif _IMPORT.match(line):
-            out.append(("import", None, line.strip(), i, i, None, None))
-    return out
+# -- structure ---------------------------------------------------------------------------
 
+_DECLARED = "array<struct<kind: string, name: string, signature: string, start_line: int, end_line: int, parent: string, error: string>>"
 
-def parse(files: DataFrame) -> DataFrame:
-    """Functions, classes, imports and syntax errors of each file."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def parsed(files: DataFrame) -> DataFrame:
+    """path, content, language and all that a file declares, as an array; narrow, one pass over each text."""
+    names = ["kind", "name", "signature", "start_line", "end_line", "parent", "error"]
+    kind = pa.list_(pa.struct([(n, pa.int32() if n.endswith("_line") else pa.string()) for n in names]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, *r) for p, c, k in zip(b["path"], b["content"], b["language"]) for r in (parse_python if k == "python" else parse_braces)(c or "")]
-            yield pd.DataFrame(rows, columns=["path", "kind", "name", "signature", "start_line", "end_line", "parent", "error"])
+            found = [[dict(zip(names, d)) for d in declarations.declared(c, k)] for c, k in zip(b.column("content").to_pylist(), b.column("language").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], names=[*b.schema.names, "declared"])
 
-    return files.select("path", "content", "language").mapInPandas(run, PARSED)
+    return files.select("path", "content", "language").mapInArrow(run, f"path string, content string, language string, declared {_DECLARED}")
+
+
+def parse(files: DataFrame) -> DataFrame:
+    """Functions, classes, imports and syntax errors of each file, a row each."""
+    return parsed(files).select("path", F.explode("declared").alias("d")).select("path", "d.*")
 
 
 def structural(files: DataFrame, look_back: int = 3) -> DataFrame:
-    """Chunks of classes, then of functions outside them with up to three comment or blank lines before, then of uncovered runs."""
-    p = parse(files).filter("kind in ('class', 'function')")
-    classes = p.filter("kind = 'class' and parent is null")
-    inside = (F.col("f.path") == F.col("c.path")) & (F.col("f.start_line") >= F.col("c.start_line")) & (F.col("f.end_line") <= F.col("c.end_line"))
-    functions = p.filter("kind = 'function'").alias("f").join(classes.alias("c"), inside, "left_anti")
-    with_lines = functions.join(files.select("path", _lines("content").alias("lines")), "path")
-    plain = lambda i: F.trim(F.get("lines", i)).rlike(r"^(//|/\*|\*|#|$)")
-    steps = [F.when((F.col("start_line") > k) & plain(F.col("start_line") - 1 - k), 1).otherwise(0) for k in range(1, look_back + 1)]
-    reach = steps[0]
-    for k in range(1, look_back):
-        reach = reach + F.when(reach == k, steps[k]).otherwise(0)
-    functions = with_lines.withColumn("start_line", F.col("start_line") - reach)
-    spans = classes.select("path", "kind", "name", "start_line", "end_line").unionByName(functions.select("path", "kind", "name", "start_line", "end_line"))
-    body = spans.join(files.select("path", _lines("content").alias("lines")), "path").withColumn("content", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")).drop("lines")
-    rest = uncovered(files, spans).withColumn("kind", F.lit("block")).withColumn("name", F.lit(None).cast("string"))
-    return body.unionByName(rest)
+    """Chunks of classes, then of functions outside them with up to three comment or blank lines before, then of uncovered runs.
+
+    One narrow pass: a file is parsed once and stays one row until its chunks are made.
+    """
+    f = parsed(files).select("path", _lines("content").alias("lines"), F.filter("declared", lambda d: d["kind"].isin("class", "function")).alias("d"))
+    f = f.withColumn("classes", F.filter("d", lambda d: (d["kind"] == "class") & d["parent"].isNull()))
+    within = lambda d, c: (d["start_line"] >= c["start_line"]) & (d["end_line"] <= c["end_line"])
+    f = f.withColumn("functions", F.filter("d", lambda d: (d["kind"] == "function") & ~F.exists("classes", lambda c: within(d, c))))
+    plain = lambda i: F.coalesce(F.trim(F.get("lines", i)).rlike(r"^(//|/\*|\*|#|$)"), F.lit(False))
+
+    def begin(d: Column) -> Column:
+        """The first line of a function and of what stands right before it."""
+        steps = [F.when((d["start_line"] > k) & plain(d["start_line"] - 1 - k), 1).otherwise(0) for k in range(1, look_back + 1)]
+        reach = steps[0]
+        for k in range(1, look_back):
+            reach = reach + F.when(reach == k, steps[k]).otherwise(0)
+        return d["start_line"] - reach
+
+    span = lambda d, start: F.struct(start.alias("start_line"), d["end_line"].alias("end_line"), d["kind"].alias("kind"), d["name"].alias("name"))
+    f = f.select("path", "lines", F.array_sort(F.concat(F.transform("classes", lambda d: span(d, d["start_line"])), F.transform("functions", lambda d: span(d, begin(d))))).alias("spans"))
+    cut = lambda s: F.array_join(F.slice("lines", s["start_line"], s["end_line"] - s["start_line"] + 1), "\n")
+    none = F.lit(None).cast("string")
+    row = lambda s, kind, name, content: F.struct(kind.alias("kind"), name.alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), content.alias("content"))
+    made = F.transform("spans", lambda s: row(s, s["kind"], s["name"], cut(s)))
+    rest = F.transform(_gaps(F.col("lines"), F.col("spans"), 5, 200, 50), lambda g: row(g, F.lit("block"), none, g["content"]))
+    return f.select("path", F.explode(F.concat(made, rest)).alias("c")).select("path", "c.*")
 
 
 def chunk(files: DataFrame, strategy: str = "hybrid") -> DataFrame:

@@ -38,12 +38,52 @@ def _code(s, d):
 
 
 # What the two texts hold, by hand: kind, name, first and last line, parent.
-_PARSED = """(0, 'import', NULL, 1, 1, NULL), (0, 'import', NULL, 2, 2, NULL), (0, 'function', 'add', 5, 7, NULL), (0, 'class', 'Box', 9, 14, NULL),
+_PARSED = """(0, 'import', NULL, 1, 1, NULL), (0, 'import', NULL, 2, 2, NULL), (0, 'function', 'add', 5, 7, NULL), (0, 'class', 'Box', 9, 14, NULL), (0, 'function', 'constructor', 10, 12, 'Box'), (0, 'function', 'get', 13, 13, 'Box'), (0, 'function', 'later', 15, 17, NULL),
  (1, 'import', NULL, 1, 1, NULL), (1, 'function', 'f', 4, 5, NULL), (1, 'class', 'A', 7, 9, NULL), (1, 'function', 'g', 8, 9, 'A'), (2, 'error', NULL, 1, 1, NULL)"""
-_CHUNKED = "(0, 'function', 'add', 3, 7), (0, 'class', 'Box', 9, 14), (0, 'block', NULL, 15, 19), (1, 'function', 'f', 2, 5), (1, 'class', 'A', 7, 9), (1, 'block', NULL, 10, 19)"
+_CHUNKED = "(0, 'function', 'add', 3, 7), (0, 'class', 'Box', 9, 14), (0, 'function', 'later', 15, 17), (1, 'function', 'f', 2, 5), (1, 'class', 'A', 7, 9), (1, 'block', NULL, 10, 19)"
 _NAMED = "CASE WHEN v.name IN ('add', 'Box', 'f') THEN v.name || doc_id ELSE v.name END AS name"
 
 
+# How five languages say it: import, head of function i, head of the class, head of a method, field.
+_SAID = {
+    "typescript": ("import { a } from 'b';", "export async function f%s<T>(a: T = {}) {", "export class C extends B {", "  static get%s(x = '}') {", "  n%s = 1;"),
+    "rust": ("use std::{a, b};", "pub fn f%s<'a, T>(a: &'a T) -> Vec<T> {", "impl<T> C {", "  fn get%s(&self, x: char) -> bool {", "  const N%s: u8 = 1;"),
+    "go": ("import \"fmt\"", "func (c *C) f%s(a int) (int, error) {", "type C struct {", None, "  n%s int"),
+    "java": ("import a.b.*;", "class f%s { int x; static {", "public final class C<T> extends B {", "  public List<T> get%s(int x) throws E {", "  int n%s = 1;"),
+    "cpp": ("#include <a>", "template <typename T> int f%s(const T& a) {", "class C : public B {", "  int get%s(int x) const {", "  int n%s;"),
+}
+
+
+def _generated(s, d):
+    """A source file for each document, its text in a comment; numbers of functions, lines and methods follow the id.
+
+    Import, comment of the text, functions with a comment before and strings of brackets inside,
+    a class with fields and methods, and in every seventh file a bracket too many.
+    """
+    doc, n = F.col("doc_id"), F.col("doc_id") % 4 + 1
+    at = lambda i: F.element_at(F.create_map(*[x for k, v in enumerate(_SAID.values()) for x in (F.lit(k), F.lit(v[i]))]), (doc % 5).cast("int"))
+    named = lambda i, x: F.replace(at(i), F.lit("%s"), x.cast("string"))
+    text = F.concat(F.lit("/* { "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("")), F.lit(" */"))
+    close = F.when(doc % 5 == 3, "}}").otherwise("}")
+    function = lambda i: F.concat(F.array(F.lit("// } ("), named(1, i)), F.array_repeat(F.lit('  s = "} { \\" )";'), ((i + doc) % 3).cast("int")), F.array(close))
+    method = lambda i: F.when(doc % 5 == 2, F.array(named(4, i), F.lit("  // {"))).otherwise(F.array(named(3, i), F.lit("  }")))
+    lines = F.concat(
+        F.array(at(0), text, F.lit("x;")), F.flatten(F.transform(F.sequence(F.lit(1), n), function)), F.array(at(2)), F.array(named(4, F.lit(0))),
+        F.flatten(F.transform(F.filter(F.sequence(F.lit(0), doc % 3), lambda i: i > 0), method)), F.array(F.lit("}")), F.when(doc % 7 == 0, F.array(F.lit("}"))).otherwise(F.array().cast("array<string>")),
+    )
+    language = F.element_at(F.array(*map(F.lit, _SAID)), (doc % 5 + 1).cast("int"))
+    return table(s, d, "documents").select(F.concat(F.lit("/g/"), doc).alias("path"), F.array_join(lines, "\n").alias("content"), language.alias("language"))
+
+
+# The lines follow from the numbers alone: where the text and a statement end, functions one below the other, the class, its methods.
+_GENERATED = """WITH g AS (SELECT doc_id, '/g/' || doc_id AS path, doc_id % 5 AS k, doc_id % 4 + 1 AS n, doc_id % 3 AS m, 3 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) AS text_end FROM documents),
+ f AS (SELECT *, unnest(range(1, n + 1)) AS i FROM g), h AS (SELECT *, text_end + 2 + sum(3 + (i + doc_id) % 3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS below, text_end + 2 AS first FROM f),
+ fs AS (SELECT path, doc_id, k, n, m, i, CAST(coalesce(below, first) AS INT) AS a, CAST(coalesce(below, first) + 1 + (i + doc_id) % 3 AS INT) AS b FROM h),
+ c AS (SELECT path, doc_id, k, m, CAST(max(b) + 1 AS INT) AS a, CAST(max(b) + 3 + 2 * m AS INT) AS b FROM fs GROUP BY path, doc_id, k, m),
+ ms AS (SELECT path, k, unnest(range(1, m + 1)) AS i, a FROM c)
+"""
+
+
 def chunk_fixed(s, d):
     c = chunking.fixed_lines(files(s, d))
     return c.select("chunk_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.sha2("content", 256).alias("content"))
@@ -70,6 +110,16 @@ def chunk_hybrid(s, d):
     return chunking.chunk(_code(s, d), "hybrid").select("path", "start_line", "end_line")
 
 
+def generated(s, d):
+    """Declarations and errors of generated files in five languages."""
+    return chunking.parse(_generated(s, d)).select("path", "kind", "name", "start_line", "end_line", "parent", "error")
+
+
+def generated_chunks(s, d):
+    """Classes, functions with their comment line, and the rest of the same files."""
+    return chunking.structural(_generated(s, d)).select("path", "kind", "name", "start_line", "end_line")
+
+
 def parsed(s, d):
     return chunking.parse(_code(s, d)).select("path", "kind", "name", "start_line", "end_line", "parent")
 
@@ -247,7 +297,20 @@ QUERIES = {
     ),
     "chunk_structural": (chunk_structural, f"SELECT '/p/' || doc_id AS path, kind, {_NAMED}, a AS start_line, b AS end_line FROM documents JOIN (VALUES {_CHUNKED}) v(k, kind, name, a, b) ON k = doc_id % 3"),
     "chunk_hybrid": (chunk_hybrid, f"SELECT '/p/' || doc_id AS path, a AS start_line, b AS end_line FROM documents JOIN (VALUES {_CHUNKED}, (2, '', '', 1, 2)) v(k, kind, name, a, b) ON k = doc_id % 3"),
-    "parse_declarations": (parsed, f"SELECT '/p/' || doc_id AS path, kind, {_NAMED}, a AS start_line, b AS end_line, parent FROM documents JOIN (VALUES {_PARSED}) v(k, kind, name, a, b, parent) ON k = doc_id % 3"),
+    "parse_declarations": (parsed, f"SELECT '/p/' || doc_id AS path, kind, {_NAMED}, a AS start_line, b AS end_line, CASE parent WHEN 'Box' THEN 'Box' || doc_id ELSE parent END AS parent FROM documents JOIN (VALUES {_PARSED}) v(k, kind, name, a, b, parent) ON k = doc_id % 3"),
+    "parse_languages": (
+        generated,
+        _GENERATED + """SELECT path, CASE k WHEN 3 THEN 'class' ELSE 'function' END AS kind, 'f' || i AS name, a AS start_line, b AS end_line, NULL::VARCHAR AS parent, NULL::VARCHAR AS error FROM fs
+ UNION ALL SELECT path, 'class', 'C', a, b, NULL, NULL FROM c UNION ALL SELECT path, 'import', NULL, 1, 1, NULL, NULL FROM g
+ UNION ALL SELECT path, 'function', 'get' || i, CAST(a + 2 * i AS INT), CAST(a + 2 * i + 1 AS INT), 'C', NULL FROM ms WHERE k <> 2
+ UNION ALL SELECT path, 'error', NULL, b + 1, b + 1, NULL, '} closes nothing' FROM c WHERE doc_id % 7 = 0""",
+    ),
+    "chunk_languages": (
+        generated_chunks,
+        _GENERATED + """SELECT path, CASE k WHEN 3 THEN 'class' ELSE 'function' END AS kind, 'f' || i AS name, CAST(CASE k WHEN 3 THEN a ELSE a - 1 END AS INT) AS start_line, b AS end_line FROM fs
+ UNION ALL SELECT path, 'class', 'C', a, b FROM c
+ UNION ALL SELECT path, 'block', NULL, CAST(s AS INT), CAST(least(s + 199, e) AS INT) FROM (SELECT path, e, unnest(range(1, e + 1, 200)) AS s, content FROM (SELECT path, CASE k WHEN 3 THEN text_end + 1 ELSE text_end END AS e, content FROM g JOIN (SELECT doc_id, coalesce(text, '') AS content FROM documents) USING (doc_id)) WHERE e >= 5)""",
+    ),
     "extract_symbols": (
         symbols,
         "SELECT '/p/' || doc_id AS path, CASE doc_id % 3 WHEN 0 THEN 'add' || doc_id || ',Box' || doc_id || ',later' WHEN 1 THEN 'A' ELSE '' END AS symbols, CASE doc_id % 3 WHEN 0 THEN 'import os|import { a } from ' || chr(39) || 'b' || chr(39) WHEN 1 THEN 'import os' ELSE '' END AS dependencies FROM documents",
