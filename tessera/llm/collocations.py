@@ -38,10 +38,11 @@ from tessera.llm.words import mixed
 LEAST = 10
 TOP = 2000
 KEPT_PERCENT = 50
+CELLS = 8
 BITS = 1 << 26
 #: Words of a shard, n-grams and distinct words that a task holds.
 SHARD_WORDS = 1 << 20
-HELD = 1_500_000
+HELD = 1_000_000
 HELD_WORDS = 400_000
 _CUT = b"\xff"
 _FOLD = bytes.maketrans(bytes([*range(65, 91), *b".,;:!?\n\x0b\x0c\r"]), bytes(range(97, 123)) + _CUT * 10)
@@ -331,8 +332,11 @@ def mine(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEA
         .withColumn("s1", _score("l1", "r1")).withColumn("s2", _score("l2", "r2")).withColumn("late", F.col("s2") < F.col("s1"))
         .select("lang", F.concat_ws(" ", "w_id1", "w_id2", "w_id3").alias("phrase"), "a", F.when(F.col("late"), F.col("l2")).otherwise(F.col("l1")).alias("l"), F.when(F.col("late"), F.col("r2")).otherwise(F.col("r1")).alias("r"), F.least("s1", "s2").alias("score"))
     )
-    first = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = two.unionByName(three).withColumn("rank", F.row_number().over(first).cast("long")).filter(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    # A language's phrases are cut down in cells first, so that its last task reads a bounded number.
+    cell = F.row_number().over(Window.partitionBy("lang", "cell").orderBy(*order))
+    best = two.unionByName(three).withColumn("cell", F.pmod(F.xxhash64("phrase"), F.lit(CELLS))).withColumn("nth", cell).filter(F.col("nth") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 

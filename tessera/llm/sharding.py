@@ -69,7 +69,17 @@ def shard_documents(df: DataFrame, shards: int = 16, doc_id: str = "doc_id", tex
     )
 
 
-def write_shards(df: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id") -> None:
-    """Write ``df`` as one folder a shard; slots order the rows of a shard."""
-    joined = df.join(placed.select(F.col("doc_id").alias(doc_id), "shard", "slot"), doc_id)
-    joined.repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def write_shards(df: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> None:
+    """Write ``df`` as one folder a shard; slots order the rows of a shard.
+
+    Rows of one id and text are alike, so they are numbered on both sides and each takes one place.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    keys = lambda *c: Window.partitionBy(*c)
+    rows = df.withColumn("_crc", F.crc32(body.cast("binary"))).withColumn("_size", (F.octet_length(body) + 1).cast("long"))
+    rows = rows.withColumn("_nth", F.row_number().over(keys(F.col(doc_id), "_crc", "_size").orderBy(F.lit(0))))
+    there = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), F.col("size").alias("_s"), "shard", "slot")
+    there = there.withColumn("_n", F.row_number().over(keys("_id", "_c", "_s").orderBy("shard", "slot")))
+    joined = rows.join(there, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_c")) & (F.col("_size") == F.col("_s")) & (F.col("_nth") == F.col("_n")))
+    out = joined.select(*(F.col(c) for c in df.columns), "shard", "slot")
+    out.repartition("shard", F.pmod(F.col("slot"), F.lit(64))).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)

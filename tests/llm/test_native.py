@@ -5,6 +5,7 @@ import heapq
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import xxhash
@@ -65,6 +66,19 @@ def test_sharding_bundles_small_groups(spark):
     assert sharding.shard_documents(docs(spark, EDGES), 16, heavy_share=1, bundles=1).count() == len(EDGES)
 
 
+def test_shards_are_written_whole(spark, tmp_path):
+    rows = [(5, "a", "s"), (5, "b", "s"), (5, "b", "t"), (None, "c", "s"), (7, None, "s"), (7, "", "s"), (None, None, None)] + [(i, f"text {i % 40}", "s") for i in range(100, 300)]
+    df = docs(spark, rows).drop("shard")
+    placed = sharding.shard_documents(df, 4)
+    sharding.write_shards(df, placed, str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in out) == Counter(rows)
+    want = {(r.doc_id, r.text_crc32): set() for r in placed.collect()}
+    for r in placed.collect():
+        want[r.doc_id, r.text_crc32].add((r.shard, r.slot))
+    assert all((r.shard, r.slot) in want[r.doc_id, zlib.crc32((r.text or "").encode())] for r in out) and len({(r.shard, r.slot) for r in out}) == len(rows)
+
+
 def test_chat_edge_cases(spark):
     schema = "conv_id long, turn long, role string, text string, formatted string, n_turns int"
     assert chat.read_back(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
