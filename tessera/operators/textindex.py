@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -22,12 +21,15 @@ def postings_with_positions(files: DataFrame) -> DataFrame:
     """term, path, positions (0-based offsets of non-overlapping occurrences, ascending), for all index terms.
 
     A file's terms are found in one pass over its text by an automaton of them all, in Arrow
-    batches: built-in functions would scan the text again for each term.
+    batches: built-in functions would scan the text again for each term.  Needs ``pyahocorasick``
+    where it runs.
     """
     t = files.select("path", F.lower("content").alias("content"), F.array_distinct(text.terms(F.col("content"))).alias("terms"))
     out = T.StructType([T.StructField("term", T.StringType()), t.schema["path"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
         for b in batches:
             for path, content, terms in b.itertuples(index=False, name=None):
                 if not len(terms):
@@ -72,17 +74,22 @@ def query_terms(query: str, exact: bool = False) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"\W+", query.lower()) if len(w) > 2 and w not in text.STOP_WORDS))
 
 
+def scores(hits: DataFrame, now: Column, language: str | None = None) -> DataFrame:
+    """path, term, n, score of postings with their files: frequency by length x recency x language x size."""
+    age = F.datediff(now, F.col("modified"))
+    fresh = F.when(F.col("modified").isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), 1 - age / 365))
+    same = F.when(F.col("language") == language, 1.2).otherwise(1.0) if language else F.lit(1.0)
+    scored = hits.withColumn("score", F.try_divide(F.col("n"), F.col("n_chars")) * fresh * same * F.least(F.lit(1.0), F.col("size") / 10000))
+    return scored.select("path", "term", "n", "score")
+
+
 def search(index: DataFrame, meta: DataFrame, query: str, now: Column, language: str | None = None, limit: int | None = None) -> DataFrame:
-    """path, term, score: frequency by length x recency x language x size, best first.
+    """path, term, n, score, best first.
 
     meta: path, n_chars, size, modified, language.  The few terms prune the index by pushdown.
     """
     hits = index.filter(F.col("term").isin(*query_terms(query))).join(meta, "path")
-    age = F.datediff(now, F.col("modified"))
-    fresh = F.when(F.col("modified").isNull(), 0.5).otherwise(F.greatest(F.lit(0.1), 1 - age / 365))
-    same = F.when(F.col("language") == language, 1.2).otherwise(1.0) if language else F.lit(1.0)
-    scored = hits.withColumn("score", F.try_divide(F.col("n"), F.col("n_chars")) * fresh * same * F.least(F.lit(1.0), F.col("size") / 10000))
-    out = scored.select("path", "term", "n", "score").orderBy(F.desc("score"), "path", "term")
+    out = scores(hits, now, language).orderBy(F.desc("score"), "path", "term")
     return out if limit is None else out.limit(limit)
 
 

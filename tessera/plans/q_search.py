@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Window, functions as F
 
 from tessera.functions import vectors
-from tessera.operators import graphindex, search, selection, textindex
+from tessera.operators import fuzzyindex, graphindex, rankedindex, search, selection, textindex
 from tessera.plans import api
 from tessera.plans.common import CHUNKS, FILES, chunks, files, history, prompts, r6, table, vector_rows
+from tessera.sources import scratch
 
 # A fixed query vector: alternating signs, falling with the position.
 QUERY = [((-1) ** i) * (1.0 - i / 64.0) for i in range(64)]
@@ -167,6 +170,20 @@ def text_search(s, d):
     return textindex.search(index, meta, "the thing with tion", F.lit("2024-02-01").cast("date"), "en", 20).select("path", "term", "n", F.round("score", 9).alias("score"))
 
 
+def text_search_stored(s, d):
+    """The same from an index stored in blocks, of which only those are read that can matter."""
+    postings_, meta = _index(s, d)
+    index = rankedindex.Index(s, scratch.folder(s, "ranked")).save(postings_, meta)
+    return index.cached("the thing with tion", datetime.datetime(2024, 2, 1), 50, "en").select("path", "term", "n", F.round("score", 9).alias("score"))
+
+
+def fuzzy_index(s, d):
+    """Each word of the items against all of them, by keys."""
+    w = table(s, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"\W+")).alias("term")).filter("length(term) > 2").distinct()
+    near = fuzzyindex.search(fuzzyindex.index(w), w.withColumnRenamed("term", "query"))
+    return near.select("term", "query", F.col("distance").cast("long").alias("distance"), r6(F.col("score")).alias("score"))
+
+
 def storage_search(s, d):
     return textindex.storage_search(files(s, d), "thing tion", 20).select("path", F.round("score", 9).alias("score"))
 
@@ -276,6 +293,15 @@ QUERIES = {
     "service_search": (service_search, f"WITH {CHUNKS}, q AS (SELECT {_Q} AS q), t AS (SELECT chunk_id AS id, {_COS} AS score FROM chunks, q WHERE language = 'de' AND {_COS} >= 0 ORDER BY score DESC, id LIMIT 5) SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM t"),
     "postings_build": (postings, f"{_DOCS} SELECT * FROM p"),
     "postings_grams": (postings_grams, f"""WITH {FILES}, f AS (SELECT path, lower(content) AS t, list_filter(regexp_split_to_array(lower(content), '\\W+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for', 'of', 'with', 'by')) AS w FROM files), g AS (SELECT path, t, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS term FROM f) SELECT term, path, CAST((length(t) - length(replace(t, term, ''))) // length(term) AS INT) AS n, CAST(strpos(t, term) - 1 AS INT) AS first FROM g WHERE contains(t, term)"""),
+    "text_search_stored": (
+        text_search_stored,
+        f"{_DOCS}, m AS (SELECT path, length(content) AS n_chars, strlen(content) AS size, date_diff('day', DATE '2024-01-31' - CAST(doc_id % 400 AS INT), DATE '2024-02-01') AS age, language FROM files) SELECT p.path, term, n, round((n / n_chars::DOUBLE * greatest(0.1, 1 - age / 365.0::DOUBLE) * CASE WHEN language = 'en' THEN 1.2 ELSE 1.0 END * least(1.0, size / 10000.0))::DOUBLE, 9) AS score FROM p JOIN m USING (path) WHERE term IN ('thing', 'tion') ORDER BY score DESC, path, term LIMIT 50",
+    ),
+    "fuzzy_index": (
+        fuzzy_index,
+        "WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\W+')) AS term FROM benchmark) WHERE length(term) > 2), p AS (SELECT a.term, b.term AS query, levenshtein(a.term, b.term) AS distance FROM t a JOIN t b ON abs(length(a.term) - length(b.term)) <= greatest(2, floor(length(b.term) * 0.3)))"
+        " SELECT term, query, distance, round(1 - distance / greatest(length(term), length(query))::DOUBLE, 6) AS score FROM p WHERE distance <= greatest(2, floor(length(query) * 0.3))",
+    ),
     "text_search": (
         text_search,
         f"{_DOCS}, m AS (SELECT path, length(content) AS n_chars, strlen(content) AS size, date_diff('day', DATE '2024-01-31' - CAST(doc_id % 400 AS INT), DATE '2024-02-01') AS age, language FROM files) SELECT p.path, term, n, round((n / n_chars::DOUBLE * greatest(0.1, 1 - age / 365.0::DOUBLE) * CASE WHEN language = 'en' THEN 1.2 ELSE 1.0 END * least(1.0, size / 10000.0))::DOUBLE, 9) AS score FROM p JOIN m USING (path) WHERE term IN ('thing', 'tion') ORDER BY score DESC, path, term LIMIT 20",
