@@ -140,10 +140,10 @@ def budget_running(s, d):
 
 
 def model_for_task(s, d):
-    tasks = s.createDataFrame([("code",), ("chat",), ("none",)], "task string")
-    prefs = s.createDataFrame([("code", 1, "coder"), ("code", 2, "llama"), ("chat", 1, "llama"), ("none", 1, "zzz")], "task string, rank int, pattern string")
-    have = s.createDataFrame([("deep-coder:6b",), ("llama3:8b",), ("llama2:7b",)], "model string")
-    return routing.preferred_model(tasks, prefs, have)
+    """Brands as tasks, which prefer names with the first word of their parts, small sizes first; all names are there."""
+    p = table(s, d, "part")
+    prefs = p.select(F.col("p_brand").alias("task"), F.col("p_size").alias("rank"), F.substring_index("p_name", " ", 1).alias("pattern")).distinct()
+    return routing.preferred_model(p.select(F.col("p_brand").alias("task")).distinct(), prefs, p.select(F.col("p_name").alias("model")).distinct())
 
 
 def compress_light(s, d):
@@ -289,7 +289,7 @@ SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0) - ceil(coalesce(list_su
         " UNION ALL SELECT a.day, a.nth, a.id, a.units, CASE WHEN a.units <= greatest(0.0, 100 - r.used) THEN r.used + a.units ELSE r.used END, greatest(0.0, 100 - r.used), a.units <= greatest(0.0, 100 - r.used) FROM r JOIN a ON a.day = r.day AND a.nth = r.nth + 1)"
         " SELECT id, round(units, 6) AS units, round(used, 6) AS used, round(remaining_before, 6) AS remaining_before, affordable, used > 90 AS alert FROM r WHERE nth > 0",
     ),
-    "model_for_task": (model_for_task, "SELECT * FROM (VALUES ('code', 'deep-coder:6b'), ('chat', 'llama2:7b')) v(task, model)"),
+    "model_for_task": (model_for_task, "WITH prefs AS (SELECT DISTINCT p_brand AS task, p_size AS rank, string_split(p_name, ' ')[1] AS pattern FROM part), have AS (SELECT DISTINCT p_name AS model FROM part) SELECT task, first(model ORDER BY rank, model) AS model FROM prefs JOIN have ON contains(model, pattern) GROUP BY task"),
     "compress_light": (compress_light, f"WITH a AS (SELECT doc_id, {_LIGHT} AS l FROM documents) SELECT doc_id, sha256(l) AS light, length(l)::BIGINT AS n FROM a"),
     "compress_levels": (compress_levels, None),
     "compress_language": (compress_language, None),

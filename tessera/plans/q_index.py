@@ -250,7 +250,7 @@ def json_structure(s, d):
 def cleanup_report(s, d):
     f = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.octet_length("text").cast("long").alias("size"))
     ref = table(s, d, "labels").select(F.col("doc_id").cast("string").alias("path"))
-    b = table(s, d, "events").filter("event_id < 400").select(F.concat(F.lit("b"), "event_id").alias("path"), F.col("event_id").alias("size"), F.col("ts").cast("timestamp").alias("created_at"))
+    b = table(s, d, "events").select(F.concat(F.lit("b"), "event_id").alias("path"), F.col("event_id").alias("size"), F.col("ts").cast("timestamp").alias("created_at"))
     return integrity.clean_up(f, ref, b, now(), 8000, 30).groupBy("reason").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
@@ -349,7 +349,7 @@ QUERIES = {
     "json_structure": (json_structure, "SELECT event_id, true AS valid, 2::BIGINT AS depth, 1::BIGINT AS objects, 1::BIGINT AS keys, 1::BIGINT AS numbers FROM events"),
     "cleanup_report": (
         cleanup_report,
-        "WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS size, doc_id FROM documents), a AS (SELECT 'orphan' AS reason, size FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'oversized', size FROM f WHERE size > 8000 UNION ALL SELECT 'old_backup', event_id FROM events WHERE event_id < 400 AND ts < TIMESTAMP '2024-02-01' - INTERVAL 30 DAY) SELECT reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM a GROUP BY reason",
+        "WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, strlen(text) AS size, doc_id FROM documents), a AS (SELECT 'orphan' AS reason, size FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'oversized', size FROM f WHERE size > 8000 UNION ALL SELECT 'old_backup', event_id FROM events WHERE ts < TIMESTAMP '2024-02-01' - INTERVAL 30 DAY) SELECT reason, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM a GROUP BY reason",
     ),
     "json_entries": (json_entries, "SELECT event_id, 'k' AS key, CAST(props->>'k' AS INT) AS value FROM events"),
     "favorites_insert": (favorites, "WITH p AS (SELECT DISTINCT p_name AS query, p_brand AS filters FROM part) SELECT filters, count(*) AS n FROM p WHERE filters = 'Brand#1' OR query LIKE 's%' GROUP BY filters"),
