@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import chunking, incremental, integrity
+from tessera.operators import blockhash, chunking, incremental, integrity
 from tessera.plans.common import FILES, chunks, files, now, r6, table
+from tessera.sources import tablefunctions
 
 CODE = """import os
 import { a } from 'b'
@@ -89,6 +90,32 @@ def chunk_fixed(s, d):
     return c.select("chunk_id", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), F.sha2("content", 256).alias("content"))
 
 
+def chunk_by_sql(s, d):
+    """The same windows from a table function."""
+    tablefunctions.register(s)
+    files(s, d).select("path", "content").createOrReplaceTempView("tessera_files")
+    return s.sql("SELECT path || ':' || idx AS chunk_id, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, sha2(content, 256) AS content FROM chunk_lines(TABLE(tessera_files) PARTITION BY path, size => 50)")
+
+
+def declared_by_sql(s, d):
+    """Functions and classes of the generated files, counted over a table function."""
+    tablefunctions.register(s)
+    _generated(s, d).createOrReplaceTempView("tessera_sources")
+    return s.sql("SELECT kind, name, count(*) AS n, CAST(sum(start_line) AS BIGINT) AS starts FROM declarations(TABLE(tessera_sources) PARTITION BY path) WHERE kind <> 'error' GROUP BY kind, name")
+
+
+def block_digests(s, d):
+    return blockhash.digests(blockhash.blocks(files(s, d)))
+
+
+def block_changes(s, d):
+    """Every third file with its letters e in capitals."""
+    f = files(s, d)
+    new = f.withColumn("content", F.when(F.col("doc_id") % 3 == 0, F.translate("content", "e", "E")).otherwise(F.col("content")))
+    stored = blockhash.blocks(f, 512)
+    return blockhash.changes(stored, blockhash.update(stored, new, 512))
+
+
 def chunk_small(s, d):
     return chunking.fixed_lines(files(s, d), 3, drop_blank=False).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
@@ -283,6 +310,14 @@ _LINES = f"WITH {FILES}, l AS (SELECT path, string_split(content, chr(10)) AS ls
 
 QUERIES = {
     "chunk_fixed_lines": (chunk_fixed, _LINES.format(50) + r" SELECT path || ':' || (row_number() OVER (PARTITION BY path ORDER BY k) - 1) AS chunk_id, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, sha256(content) AS content FROM c WHERE NOT regexp_full_match(content, '\s*')"),
+    "chunk_table_function": (chunk_by_sql, _LINES.format(50) + r" SELECT path || ':' || (row_number() OVER (PARTITION BY path ORDER BY k) - 1) AS chunk_id, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line, sha256(content) AS content FROM c WHERE NOT regexp_full_match(content, '\s*')"),
+    "declarations_table_function": (
+        declared_by_sql,
+        _GENERATED + """SELECT kind, name, count(*) AS n, CAST(sum(a) AS BIGINT) AS starts FROM (SELECT CASE k WHEN 3 THEN 'class' ELSE 'function' END AS kind, 'f' || i AS name, a FROM fs
+ UNION ALL SELECT 'class', 'C', a FROM c UNION ALL SELECT 'import', NULL, 1 FROM g UNION ALL SELECT 'function', 'get' || i, a + 2 * i FROM ms WHERE k <> 2) GROUP BY kind, name""",
+    ),
+    "block_digests": (block_digests, f"WITH {FILES}, h AS (SELECT path, hex(encode(content)) AS x FROM files), b AS (SELECT path, x, unnest(range(0, greatest(1, CAST(ceil(length(x) / 8192.0) AS BIGINT)))) AS block FROM h), d AS (SELECT path, block, sha256(unhex(substr(x, block * 8192 + 1, 8192))) AS hash FROM b) SELECT path, count(*) AS blocks, sha256(string_agg(hash, '' ORDER BY block)) AS digest FROM d GROUP BY path"),
+    "block_changes": (block_changes, f"WITH {FILES}, h AS (SELECT path, hex(encode(content)) AS x, hex(encode(translate(content, 'e', 'E'))) AS y FROM files WHERE doc_id % 3 = 0), b AS (SELECT *, unnest(range(0, CAST(ceil(length(x) / 1024.0) AS BIGINT))) AS block FROM h) SELECT path, block, 'changed' AS change FROM b WHERE substr(x, block * 1024 + 1, 1024) <> substr(y, block * 1024 + 1, 1024)"),
     "chunk_windows": (chunk_small, _LINES.format(3) + " SELECT path, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM c GROUP BY path"),
     "chunk_boundary_regex": (
         chunk_boundaries,

@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import Window, functions as F
 
 from tessera.functions import vectors
-from tessera.operators import fuzzyindex, graphindex, rankedindex, search, selection, textindex
+from tessera.operators import fuzzyindex, graphindex, prefixindex, rankedindex, search, selection, textindex
 from tessera.plans import api
 from tessera.plans.common import CHUNKS, FILES, chunks, files, history, prompts, r6, table, vector_rows
 from tessera.sources import scratch
@@ -184,6 +184,14 @@ def fuzzy_index(s, d):
     return near.select("term", "query", F.col("distance").cast("long").alias("distance"), r6(F.col("score")).alias("score"))
 
 
+def prefix_index(s, d):
+    """The best five queries of each prefix, first from two thirds of the history, then updated with the rest."""
+    h = history(s, d)
+    c = prefixindex.counts(h.filter("event_id % 3 <> 0"))
+    index, _ = prefixindex.update(prefixindex.build(c, 5), c, h.filter("event_id % 3 = 0"), 5)
+    return index.select("prefix", "query", "n", F.col("nth").cast("long").alias("nth"))
+
+
 def storage_search(s, d):
     return textindex.storage_search(files(s, d), "thing tion", 20).select("path", F.round("score", 9).alias("score"))
 
@@ -302,6 +310,10 @@ QUERIES = {
         "WITH t AS (SELECT DISTINCT term FROM (SELECT unnest(regexp_split_to_array(lower(text), '\\W+')) AS term FROM benchmark) WHERE length(term) > 2), p AS (SELECT a.term, b.term AS query, levenshtein(a.term, b.term) AS distance FROM t a JOIN t b ON abs(length(a.term) - length(b.term)) <= greatest(2, floor(length(b.term) * 0.3)))"
         " SELECT term, query, distance, round(1 - distance / greatest(length(term), length(query))::DOUBLE, 6) AS score FROM p WHERE distance <= greatest(2, floor(length(query) * 0.3))",
     ),
+    "prefix_index": (
+        prefix_index,
+        f"WITH {_HIST}, c AS (SELECT lower(query) AS query, count(*) AS n FROM h GROUP BY 1), p AS (SELECT left(query, k) AS prefix, query, n FROM (SELECT *, unnest(range(1, least(length(query), 20) + 1)) AS k FROM c)) SELECT prefix, query, n, row_number() OVER (PARTITION BY prefix ORDER BY n DESC, query) AS nth FROM p QUALIFY row_number() OVER (PARTITION BY prefix ORDER BY n DESC, query) <= 5",
+    ),
     "text_search": (
         text_search,
         f"{_DOCS}, m AS (SELECT path, length(content) AS n_chars, strlen(content) AS size, date_diff('day', DATE '2024-01-31' - CAST(doc_id % 400 AS INT), DATE '2024-02-01') AS age, language FROM files) SELECT p.path, term, n, round((n / n_chars::DOUBLE * greatest(0.1, 1 - age / 365.0::DOUBLE) * CASE WHEN language = 'en' THEN 1.2 ELSE 1.0 END * least(1.0, size / 10000.0))::DOUBLE, 9) AS score FROM p JOIN m USING (path) WHERE term IN ('thing', 'tion') ORDER BY score DESC, path, term LIMIT 20",

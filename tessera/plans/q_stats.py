@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import analytics, textindex
 from tessera.plans.common import FILES, files, history, r6, table
-from tessera.streaming import state
+from tessera.streaming import caches, state
 
 
 def _chunks(s, d):
@@ -147,6 +147,16 @@ def recent_savings(s, d):
     return _savings(s, d).orderBy(F.desc("id")).limit(20).select("id", "original", "optimized")
 
 
+def _cached(policy, capacity, ttl):
+    """What a policy does for the events as requests, a key being a user's kind of event."""
+
+    def query(s, d):
+        e = table(s, d, "events").select(F.concat_ws(":", "user_id", "event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+        return caches.cached(e, policy, capacity, ttl, shards=64).select("key", "ts", "hit", "size", "evicted")
+
+    return query
+
+
 def cache_totals(s, d):
     c = table(s, d, "documents").groupBy("source").agg(F.count("*").alias("entries"), F.sum(F.octet_length("text")).alias("bytes"))
     return c
@@ -192,5 +202,8 @@ QUERIES = {
     "usage_by_hour": (usage_by_hour, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"),
     "view_files_by_language": (views, f"WITH {_C} SELECT language, count(DISTINCT path) AS file_count, count(*) AS chunk_count FROM c WHERE NOT gone GROUP BY language"),
     "recent_savings": (recent_savings, f"WITH {_S} SELECT id, original, optimized FROM s ORDER BY id DESC LIMIT 20"),
+    "cache_oldest": (_cached("oldest", 6400, 86_400.0), None),
+    "cache_recent": (_cached("recent", 12_800, 86_400.0), None),
+    "cache_bounded": (_cached("bounded", 3200, None), None),
     "cache_totals": (cache_totals, "SELECT source, count(*) AS entries, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY source"),
 }
