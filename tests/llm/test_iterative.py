@@ -338,3 +338,22 @@ def test_neighbours_clustered_and_repeated_ids(spark):
         assert [f[0] for f in sorted(got[q])] == list(range(1, 21))
         hits += len({round(-b[0], 9) for b in best} & {round(f[2], 9) for f in got[q]}) / len({round(-b[0], 9) for b in best})
     assert hits >= 0.9 * 74
+
+
+def test_neighbours_with_hubs(spark, monkeypatch):
+    """A few long vectors are near to all others: their pieces go to tasks beside the parts, and nothing is lost."""
+    monkeypatch.setattr(neighbours, "LANE", 2)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((2400, 10)) * np.exp(0.7 * rng.standard_normal((2400, 1)))
+    x[:4] *= 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in neighbours.nearest(df, lambda c: c % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & set([i for i in np.argsort(-(x @ x[q]), kind="stable") if i != q][:20])) for q in range(0, 2400, 20))
+    assert hits >= 0.9 * 20 * 120
+
+
+def test_neighbours_parts_follow_the_bytes():
+    assert neighbours._sized(neighbours.PART, 64) == neighbours.PART == neighbours._sized(neighbours.PART, 8)
+    assert neighbours._sized(neighbours.PART, 1536) * 1536 <= neighbours.PART * 64 and neighbours._sized(256, 10**6) == 16
