@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import blockhash, chunking, incremental, integrity
 from tessera.plans.common import FILES, chunks, files, now, r6, table
-from tessera.sources import tablefunctions
+from tessera.sources import jsonstream, scratch, tablefunctions
 
 CODE = """import os
 import { a } from 'b'
@@ -116,6 +116,14 @@ def block_changes(s, d):
     return blockhash.changes(stored, blockhash.update(stored, new, 512))
 
 
+def json_stream(s, d):
+    """Documents written as JSON, one after the other, and read back in ranges of 64 kB."""
+    path = scratch.folder(s, "json")
+    jsonstream.write(table(s, d, "documents").select(F.to_json(F.struct("doc_id", "text", "lang")).alias("value")), path)
+    back = jsonstream.read(s, path, 1 << 16).select(F.from_json("value", "doc_id long, text string, lang string").alias("v"))
+    return back.select("v.doc_id", F.sha2("v.text", 256).alias("text"), "v.lang")
+
+
 def chunk_small(s, d):
     return chunking.fixed_lines(files(s, d), 3, drop_blank=False).groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
@@ -318,6 +326,7 @@ QUERIES = {
     ),
     "block_digests": (block_digests, f"WITH {FILES}, h AS (SELECT path, hex(encode(content)) AS x FROM files), b AS (SELECT path, x, unnest(range(0, greatest(1, CAST(ceil(length(x) / 8192.0) AS BIGINT)))) AS block FROM h), d AS (SELECT path, block, sha256(unhex(substr(x, block * 8192 + 1, 8192))) AS hash FROM b) SELECT path, count(*) AS blocks, sha256(string_agg(hash, '' ORDER BY block)) AS digest FROM d GROUP BY path"),
     "block_changes": (block_changes, f"WITH {FILES}, h AS (SELECT path, hex(encode(content)) AS x, hex(encode(translate(content, 'e', 'E'))) AS y FROM files WHERE doc_id % 3 = 0), b AS (SELECT *, unnest(range(0, CAST(ceil(length(x) / 1024.0) AS BIGINT))) AS block FROM h) SELECT path, block, 'changed' AS change FROM b WHERE substr(x, block * 1024 + 1, 1024) <> substr(y, block * 1024 + 1, 1024)"),
+    "json_stream": (json_stream, "SELECT doc_id, sha256(text) AS text, lang FROM documents"),
     "chunk_windows": (chunk_small, _LINES.format(3) + " SELECT path, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM c GROUP BY path"),
     "chunk_boundary_regex": (
         chunk_boundaries,
