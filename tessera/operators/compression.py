@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -89,6 +89,11 @@ def truncate(c: Column, target: Column) -> Column:
     return F.array_join(F.aggregate(_lines(c), start, step, lambda acc: acc["out"]), "\n")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def compress(df: DataFrame, target: int | Column) -> DataFrame:
     """Add compressed, level, original_tokens, compressed_tokens, ratio.  In: content, kind, signature.
 
@@ -96,13 +101,17 @@ def compress(df: DataFrame, target: int | Column) -> DataFrame:
     """
     target = F.lit(target) if isinstance(target, int) else target
     c, kind, sig = F.coalesce("content", F.lit("")), F.col("kind"), F.col("signature")
-    levels = df.withColumn("_l", light(c)).withColumn("_m", collapse(F.col("_l"))).withColumn("_a", aggressive(c, kind, sig)).withColumn("_s", signature_only(c, kind, sig))
     fits = lambda x: estimate_code_tokens(x) <= target
-    pick = lambda whole, li, me, ag, si, rest: F.when(fits(c), whole).when(fits(F.col("_l")), li).when(fits(F.col("_m")), me).when(fits(F.col("_a")), ag).when(fits(F.col("_s")), si).otherwise(rest)
-    out = levels.withColumn("compressed", pick(c, F.col("_l"), F.col("_m"), F.col("_a"), F.col("_s"), truncate(F.col("_s"), target)))
-    out = out.withColumn("level", pick(F.lit("light"), F.lit("light"), F.lit("medium"), F.lit("aggressive"), F.lit("signature-only"), F.lit("signature-only")))
+    kept = lambda level, x: F.struct(F.lit(level).alias("level"), x.alias("text"))
+    # Each level is computed once, and only where those before it do not fit.
+    last = lambda s: F.when(fits(s), kept("signature-only", s)).otherwise(kept("signature-only", truncate(s, target)))
+    fourth = lambda a: F.when(fits(a), kept("aggressive", a)).otherwise(_let(signature_only(c, kind, sig), last))
+    third = lambda m: F.when(fits(m), kept("medium", m)).otherwise(_let(aggressive(c, kind, sig), fourth))
+    second = lambda x: F.when(fits(x), kept("light", x)).otherwise(_let(collapse(x), third))
+    out = df.withColumn("_kept", F.when(fits(c), kept("light", c)).otherwise(_let(light(c), second)))
+    out = out.withColumn("compressed", F.col("_kept.text")).withColumn("level", F.col("_kept.level")).drop("_kept")
     out = out.withColumn("original_tokens", estimate_code_tokens(c)).withColumn("compressed_tokens", estimate_code_tokens(F.col("compressed")))
-    return out.withColumn("ratio", F.try_divide(F.col("original_tokens"), F.col("compressed_tokens"))).drop("_l", "_m", "_a", "_s")
+    return out.withColumn("ratio", F.try_divide(F.col("original_tokens"), F.col("compressed_tokens")))
 
 
 def compress_to_budget(df: DataFrame, budget: int, count: int) -> DataFrame:

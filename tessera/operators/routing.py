@@ -131,7 +131,7 @@ def analyze(df: DataFrame, query: str = "prompt") -> DataFrame:
     df = df.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
     said = (("keywords", "complex keywords detected"), ("structure", "complex code patterns"), ("dependencies", "multiple dependencies"), ("ambiguity", "ambiguous requirements"), ("length", "lengthy query"))
     parts = F.concat_ws(", ", *[F.when(F.col(f"f_{k}") > 0.5, v) for k, v in said])
-    head = F.concat(F.when(F.col("score") < 0.3, "simple query").when(F.col("score") < 0.6, "moderately complex").otherwise("highly complex"), F.format_string(" (%.2f)", "score"))
+    head = F.concat(F.when(F.col("score") < 0.3, "simple query").when(F.col("score") < 0.6, "moderately complex").otherwise("highly complex"), F.concat(F.lit(" ("), F.format_number("score", 2), F.lit(")")))
     return df.withColumn("reasoning", F.when(parts == "", head).otherwise(F.concat_ws(": ", head, parts)))
 
 

@@ -152,7 +152,7 @@ def compress_light(s, d):
 
 def compress_levels(s, d):
     c = table(s, d, "documents").select("doc_id", F.col("text").alias("content"), F.lit("function").alias("kind"), F.lit(None).cast("string").alias("signature"))
-    return compression.compress(c, 300).select("doc_id", "level", "original_tokens", "compressed_tokens", r6(F.col("ratio")).alias("ratio"))
+    return compression.compress(c, 300).select("doc_id", "level", "original_tokens", "compressed_tokens", r6(F.col("ratio")).alias("ratio"), F.sha2("compressed", 256).alias("compressed"))
 
 
 def compress_language(s, d):
@@ -223,6 +223,43 @@ _BREAKDOWN = (
     " SELECT doc_id, total, CASE WHEN code THEN 'code' ELSE 'text' END AS type, length(text) AS characters, base, total - base AS adjustments FROM t"
 )
 
+def _complexity_sql():
+    """The five factors by the same published rules, as arithmetic over counts of matches."""
+    r = routing
+    count = lambda words: "(" + " + ".join(f"CAST(contains(low, '{w}') AS INT)" for w in words) + ")"
+    any_of = lambda words: "(" + " OR ".join(f"contains(low, '{w}')" for w in words) + ")"
+    n = lambda p: f"len(regexp_extract_all(c, '{p}'))"
+    flag = lambda p, v: f"CASE WHEN regexp_matches(c, '{p}') THEN {v} ELSE 0 END"
+    unit = lambda x: f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, ({x})::DOUBLE))"
+    code = flag("```", 0.15).replace("THEN", r"OR regexp_matches(c, '(?m)^\s*[\w{}();]+\s*$') THEN")
+    structure = " + ".join([*(flag(p, 0.1) for p in r.PATTERNS), f"least(0.2, {n(r'\?')} * 0.1)", code, flag(r"[\w/]+\.(ts|js|py|rs|go|java|cpp|c)", 0.1)])
+    depends = f"least(0.2, {n(r'[\w/\\.]+')} * 0.05) + {flag(r'\b(import|require|from|include)\b', 0.15)}"
+    vague = f"{count(r.VAGUE)} * 0.15 + least(0.2, {n(r'(?i)\bor\b')} * 0.1) + {flag(r'(?i)\b(if|when|unless|depending|whether)\b', 0.1)} + CASE WHEN NOT {any_of(r.SPECIFIC)} AND length(c) > 50 THEN 0.2 ELSE 0 END"
+    keywords = f"{count(r.HIGH)} * 0.3 + {count(r.MEDIUM)} * 0.15 - {count(r.LOW)} * 0.1 + 0.3"
+    said = "concat_ws(', ', CASE WHEN keywords > 0.5 THEN 'complex keywords detected' END, CASE WHEN structure > 0.5 THEN 'complex code patterns' END, CASE WHEN dependencies > 0.5 THEN 'multiple dependencies' END, CASE WHEN ambiguity > 0.5 THEN 'ambiguous requirements' END, CASE WHEN length > 0.5 THEN 'lengthy query' END)"
+    return f"""WITH {PROMPTS}, t AS (SELECT id, coalesce(prompt, '') AS c, lower(coalesce(prompt, '')) AS low FROM prompts),
+ f AS (SELECT id, {unit('(length(c) - 100) / 400.0')} AS length, {unit(keywords)} AS keywords, {unit(structure)} AS structure, {unit(depends)} AS dependencies, {unit(vague)} AS ambiguity FROM t),
+ s AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, length * 0.2::DOUBLE + keywords * 0.3::DOUBLE + structure * 0.2::DOUBLE + dependencies * 0.15::DOUBLE + ambiguity * 0.15::DOUBLE)) AS sc, {said} AS said FROM f),
+ h AS (SELECT *, CASE WHEN sc < 0.3 THEN 'simple query' WHEN sc < 0.6 THEN 'moderately complex' ELSE 'highly complex' END || printf(' (%.2f)', sc) AS head FROM s)
+SELECT id, round(length, 6) AS length, round(keywords, 6) AS keywords, round(structure, 6) AS structure, round(dependencies, 6) AS dependencies, round(ambiguity, 6) AS ambiguity, round(sc, 6) AS score,
+ CASE WHEN said = '' THEN head ELSE head || ': ' || said END AS reasoning FROM h"""
+
+
+_TOK = "CAST(ceil(length({}) / 3.0) AS BIGINT)"
+_LEVELS = f"""WITH p AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), li AS (SELECT doc_id, text AS c, {_LIGHT} AS l, string_split(text, chr(10)) AS ls FROM p),
+ me AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '(?m)[ \\t]+$', '', 'g'), '^\\s+|\\s+$', '', 'g') AS m FROM li),
+ pa AS (SELECT *, ls[1:least(coalesce(list_min(list_filter(range(1, len(ls) + 1), lambda i: regexp_matches(ls[i], '\\{{|=>'))), len(ls)), 6)] AS sig, list_filter(ls, lambda x: starts_with(ltrim(x, ' '), 'import ') OR starts_with(ltrim(x, ' '), 'require(')) AS im,
+  list_filter(ls, lambda x: starts_with(ltrim(x, ' '), 'type ') OR starts_with(ltrim(x, ' '), 'interface ')) AS ty, list_filter(ls, lambda x: regexp_matches(ltrim(x, ' '), '^(if|for|while|switch) ')) AS st FROM me),
+ al AS (SELECT *, array_to_string(list_concat(sig, im, ty, CASE WHEN len(st) > 0 THEN list_concat(['...'], st) ELSE [] END), chr(10)) AS a, array_to_string(list_concat(im, sig), chr(10)) AS g FROM pa),
+ gl AS (SELECT doc_id, unnest(string_split(g, chr(10))) AS line, generate_subscripts(string_split(g, chr(10)), 1) AS i FROM al),
+ gs AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM gl),
+ gd AS (SELECT *, coalesce(bool_or(ceil((n + length(line)) / 3.0) >= 270) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS done FROM gs),
+ gt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS cut FROM gd WHERE NOT done GROUP BY doc_id),
+ ch AS (SELECT doc_id, c, CASE WHEN {_TOK.format('c')} <= 300 OR {_TOK.format('l')} <= 300 THEN 'light' WHEN {_TOK.format('m')} <= 300 THEN 'medium' WHEN {_TOK.format('a')} <= 300 THEN 'aggressive' ELSE 'signature-only' END AS level,
+  CASE WHEN {_TOK.format('c')} <= 300 THEN c WHEN {_TOK.format('l')} <= 300 THEN l WHEN {_TOK.format('m')} <= 300 THEN m WHEN {_TOK.format('a')} <= 300 THEN a WHEN {_TOK.format('g')} <= 300 THEN g ELSE cut END AS x FROM al JOIN gt USING (doc_id))
+SELECT doc_id, level, {_TOK.format('c')} AS original_tokens, {_TOK.format('x')} AS compressed_tokens, round({_TOK.format('c')} / nullif({_TOK.format('x')}, 0)::DOUBLE, 6) AS ratio, sha256(x) AS compressed FROM ch"""
+
+
 QUERIES = {
     "token_estimates": (token_estimates, "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(ceil(length(text) / 3.0) AS BIGINT) AS code_tokens, CAST(greatest(1, strlen(text) // 4) AS BIGINT) AS byte_tokens FROM documents"),
     "token_text": (
@@ -276,7 +313,7 @@ SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0) - ceil(coalesce(list_su
     ),
     "score_registered": (registered_scorers, f"WITH {CHUNKS} SELECT chunk_id, round(((least(1.0, length(content) / 5000.0) * 2 + label / 10.0) / 3.0)::DOUBLE, 6) AS score FROM chunks"),
     "intent_classify": (intents, _intent_sql()),
-    "complexity_score": (complexity, None),
+    "complexity_score": (complexity, _complexity_sql()),
     "route_model": (
         routes,
         "WITH a AS (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) AS t, (o_custkey % 100) / 100.0 AS c FROM orders) SELECT o_orderkey, CASE WHEN t < 8000 AND c < 0.6 THEN 'local' WHEN o_orderkey % 2 = 0 AND t < 50000 AND c < 0.7 THEN 'edge' WHEN t < 50000 AND c < 0.6 THEN 'small' WHEN t < 100000 THEN 'medium' ELSE 'large' END AS model,"
@@ -291,7 +328,7 @@ SELECT doc_id, CAST(greatest(1, ceil(length(text) / 4.0) - ceil(coalesce(list_su
     ),
     "model_for_task": (model_for_task, "WITH prefs AS (SELECT DISTINCT p_brand AS task, p_size AS rank, string_split(p_name, ' ')[1] AS pattern FROM part), have AS (SELECT DISTINCT p_name AS model FROM part) SELECT task, first(model ORDER BY rank, model) AS model FROM prefs JOIN have ON contains(model, pattern) GROUP BY task"),
     "compress_light": (compress_light, f"WITH a AS (SELECT doc_id, {_LIGHT} AS l FROM documents) SELECT doc_id, sha256(l) AS light, length(l)::BIGINT AS n FROM a"),
-    "compress_levels": (compress_levels, None),
+    "compress_levels": (compress_levels, _LEVELS),
     "compress_language": (compress_language, None),
     "content_validation": (validated, "SELECT doc_id, strlen(text) > 0 AND strlen(text) <= 10485760 AS valid, sha256(substr(trim(text), 1, 1000)) AS clean FROM documents"),
 }
