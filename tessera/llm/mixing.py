@@ -4,7 +4,7 @@ Sizes are words.  Targets share ``share`` of all words by weight; none goes abov
 ``most`` times its source's size, and what it leaves is shared by weight among the others
 (one pass over sources ordered by cap / weight finds the level at which none is above).
 The mix consists of ``BLOCKS`` equal-token blocks.  Seats are given to sources by highest
-quotients target / (2k + 1); every ``BLOCKS / shards`` successive seats are one output
+quotients target / (2k + 1); every ``1 / SHARDS`` of the successive seats is one output
 shard, which is house-monotone, so each shard has integer quotas and all shards together
 have the quotas of the whole mix.  A source's documents in seeded order form a stream cut
 into blocks; its seats take blocks in seeded order, each block once before any twice.
@@ -12,7 +12,10 @@ into blocks; its seats take blocks in seeded order, each block once before any t
 A block is a share of all words, so seats alone give a source of few blocks too much, too
 little or nothing.  Each source that its seats leave more than ``SLACK`` of its target away
 is settled by words instead: its stream is taken whole as often as it fits into the target,
-and its first words once more.
+and its first words once more; its documents are dealt to shards by hash.
+
+Each range of words that is taken carries the shards of its seats, one for each time;
+``quotas`` gives the seats of each source in each shard.
 
 Scale: one narrow scan stages id, source and size; the rest moves those rows only.  A
 source's running sum is built from 4,096 seeded cells, so a source with a third of all rows
@@ -54,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, and the word ranges taken in each pass."""
+    """doc_id, size, source, source_size, target, taken, and the word ranges taken, how often and in which shards."""
     stage = Stage(df.sparkSession, "mixing")
     h = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
     rows = stage.put("rows", df.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"), F.xxhash64(text).alias("txt")))
@@ -71,7 +74,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     seats = asked.join(F.broadcast(wide)).select("idx", "block", "target", "seats", F.explode(F.sequence(F.lit(0), most_seats)).alias("k"))
     rank = Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "idx", "k")
     seats = seats.withColumn("seat", F.row_number().over(rank) - 1).filter(F.col("seat") < F.col("seats"))
-    seats = seats.select("idx", "k", F.floor(F.col("seat") / (BLOCKS // SHARDS)).cast("int").alias("shard"))
+    seats = seats.select("idx", "k", F.floor(F.col("seat") * SHARDS / F.col("seats")).cast("int").alias("shard"))
 
     # Blocks of a source in seeded order, first pass before second.
     n = F.ceil(F.col("source_size") / F.col("block")).cast("long")
@@ -80,7 +83,7 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     seeded = F.md5(F.concat_ws(":", F.lit(seed), "idx", "blk"))
     blocks = blocks.withColumn("j", F.row_number().over(Window.partitionBy("idx").orderBy(seeded, "blk")) - 1).withColumn("n", F.count("*").over(Window.partitionBy("idx")))
     slots = blocks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn("k", (F.col("pass") * F.col("n") + F.col("j")).cast("int"))
-    chosen = stage.put("chosen", slots.join(seats, ["idx", "k"]).groupBy("idx", "blk").agg(F.count("*").alias("times")))
+    chosen = stage.put("chosen", slots.join(seats, ["idx", "k"]).groupBy("idx", "blk").agg(F.count("*").alias("times"), F.sort_array(F.collect_list("shard")).alias("shards")))
 
     # Sources that seats leave away from their target: whole passes and the words of one more.
     length = F.least((F.col("blk") + 1) * F.col("block"), "source_size") - F.col("blk") * F.col("block")
@@ -106,12 +109,18 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5,
     low = F.greatest(F.col("start"), F.col("blk") * unit) - F.col("start")
     high = F.least(F.col("start") + F.col("size"), F.when(settled & (F.col("blk") == 1), F.col("source_size")).otherwise((F.col("blk") + 1) * unit)) - F.col("start")
     times = F.when(settled & (F.col("size") > 0), F.col("full") + F.when(F.col("blk") == 0, 1).otherwise(0)).otherwise(F.coalesce("times", F.lit(0)))
-    got = cut.join(F.broadcast(chosen), ["idx", "blk"], "left").withColumn("times", times).withColumn("span", F.struct(low.alias("low"), high.alias("high"), F.col("times").alias("times"))).withColumn("words", F.when(F.col("times") > 0, F.col("times") * (high - low)).otherwise(F.lit(0)))
+    got = cut.join(F.broadcast(chosen), ["idx", "blk"], "left").withColumn("times", times).withColumn("shards", F.coalesce("shards", F.array_repeat(F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int"), F.col("times").cast("int")))).withColumn("span", F.struct(low.alias("low"), high.alias("high"), F.col("times").alias("times"), F.col("shards").alias("shards"))).withColumn("words", F.when(F.col("times") > 0, F.col("times") * (high - low)).otherwise(F.lit(0)))
     whole = got.filter((F.col("blk") == first) & (F.col("blk") == last) | (F.col("size") == 0)).select("doc_id", "txt", "source", "size", "source_size", "target", F.col("words").alias("taken"), F.array("span").alias("spans"))
     split = got.filter((F.col("blk") >= 0) & (first < last)).groupBy("doc_id", "txt", "source", "size", "source_size", "target", "start", "idx").agg(F.sum("words").alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     return whole.unionByName(split.select(whole.columns))
 
 
+def quotas(mixed: DataFrame) -> DataFrame:
+    """shard, source, words of a mix: what each shard holds of each source."""
+    spans = mixed.filter("taken > 0").select("source", F.explode("spans").alias("s")).select("source", (F.col("s.high") - F.col("s.low")).alias("words"), F.explode("s.shards").alias("shard"))
+    return spans.groupBy("shard", "source").agg(F.sum("words").alias("words"))
+
+
 def take_pieces(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: rows of ``df`` with the taken part of their text, once a pass.
 

@@ -105,6 +105,23 @@ def test_chat_round_trip(spark):
     assert len(ex) == 3 and all(b.text.startswith(a.text) for a, b in zip(ex, ex[1:]))
 
 
+def test_mixing_shards_hold_the_mix(spark):
+    rnd = random.Random(3)
+    df = docs(spark, [(i, "w " * rnd.randint(1, 400), rnd.choice("aaab")) for i in range(900)] + [(5000, "tiny one", "z")])
+    out = mixing.mix(df)
+    spans = [(r.source, s) for r in out.collect() for s in r.spans if s["times"]]
+    assert all(len(s["shards"]) == s["times"] and all(0 <= x < mixing.SHARDS for x in s["shards"]) for _, s in spans)
+    shares = {(r.shard, r.source): r.words for r in mixing.quotas(out).collect()}
+    assert sum(shares.values()) == sum(r.taken for r in out.select("taken").collect())
+    mean = sum(shares.values()) / mixing.SHARDS
+    of = Counter()
+    for (shard, _), n in shares.items():
+        of[shard] += n
+    assert len(of) == mixing.SHARDS and max(of.values()) < 1.1 * mean and min(of.values()) > 0.9 * mean
+    a = [shares[i, "a"] for i in range(mixing.SHARDS)]
+    assert max(a) - min(a) <= 0.1 * mean, "each shard has its quota of a source"
+
+
 def test_mixing_near_targets(spark):
     rnd = random.Random(2)
     rows = EDGES + [(100 + i, "w " * rnd.randint(0, 90), rnd.choice(["a", "b", "c", None, "é"])) for i in range(600)]
