@@ -138,10 +138,23 @@ def size_estimates(chunks: DataFrame) -> DataFrame:
     return chunks.agg(F.sum(2 * length + 8 * dim + 200).alias("memory_bytes"), F.sum(2 * length + 4 * dim + 64 + 200).alias("table_bytes"), F.sum(4 * dim + 150).alias("index_bytes"))
 
 
-def register_views(spark, tables: dict[str, DataFrame]) -> None:
-    """Live views over ``chunks`` and ``files`` under their usual names."""
+def register_views(spark, tables: dict[str, DataFrame], now: Column | None = None) -> list[str]:
+    """Temporary views under their usual names over the tables that are given, themselves views by their keys.
+
+    chunks, files, index_metadata; users, conversations; usage_log; documents, document_chunks,
+    cache_metadata; embedding_cache; embedding_metrics.  A view is made where all its tables are.
+    """
+    at = F.current_timestamp() if now is None else now
+    live = lambda df: df.filter("deleted_at IS NULL")
+    views = {
+        "active_code_chunks": (live, "chunks"), "active_indexed_files": (live, "files"), "files_by_language": (by_language, "chunks"), "index_statistics": (index_statistics, "files", "chunks"),
+        "active_users": (lambda u, c: active_users(u, c, at), "users", "conversations"), "daily_usage_summary": (daily_usage, "usage_log"), "popular_documents": (popular_documents, "documents", "document_chunks", "cache_metadata"),
+        "v_cache_performance": (lambda c: cache_performance(c, at), "embedding_cache"), "v_provider_stats": (provider_stats, "embedding_metrics"), "v_error_stats": (error_stats, "embedding_metrics"),
+    }
     for name, df in tables.items():
         df.createOrReplaceTempView(name)
-    spark.sql("CREATE OR REPLACE TEMP VIEW active_code_chunks AS SELECT * FROM chunks WHERE deleted_at IS NULL")
-    spark.sql("CREATE OR REPLACE TEMP VIEW active_indexed_files AS SELECT * FROM files WHERE deleted_at IS NULL")
-    spark.sql("CREATE OR REPLACE TEMP VIEW files_by_language AS SELECT language, count(DISTINCT path) AS file_count, count(*) AS chunk_count FROM active_code_chunks GROUP BY language")
+    made = [name for name, (_, *needs) in views.items() if all(n in tables for n in needs)]
+    for name in made:
+        f, *needs = views[name]
+        f(*(tables[n] for n in needs)).createOrReplaceTempView(name)
+    return made

@@ -137,3 +137,15 @@ def add_favorite(favorites: DataFrame, entry: DataFrame) -> DataFrame:
 
 def remove_favorite(favorites: DataFrame, query: str) -> DataFrame:
     return favorites.filter(F.col("query") != query)
+
+
+def valid_index(metadata: DataFrame) -> DataFrame:
+    """One row, valid: whether there is metadata and all of it says when it was updated and how many files it has."""
+    sound = F.col("last_updated").isNotNull() & F.col("files_indexed").isNotNull()
+    return metadata.agg(F.coalesce(F.every(sound), F.lit(False)).alias("valid"))
+
+
+def vacuum(stored: DataFrame, path: str, key: str = "path", files: int | None = None) -> None:
+    """Write the live rows of a table to a new folder, sorted by key, in few files; the old one stays until it is dropped."""
+    live = stored.filter("deleted_at IS NULL") if "deleted_at" in stored.columns else stored
+    (live.repartitionByRange(files, key) if files else live.repartitionByRange(key)).sortWithinPartitions(key).write.mode("errorifexists").parquet(path)

@@ -27,6 +27,12 @@ def recent_usage(usage: DataFrame, now: Column, days: int = 90, until: Column |
     return recent if until is None else recent.filter(F.col("ts") <= until)
 
 
+def add_usage(usage: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
+    """The usage history with further entries (chunk_id, helpful), used now unless they say when."""
+    when = F.coalesce("ts", now) if "ts" in entries.columns else now
+    return usage.unionByName(entries.select("chunk_id", when.alias("ts"), "helpful"))
+
+
 def normalized_breakdown(df: DataFrame, names: tuple[str, ...] = tuple(WEIGHTS)) -> DataFrame:
     """Feature columns clamped to 0..1; null and not-a-number count as 0."""
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.nanvl(F.coalesce(c.cast("double"), F.lit(0.0)), F.lit(0.0))))

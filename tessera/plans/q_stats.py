@@ -143,6 +143,17 @@ def views(s, d):
     return s.sql("SELECT language, file_count, chunk_count FROM files_by_language WHERE chunk_count > 0")
 
 
+def view_providers(s, d):
+    """Providers with their errors, by SQL over two of the views."""
+    e = table(s, d, "events")
+    log = e.select(F.to_date("ts").alias("date"), F.col("event_type").alias("metric"), F.floor("value").cast("long").alias("value"), "user_id")
+    analytics.register_views(s, {"embedding_metrics": _metrics(s, d), "usage_log": log})
+    return s.sql(
+        "SELECT p.provider, p.total, coalesce(x.errors, 0) AS errors, u.days FROM (SELECT provider, CAST(sum(total) AS BIGINT) AS total FROM v_provider_stats GROUP BY provider) p"
+        " LEFT JOIN (SELECT provider, CAST(sum(error_count) AS BIGINT) AS errors FROM v_error_stats GROUP BY provider) x ON x.provider = p.provider JOIN (SELECT metric, count(*) AS days FROM daily_usage_summary GROUP BY metric) u ON u.metric = p.provider"
+    )
+
+
 def recent_savings(s, d):
     return _savings(s, d).orderBy(F.desc("id")).limit(20).select("id", "original", "optimized")
 
@@ -201,6 +212,7 @@ QUERIES = {
     "rate_limit": (rate_limit, "WITH a AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window FROM events) SELECT event_id, in_window, in_window <= 30 AS allowed FROM a"),
     "usage_by_hour": (usage_by_hour, "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2"),
     "view_files_by_language": (views, f"WITH {_C} SELECT language, count(DISTINCT path) AS file_count, count(*) AS chunk_count FROM c WHERE NOT gone GROUP BY language"),
+    "view_providers": (view_providers, "SELECT event_type AS provider, count(*) AS total, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT CAST(ts AS DATE)) AS days FROM events GROUP BY event_type"),
     "recent_savings": (recent_savings, f"WITH {_S} SELECT id, original, optimized FROM s ORDER BY id DESC LIMIT 20"),
     "cache_oldest": (_cached("oldest", 6400, 86_400.0), None),
     "cache_recent": (_cached("recent", 12_800, 86_400.0), None),
