@@ -123,9 +123,11 @@ def parse(files: DataFrame) -> DataFrame:
     return parsed(files).select("path", F.explode("declared").alias("d")).select("path", "d.*")
 
 
-def structural(files: DataFrame, look_back: int = 3) -> DataFrame:
+def structural(files: DataFrame, look_back: int = 3, least_bytes: int = 50) -> DataFrame:
     """Chunks of classes, then of functions outside them with up to three comment or blank lines before, then of uncovered runs.
 
+    Pieces of a run under ``least_bytes`` are left out, as in ``uncovered``; 0 keeps every line of a run.
+
     One narrow pass: a file is parsed once and stays one row until its chunks are made.
     """
     f = parsed(files).select("path", _lines("content").alias("lines"), F.filter("declared", lambda d: d["kind"].isin("class", "function")).alias("d"))
@@ -148,7 +150,7 @@ def structural(files: DataFrame, look_back: int = 3) -> DataFrame:
     none = F.lit(None).cast("string")
     row = lambda s, kind, name, content: F.struct(kind.alias("kind"), name.alias("name"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), content.alias("content"))
     made = F.transform("spans", lambda s: row(s, s["kind"], s["name"], cut(s)))
-    rest = F.transform(_gaps(F.col("lines"), F.col("spans"), 5, 200, 50), lambda g: row(g, F.lit("block"), none, g["content"]))
+    rest = F.transform(_gaps(F.col("lines"), F.col("spans"), 5, 200, least_bytes), lambda g: row(g, F.lit("block"), none, g["content"]))
     return f.select("path", F.explode(F.concat(made, rest)).alias("c")).select("path", "c.*")
 
 
