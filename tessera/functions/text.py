@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Words left out of the text index.
 STOP_WORDS = ("the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by")
+#: The edge of a word of ASCII letters, digits and underscores, as `\b` is in most engines; Java's takes other letters too.
+WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:
@@ -28,6 +30,11 @@ def symbol_score(name: Column, wanted: Column) -> Column:
     return F.greatest(exact_match(name, wanted), contains_match(name, wanted), 0.6 * levenshtein_similarity(F.lower(name), F.lower(wanted)))
 
 
+def ascii_edges(pattern: str) -> str:
+    """The pattern with `\\b` as the edge of an ASCII word."""
+    return pattern.replace(r"\b", WORD_EDGE)
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\W+"), lambda w: w != "")
 

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
+from tessera.functions.text import ascii_edges
+
 # The patterns by which code is told from prose and adjusted for.
-KEYWORDS = r"\b(function|const|let|var|if|else|for|while|return|import|export|class|interface|type|async|await)\b"
+KEYWORDS = ascii_edges(r"\b(function|const|let|var|if|else|for|while|return|import|export|class|interface|type|async|await)\b")
 OPERATORS = r"[{}();\[\]<>+\-*/%=!&|,:.]"
 STRINGS = r"([\"'`])(?:(?!\1)[^\\]|\\.)*+\1"
 COMMENTS = r"(?m)(//.*$|/\*[\s\S]*?\*/)"
 URLS = r"https?://[^\s]+"
-EMAILS = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+EMAILS = ascii_edges(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b")
 CODE_SIGNS = (
     r"(function|class|interface|type|const|let|var)\s+\w+",
     r"(import|export)\s+.*from\s+['\"].+['\"]",

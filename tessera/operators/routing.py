@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.functions.text import ascii_edges
+
 # Intents with keywords and weights in order of precedence; base budgets and chunks.
 INTENTS = (
     ("bug_fix", 1.0, ("bug", "error", "fix", "broken", "crash", "issue", "problem", "not working", "fail", "debug")),
@@ -34,6 +36,8 @@ PATTERNS = (
     r"(?i)\b(try|catch|throw|error|exception|handle|validate)\b",
     r"(?i)\b(test|spec|mock|stub|assert|expect|verify)\b",
 )
+#: A line of one word or of brackets; only a line feed ends a line.
+ONE_WORD_LINE = r"(?md)^[ \t\n\f\r]*[\w{}();]+[ \t\n\f\r]*$"
 VAGUE = ("something", "anything", "somehow", "maybe", "possibly", "probably")
 SPECIFIC = ("function", "class", "method", "variable", "file", "line", "column")
 MODELS = {"local": ("local", 0.0, 0.0), "edge": ("edge", 0.0, 0.0), "small": ("cloud", 0.25, 1.25), "medium": ("cloud", 3.0, 15.0), "large": ("cloud", 15.0, 75.0)}
@@ -103,24 +107,29 @@ def detect(df: DataFrame, prompt: str = "prompt", history: Column | None = None)
 
 
 def factors(query: Column, current_file: Column | None = None, n_chunks: Column | None = None) -> dict[str, Column]:
-    """length, keywords, structure, dependencies, ambiguity, each within 0..1."""
+    """length, keywords, structure, dependencies, ambiguity, each within 0..1.
+
+    All but the length are added up in whole hundredths, so that sums are exact and thresholds
+    and rounded scores do not hang on the order of additions.
+    """
     c, low = F.coalesce(query, F.lit("")), F.lower(F.coalesce(query, F.lit("")))
-    flag = lambda cond, v: F.when(cond, v).otherwise(0.0)
-    n = lambda p: F.regexp_count(c, F.lit(p))
-    structure = F.lit(0.0)
+    flag = lambda cond, v: F.when(cond, v).otherwise(0)
+    n = lambda p: F.regexp_count(c, F.lit(ascii_edges(p)))
+    has = lambda p: c.rlike(ascii_edges(p))
+    structure = F.lit(0)
     for p in PATTERNS:
-        structure = structure + flag(c.rlike(p), 0.1)
-    structure = structure + F.least(F.lit(0.2), n(r"\?") * F.lit(0.1)) + flag(c.rlike("```") | c.rlike(r"(?m)^\s*[\w{}();]+\s*$"), 0.15) + flag(c.rlike(r"[\w/]+\.(ts|js|py|rs|go|java|cpp|c)"), 0.1)
-    depends = F.least(F.lit(0.2), n(r"[\w/\\.]+") * F.lit(0.05)) + flag(c.rlike(r"\b(import|require|from|include)\b"), 0.15)
+        structure = structure + flag(has(p), 10)
+    structure = structure + F.least(F.lit(20), n(r"\?") * 10) + flag(has("```") | has(ONE_WORD_LINE), 15) + flag(has(r"[\w/]+\.(ts|js|py|rs|go|java|cpp|c)"), 10)
+    depends = F.least(F.lit(20), n(r"[\w/\\.]+") * 5) + flag(has(r"\b(import|require|from|include)\b"), 15)
     if current_file is not None:
         name = F.lower(F.substring_index(current_file, "/", -1))
-        depends = depends + flag((name != "") & F.contains(low, name), 0.1)
+        depends = depends + flag((name != "") & F.contains(low, name), 10)
     if n_chunks is not None:
-        depends = depends + flag(n_chunks > 100, 0.1)
-    vague = _count(low, VAGUE) * F.lit(0.15) + F.least(F.lit(0.2), n(r"(?i)\bor\b") * F.lit(0.1)) + flag(c.rlike(r"(?i)\b(if|when|unless|depending|whether)\b"), 0.1) + flag(~_has(low, *SPECIFIC) & (F.length(c) > 50), 0.2)
-    keywords = _count(low, HIGH) * F.lit(0.3) + _count(low, MEDIUM) * F.lit(0.15) - _count(low, LOW) * F.lit(0.1) + 0.3
+        depends = depends + flag(n_chunks > 100, 10)
+    vague = _count(low, VAGUE) * 15 + F.least(F.lit(20), n(r"(?i)\bor\b") * 10) + flag(has(r"(?i)\b(if|when|unless|depending|whether)\b"), 10) + flag(~_has(low, *SPECIFIC) & (F.length(c) > 50), 20)
+    keywords = _count(low, HIGH) * 30 + _count(low, MEDIUM) * 15 - _count(low, LOW) * 10 + 30
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return {"length": unit((F.length(c) - 100) / 400), "keywords": unit(keywords), "structure": unit(structure), "dependencies": unit(depends), "ambiguity": unit(vague)}
+    return {"length": unit((F.length(c) - 100) / 400), "keywords": unit(keywords / 100), "structure": unit(structure / 100), "dependencies": unit(depends / 100), "ambiguity": unit(vague / 100)}
 
 
 def analyze(df: DataFrame, query: str = "prompt") -> DataFrame:

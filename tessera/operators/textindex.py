@@ -119,7 +119,7 @@ def word_overlap(files: DataFrame, query: str, least: float = 0.1) -> DataFrame:
 
 def explain_usage(chunks: DataFrame, symbol: str) -> DataFrame:
     """Chunks that define or mention a symbol; the first of them is the definition."""
-    rx = rf"(?i)\b{re.escape(symbol)}\b"
+    rx = rf"(?i){text.WORD_EDGE}{re.escape(symbol)}{text.WORD_EDGE}"
     hit = chunks.filter(F.array_contains("symbols", symbol) | F.col("content").rlike(rx))
     first = hit.filter(F.array_contains("symbols", symbol)).agg(F.min(F.struct("path", "start_line")).alias("_first"))  # one row
     return hit.crossJoin(F.broadcast(first)).withColumn("is_definition", F.coalesce(F.struct("path", "start_line") == F.col("_first"), F.lit(False))).drop("_first")
