@@ -28,6 +28,8 @@ SHARD_BYTES = 4 << 20
 SHARDS_SCHEMA = "shard int, node int, id long, vector array<float>, level int, links array<array<int>>, dead boolean"
 #: Cells of the table of nodes that the queries of a batch have seen.
 _SEEN = 1 << 23
+#: Queries that are checked against a whole shard at a time, and how much products of unit vectors may be off.
+_CHECKED, _OFF = 64, 1e-9
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,17 @@ def unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, n, out=np.zeros_like(v), where=n > 0)
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each pair of rows, summed one component after the other; 0 with a zero vector."""
+    dot, x, y = (np.zeros(len(a)) for _ in range(3))
+    for p, q in zip(np.ascontiguousarray(a.T, dtype=np.float64), np.ascontiguousarray(b.T, dtype=np.float64)):
+        dot += p * q
+        x += p * p
+        y += q * q
+    length = np.sqrt(x * y)
+    return np.clip(np.divide(dot, length, out=np.zeros_like(dot), where=length > 0), -1.0, 1.0)
+
+
 def levels(ids: np.ndarray, m: int) -> np.ndarray:
     """Layers drawn from ids: a fraction 1/m of the nodes of each layer is on the next."""
     h = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +120,7 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, level: np.ndarray, links: list[list[np.ndarray]], dead: np.ndarray):
         self.ids, self.dead = ids, dead
-        self.v = unit(vectors.astype(np.float64))
+        self.vectors, self.v = vectors, unit(vectors.astype(np.float64))
         self.entry = int(level.argmax())
         self.layers = []
         for at in range(int(level.max()) + 1):
@@ -139,6 +152,21 @@ class Shard:
         nodes, scores = np.take_along_axis(nodes, order, axis=1), np.take_along_axis(scores, order, axis=1)
         return np.where(np.isfinite(scores), nodes, -1), scores
 
+    def checked(self, queries: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` without fail: what the beam found is a floor, and every live row that reaches it is scored."""
+        q, (_, found) = unit(queries.astype(np.float64)), self.search(queries, k, ef)
+        floor = found[:, k - 1] if found.shape[1] == k else np.full(len(q), -np.inf)
+        nodes, scores = np.full((len(q), k), -1), np.full((len(q), k), -np.inf)
+        for at in range(0, len(q), _CHECKED):
+            row, node = np.nonzero((q[at : at + _CHECKED] @ self.v.T >= floor[at : at + _CHECKED, None] - _OFF) & ~self.dead)
+            score = cosines(queries[at + row], self.vectors[node])
+            order = np.lexsort((self.ids[node], -score, row))
+            row, node, score = row[order], node[order], score[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            best = nth < k
+            nodes[at + row[best], nth[best]], scores[at + row[best], nth[best]] = node[best], score[best]
+        return nodes, scores
+
     def _layer(self, table: np.ndarray, q: np.ndarray, begin: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(q), np.arange(len(q))[:, None]
         seen = np.zeros((n, len(self.ids) + 1), dtype=bool)
@@ -272,10 +300,12 @@ def stats(index: DataFrame, preset: str = "default") -> DataFrame:
     return s.select("count", "dimension", F.lit(p.m).alias("m"), F.lit(p.ef_search).alias("ef"), (F.col("count") * (F.col("dimension") * 4 + 150)).alias("size_bytes"))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, preset: str = "default", key: str = "query_id", vector: str = "embedding") -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = None, preset: str = "default", key: str = "query_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
     """query_id, id, score, rank: the best ``k`` found for each query, ties to the smaller id.
 
-    Each query goes to each shard; what a shard finds is merged by query.
+    Each query goes to each shard; what a shard finds is merged by query.  With ``exact`` a
+    shard is then checked for rows that the graph missed, by blocks of matrix products: no more
+    memory, but time by queries times rows.
     """
     beam = ef or PRESETS[preset].ef_search
     asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<float>").alias("vector"))
@@ -299,7 +329,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, ef: int | None = N
             shard = Shard(rows.column("id").to_numpy(), _matrix(rows.column("vector").chunk(0)), rows.column("level").to_numpy(), rows.column("links").to_pylist(), rows.column("dead").to_numpy())
             ids, vectors = asks.column("id").to_numpy(), _matrix(asks.column("vector").chunk(0))
             for at in range(0, len(ids), step := max(1, _SEEN // (mine + 1))):
-                nodes, scores = shard.search(vectors[at : at + step], k, beam)
+                nodes, scores = (shard.checked if exact else shard.search)(vectors[at : at + step], k, beam)
                 r, c = np.nonzero(nodes >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + step][r]), pa.array(shard.ids[nodes[r, c]]), pa.array(scores[r, c])], names=["query_id", "id", "score"])
 
