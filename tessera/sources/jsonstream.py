@@ -11,6 +11,8 @@ array.  Objects and arrays are values, bare numbers and strings are passed over.
 does not end, and a bracket that closes nothing or the wrong one, come as rows with an error.
 The texts are parsed by the engine's own ``from_json``.
 
+A task reads many ranges, about ``RANGE`` bytes, and is sent those alone.
+
 Paths are those of a file system that is mounted on all nodes.
 """
 
@@ -30,12 +32,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 RANGE = 64 << 20
-MORE = 1 << 20
+MORE = 1 << 16
 SCHEMA = "path string, offset long, value string, error string"
 OUTSIDE, INSIDE, ESCAPED = 0, 1, 2
-_STRING = re.compile(rb'"(?:[^"\\]|\\.)*(?P<end>"|\\?\Z)', re.S)
-_REST = re.compile(rb'(?:[^"\\]|\\.)*(?P<end>"|\\?\Z)', re.S)
-_TOKEN = re.compile(rb'"(?:[^"\\]|\\.)*(?P<end>"|\\?\Z)|[{}\[\]]', re.S)
+_STRING = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+(?P<end>"|\\?\Z)', re.S)
+_REST = re.compile(rb'[^"\\]*+(?:\\.[^"\\]*+)*+(?P<end>"|\\?\Z)', re.S)
+_TOKEN = re.compile(rb'"[^"\\]*+(?:\\.[^"\\]*+)*+(?P<end>"|\\?\Z)|[{}\[\]]', re.S)
 _PAIRS = {b"}": b"{", b"]": b"["}
 
 
@@ -76,7 +78,7 @@ def values(path: str, start: int, stop: int, state: int, depth: int, level: int)
     with open(local(path), "rb") as f:
         f.seek(start)
         data, ended = f.read(stop - start), False
-        size, at, begun = stop - start, 0, -1
+        size, at, begun, step = stop - start, 0, -1, MORE
         if state == ESCAPED:
             at = 1
         if state != OUTSIDE:
@@ -86,8 +88,8 @@ def values(path: str, start: int, stop: int, state: int, depth: int, level: int)
             m = _TOKEN.search(data, at)
             cut = m is not None and m["end"] is not None and m["end"] != b'"'
             if (m is None or cut) and begun >= 0 and not ended:
-                more = f.read(MORE)
-                ended = not more
+                more = f.read(step)
+                ended, step = not more, step * 2
                 at = m.start() if cut else len(data)
                 data += more
                 continue
@@ -152,20 +154,35 @@ def plan(spark: SparkSession, paths: Sequence[str], size: int = RANGE) -> list[t
     return [tuple(r) for r in found.groupBy("path").applyInPandas(chained, "path string, start long, stop long, state int, depth long").orderBy("path", "start").collect()]
 
 
-class _Range(InputPartition):
-    def __init__(self, at: Sequence):
-        super().__init__(tuple(at))
+def tasks(ranges: Sequence[Sequence], count: int) -> list[tuple]:
+    """Neighbouring ranges put together to at most ``count`` tasks of about as many bytes."""
+    total = sum(stop - start for _, start, stop, _, _ in ranges)
+    out: dict[int, list[tuple]] = {}
+    done = 0
+    for r in ranges:
+        out.setdefault(done * count // max(1, total), []).append(tuple(r))
+        done += r[2] - r[1]
+    return [tuple(x) for x in out.values()]
+
+
+class _Ranges(InputPartition):
+    """Some ranges, one after the other."""
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, ranges: list, level: int):
-        self.ranges, self.level = ranges, level
+    def __init__(self, ranges: list, level: int, count: int):
+        self.ranges, self.level, self.count = ranges, level, count
 
     def partitions(self) -> Sequence[InputPartition]:
-        return [_Range(r) for r in self.ranges]
+        return [_Ranges(t) for t in tasks(self.ranges, self.count)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from values(*partition.value, self.level)
+        for r in partition.value:
+            yield from values(*r, self.level)
+
+    def __getstate__(self) -> dict:
+        """What goes to every task, which has its own ranges: all of them would be the square of the input."""
+        return self.__dict__ | {"ranges": []}
 
 
 class _Written(WriterCommitMessage):
@@ -187,7 +204,6 @@ class _Writer(DataSourceWriter):
         name = None
         for row in iterator:
             if name is None:
-                os.makedirs(self.own, exist_ok=True)
                 name = os.path.join(self.own, f"part-{uuid.uuid4().hex}.json")
                 f = open(name, "w", encoding="utf-8")  # noqa: SIM115 - closed below
             if row["value"] is not None:
@@ -210,11 +226,14 @@ class _Writer(DataSourceWriter):
             pass
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        shutil.rmtree(self.own, ignore_errors=True)
+        # Tasks may still run: once the folder has another name, they can open no file in it.
+        gone = os.path.join(self.path, f"_aborted-{self.job}")
+        os.rename(self.own, gone)
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class JsonStream(DataSource):
-    """``json_stream``: reads with the options ``ranges`` and ``level``, writes rows of ``value``."""
+    """``json_stream``: reads with the options ``ranges``, ``level`` and ``tasks``, writes rows of ``value``."""
 
     @classmethod
     def name(cls) -> str:
@@ -224,12 +243,14 @@ class JsonStream(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(json.loads(self.options["ranges"]), int(self.options.get("level", "0")))
+        return _Reader(json.loads(self.options["ranges"]), int(self.options.get("level", "0")), int(self.options.get("tasks", "1")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         if "value" not in schema.fieldNames():
             raise ValueError("a column named value is written")
-        return _Writer(local(self.options["path"]), overwrite)
+        w = _Writer(local(self.options["path"]), overwrite)
+        os.makedirs(w.own)
+        return w
 
 
 def read(spark: SparkSession, path: str, size: int = RANGE, level: int = 0) -> DataFrame:
@@ -237,7 +258,9 @@ def read(spark: SparkSession, path: str, size: int = RANGE, level: int = 0) -> D
     spark.dataSource.register(JsonStream)
     at = local(path)
     found = sorted(os.path.join(at, x) for x in os.listdir(at) if not x.startswith(("_", "."))) if os.path.isdir(at) else [at]
-    return spark.read.format("json_stream").option("ranges", json.dumps(plan(spark, found, size) if found else [])).option("level", str(level)).load()
+    ranges = plan(spark, found, size) if found else []
+    count = max(spark.sparkContext.defaultParallelism, -(-sum(stop - start for _, start, stop, _, _ in ranges) // RANGE))
+    return spark.read.format("json_stream").option("ranges", json.dumps(ranges)).option("level", str(level)).option("tasks", str(count)).load()
 
 
 def write(values_: DataFrame, path: str, mode: str = "append") -> None:
