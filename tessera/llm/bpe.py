@@ -30,6 +30,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
+from tessera.llm.memory import trimmed
+
 SHORT = 256
 CACHE_WORDS = 150_000
 _NONE = 1 << 30
@@ -301,6 +303,11 @@ class _Cache(dict):
                 self[key] = out
         return out
 
+    def forget(self) -> None:
+        """Drop all words: a worker that waits for other stages' tasks must not hold them."""
+        self.clear()
+        self.older = {}
+
     def age(self) -> None:
         if len(self) > CACHE_WORDS:
             self.older = dict(self)
@@ -359,8 +366,9 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids",
             for b in slices(whole, text):
                 out = bpe.encode_many([t or "" for t in b.column(text).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary()), pa.array([len(x) // 4 for x in out], pa.int64())], names=[*b.schema.names, ids, n])
+        bpe.cache.forget()
 
-    return df.mapInArrow(run, _added(df, T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType())))
+    return df.mapInArrow(trimmed(run), _added(df, T.StructField(ids, T.BinaryType()), T.StructField(n, T.LongType())))
 
 
 def decode(df: DataFrame, spec: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm import words as W
 from tessera.llm.components import components
+from tessera.llm.memory import trimmed
 from tessera.llm.staging import Stage
 
 SHINGLE = 5
@@ -231,8 +232,8 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     """docs: doc_id, txt, text.  Gives (doc_id, txt, n, node) and links (a, b) that join all components."""
     if percent < 75:
         raise ValueError("shingle prefixes are laid out for a similarity of 0.75 or more")
-    rows = docs.mapInArrow(_scanned, "key long, node long, doc_id long, txt long, n long, chk long")
-    scan = stage.put("scan", rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "node long, shared long, doc_id long, txt long, n long, chk long"))
+    rows = docs.mapInArrow(trimmed(_scanned), "key long, node long, doc_id long, txt long, n long, chk long")
+    scan = stage.put("scan", rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(trimmed(_shared), "node long, shared long, doc_id long, txt long, n long, chk long"))
     nodes = scan.filter("n is not null").select("doc_id", "txt", "n", "node", "chk")
     # Sets that have 64 bits in common but not 128; about none, even among billions.
     twins = nodes.filter("n > 0").groupBy("node").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).filter("lo <> hi").select("node", F.lit(True).alias("twin"))
@@ -246,7 +247,7 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     alive = alive.select("node", F.col("d.doc_id").alias("doc_id"), F.col("d.txt").alias("txt"))
     same = docs.doc_id.eqNullSafe(alive.doc_id) & (docs.txt == alive.txt)
     chosen = docs.join(alive, same).select("node", "text").dropDuplicates(["node"])
-    sets = stage.put("sets", chosen.mapInArrow(_sets, "node long, n long, bits binary, body binary"))
+    sets = stage.put("sets", chosen.mapInArrow(trimmed(_sets), "node long, n long, bits binary, body binary"))
     stage.drop("scan")
 
     def with_sets(p: DataFrame) -> DataFrame:
@@ -257,12 +258,12 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
         """Of pairs (a, b) those whose sizes and sketches allow ``least`` per cent, to a, b, inter, uni."""
         side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
         near = p.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))
-        return with_sets(near.mapInArrow(_near_enough(least), "a long, b long")).mapInArrow(_compared, "a long, b long, inter long, uni long")
+        return with_sets(near.mapInArrow(trimmed(_near_enough(least)), "a long, b long")).mapInArrow(trimmed(_compared), "a long, b long, inter long, uni long")
 
     linked = 100 * F.col("inter") >= percent * F.col("uni")
     reach = 2 * percent - 100  # per cent of similarity at distance 2d
     # Rarest shingles first: those of one node alone fill a node's prefix without a row.
-    keys = sets.mapInArrow(_keys, "key long, node long")
+    keys = sets.mapInArrow(trimmed(_keys), "key long, node long")
     common = keys.groupBy("key").agg(F.count("*").alias("df")).filter("df > 1")
     by_node = keys.join(common, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("ks")).join(sets.select("node", "n"), "node")
     # Of two linked nodes the smaller has its first common shingle among its first
@@ -314,7 +315,7 @@ def link_nodes(docs: DataFrame, stage: Stage, percent: int = 75) -> tuple[DataFr
     if not outer.isEmpty():
         inner = star.filter("linked").join(outer.select("a").distinct(), "a", "left_semi").distinct()
         region = outer.select("a", "b", dist, F.lit(False).alias("linked")).unionByName(inner.select("a", "b", dist, F.lit(True).alias("linked")))
-        diff = stage.put("differences", with_sets(region).mapInArrow(_differences(percent), "a long, b long, dist double, linked boolean, token long, take int"))
+        diff = stage.put("differences", with_sets(region).mapInArrow(trimmed(_differences(percent)), "a long, b long, dist double, linked boolean, token long, take int"))
         # The rarest of a region first: what all its nodes differ in comes last, or not at all.
         often = diff.groupBy("a", "token").agg(F.count("*").alias("often"), F.max(~F.col("linked")).alias("outside")).filter("often > 1 and outside")
         shown = diff.join(often, ["a", "token"], "left").withColumn("nth", F.row_number().over(Window.partitionBy("a", "b").orderBy(F.coalesce("often", F.lit(1)), "token")))

@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tessera.llm.memory import trimmed
+
 BUCKETS = 1 << 15
 ALPHA = 0.05
 PENALTY = 2.0
@@ -77,7 +79,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], names=["lang", "bucket", "n"])
 
     learn = df.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
-    rows = learn.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = learn.mapInArrow(trimmed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     found = np.array(rows.column("lang").to_pylist(), dtype=object)
     names = sorted(set(found))
     counts = np.zeros((len(names), BUCKETS))
@@ -145,7 +147,7 @@ def predict(df: DataFrame, names: list[str], model: np.ndarray, text: str = "tex
                 every = pa.array([[{"lang": langs[k], "share": s} for k, s in m] for m in found], kind)
                 yield pa.RecordBatch.from_arrays([*b.columns, main, share, every], names=[*b.schema.names, label, score, parts])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(trimmed(run), T.StructType([*df.schema.fields, *fields]))
 
 
 def held_out(doc_id: Column) -> Column:
