@@ -5,16 +5,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tessera.functions import text
 
+#: Postings that a task gives on at a time, beside the last file's.
+POSTINGS = 20_000
+
 
 def postings(files: DataFrame) -> DataFrame:
-    """term, path, n: how often each index word occurs in a file."""
-    w = F.filter(text.words(F.col("content")), lambda x: (F.length(x) > 2) & ~x.isin(*text.STOP_WORDS))
-    return files.select("path", F.explode(w).alias("term")).groupBy("term", "path").agg(F.count("*").alias("n"))
+    """term, path, n: how often each index word occurs in a file.
+
+    Texts are shuffled once, by path; a file's words are then counted where it lies, where
+    (term, path) rows would be shuffled with a path each.
+    """
+    w = F.filter(F.split(F.lower(F.coalesce("content", F.lit(""))), r"\W+"), lambda x: (F.length(x) > 2) & ~x.isin(*text.STOP_WORDS))
+    words = files.select("path", "content").repartition("path").select("path", F.explode(w).alias("term"))
+    return words.groupBy("term", "path").agg(F.count("*").alias("n"))
 
 
 def postings_with_positions(files: DataFrame) -> DataFrame:
@@ -27,12 +36,21 @@ def postings_with_positions(files: DataFrame) -> DataFrame:
     t = files.select("path", F.lower("content").alias("content"), F.array_distinct(text.terms(F.col("content"))).alias("terms"))
     out = T.StructType([T.StructField("term", T.StringType()), t.schema["path"], T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        def rows() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+            flat = pa.array(np.fromiter((at for x in lists for at in x), dtype=np.int32, count=int(ends[-1])))
+            named = pa.array(paths, kind).take(pa.array(np.repeat(np.arange(len(paths)), many)))
+            return pa.RecordBatch.from_arrays([pa.array(found_terms, pa.string()), named, pa.ListArray.from_arrays(pa.array(ends), flat)], names=["term", "path", "positions"])
+
+        paths, many, found_terms, lists = [], [], [], []
         for b in batches:
-            for path, content, terms in b.itertuples(index=False, name=None):
-                if not len(terms):
+            kind = b.schema.field("path").type
+            for i in range(b.num_rows):
+                path, content, terms = (c[i].as_py() for c in b.columns)
+                if not terms or content is None:
                     continue
                 automaton = ahocorasick.Automaton()
                 for term in terms:
@@ -43,9 +61,17 @@ def postings_with_positions(files: DataFrame) -> DataFrame:
                     at, mine = end - len(term) + 1, found.setdefault(term, [])
                     if not mine or at >= mine[-1] + len(term):
                         mine.append(at)
-                yield pd.DataFrame({"term": list(found), "path": [path] * len(found), "positions": list(found.values())})
-
-    return t.mapInPandas(run, out)
+                paths.append(path)
+                many.append(len(found))
+                found_terms += found
+                lists += found.values()
+                if len(lists) >= POSTINGS:
+                    yield rows()
+                    paths, many, found_terms, lists = [], [], [], []
+        if paths:
+            yield rows()
+
+    return t.mapInArrow(run, out)
 
 
 def save(index: DataFrame, path: str, parts: int | None = None) -> None:
