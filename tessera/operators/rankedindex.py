@@ -7,8 +7,8 @@ scores in it.  A search first reads the best blocks that hold enough postings fo
 the score reached there is a floor, and of the rest only blocks are read whose bound reaches
 it.  What comes out is what a full sort gives.
 
-Files of the index are sorted by term, so both reads open only the row groups of the query's
-terms.  Each saved index has a version; results are kept in a table by query, limit, language,
+Files of the index are runs of blocks by term, and their pages are small, so both reads open
+only the pages of the query's terms.  Each saved index has a version; results are kept in a table by query, limit, language,
 day and version, and read from there when asked for again.
 """
 
@@ -16,17 +16,32 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import itertools
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tessera.functions import text
 from tessera.operators import textindex
 
 BLOCK = 128
 #: Largest factors of age and language.
 FRESHEST, SAME_LANGUAGE = 1.0, 1.2
 KEPT = 100
+META = ("path", "n_chars", "size", "modified", "language")
+ROW = ("path", "n", *META[1:])
+#: Bytes of postings or of texts that a task makes into blocks at a time; blocks it gives on at a time.
+RUN, TEXTS, GIVEN = 64 << 20, 8 << 20, 4096
+#: Bytes that are in words, as ``\\w`` is in Java.
+WORD = np.array([chr(b).isalnum() and b < 128 or b == ord("_") for b in range(256)])
+#: Blocks in a page of a stored file, the least that a search reads of it.
+PAGE = 1000
 
 
 def impact() -> Column:
@@ -36,16 +51,125 @@ def impact() -> Column:
 def blocks(postings: DataFrame, meta: DataFrame, size: int = BLOCK) -> DataFrame:
     """term, block, bound, filled, rows.  postings: term, path, n; meta: path, n_chars, size, modified, language.
 
-    A frequent term's files are ranked in cells by a hash of the path, each of its own blocks,
-    so that no term's postings meet in one task; which blocks a search reads does not change
-    what it finds.
+    Blocks are made where the postings of a file lie, in runs of up to ``RUN`` bytes, so
+    postings are neither shuffled nor sorted over the whole index, and no term's postings meet
+    in one task.  A term has blocks of its own in each run; which blocks a search reads does not
+    change what it finds.  ``block`` tells all blocks apart; a block of postings without an
+    impact has the bound of minus infinity.
     """
-    hits = postings.join(meta, "path").withColumn("impact", impact())
-    many = postings.groupBy("term").agg(F.ceil(F.count("*") / (size * 64)).cast("int").alias("cells"))
-    celled = hits.join(many, "term").withColumn("cell", F.pmod(F.xxhash64("path"), F.col("cells").cast("long")))
-    nth = F.row_number().over(Window.partitionBy("term", "cell").orderBy(F.desc("impact"), "path"))
-    row = F.struct("path", "n", "n_chars", "size", "modified", "language")
-    return celled.withColumn("in_cell", F.floor((nth - 1) / size).cast("long")).groupBy("term", "cell", "in_cell").agg(F.max("impact").alias("bound"), F.count("*").alias("filled"), F.collect_list(row).alias("rows")).select("term", (F.col("in_cell") * F.lit(1 << 20) + F.col("cell")).alias("block"), "bound", "filled", "rows")
+    # Files are fewer than postings, which pass by a table of them unsorted.
+    hits = postings.join(meta.hint("shuffle_hash"), "path").select("term", *META, "n", F.coalesce(impact(), F.lit(float("-inf"))).alias("impact"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for t in _runs(((b, b.nbytes) for b in batches if b.num_rows), RUN):
+            term = t["term"].combine_chunks().dictionary_encode()
+            made = _made(term.dictionary, _places(term.dictionary)[term.indices.to_numpy()], t["impact"].to_numpy(), t, t["n"].combine_chunks(), np.arange(t.num_rows), size, block)
+            block += made.num_rows
+            yield from _given(made)
+
+    return hits.mapInArrow(run, _schema(hits))
+
+
+def blocks_of_files(files: DataFrame, meta: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The same of texts: what ``blocks`` gives of ``textindex.postings(files)``.
+
+    A file's text is given to a task whole and its words are counted there, where postings would
+    pass one by one.  files: path, content.
+    """
+    texts = textindex.texts(files.filter("path IS NOT NULL")).select("path", F.lower("content").alias("content"))
+    hits = texts.join(meta.hint("shuffle_hash"), "path").select("content", *META, F.nullif(F.col("n_chars").cast("double"), F.lit(0.0)).alias("chars"), F.least(F.lit(1.0), F.col("size") / 10000).alias("bonus"), F.lit(0).cast("long").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for t in _runs((x for b in batches for x in _cut(b)), TEXTS):
+            words, file = _words(t["content"].combine_chunks())
+            term = words.dictionary_encode()
+            taken = pc.and_(pc.greater(pc.utf8_length(term.dictionary), 2), pc.invert(pc.is_in(term.dictionary, pa.array(text.STOP_WORDS))))
+            term_of = term.indices.to_numpy()
+            kept = taken.to_numpy(zero_copy_only=False)[term_of]
+            pairs, n = np.unique(_places(term.dictionary)[term_of[kept]] * t.num_rows + file[kept], return_counts=True)
+            terms, file = np.divmod(pairs, t.num_rows)
+            impacts = n / t["chars"].to_numpy()[file] * t["bonus"].to_numpy()[file]
+            made = _made(term.dictionary, terms, np.where(np.isnan(impacts), -np.inf, impacts), t, pa.array(n), file, size, block)
+            block += made.num_rows
+            yield from _given(made)
+
+    return hits.mapInArrow(run, _schema(hits))
+
+
+def _words(texts: pa.StringArray) -> tuple[pa.StringArray, np.ndarray]:
+    """What ``split`` by ``\\W+`` leaves of lower-cased texts, but for empty ones, and the place of each word's text."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    if at[0] == at[-1]:
+        return pa.array([], pa.string()), np.empty(0, dtype=np.int64)
+    data, at = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]], at - at[0]
+    inside = WORD[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    some = at[:-1] < at[1:]  # a word ends with its text
+    first[at[:-1][some]] = inside[at[:-1][some]]
+    last[at[1:][some] - 1] = inside[at[1:][some] - 1]
+    starts = np.flatnonzero(first)
+    ends = np.cumsum(np.concatenate(([0], np.flatnonzero(last) - starts + 1))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(data[inside])), np.searchsorted(at, starts, "right") - 1
+
+
+def _schema(hits: DataFrame) -> T.StructType:
+    row = T.StructType([hits.schema[c] for c in ROW])
+    return T.StructType().add("term", "string").add("block", "long").add("bound", "double").add("filled", "long").add("rows", T.ArrayType(row))
+
+
+def _cut(files: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Files of up to ``TEXTS`` bytes of text, or one with more, and how many bytes they have."""
+    ends, start = np.cumsum(pc.binary_length(files["content"]).to_numpy(), dtype=np.int64), 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + TEXTS, "right")))
+        yield files.slice(start, end - start), int(ends[end - 1] - before)
+        start = end
+
+
+def _runs(parts: Iterator[tuple[pa.RecordBatch, int]], most: int) -> Iterator[pa.Table]:
+    """Parts put together while they hold ``most`` bytes at most."""
+    held, used = [], 0
+    for b, n in parts:
+        if held and used + n > most:
+            yield pa.Table.from_batches(held)
+            held, used = [], 0
+        held.append(b)
+        used += n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _places(dictionary: pa.Array) -> np.ndarray:
+    """Of each term its place among all in order."""
+    out = np.empty(len(dictionary), dtype=np.int64)
+    out[pc.sort_indices(dictionary).to_numpy()] = np.arange(len(out))
+    return out
+
+
+def _made(dictionary: pa.Array, terms: np.ndarray, impacts: np.ndarray, files: pa.Table, n: pa.Array, file: np.ndarray, size: int, first: int) -> pa.RecordBatch:
+    """Blocks by term and falling impact, of postings given as places of terms, impacts, counts and rows of ``files``."""
+    order = np.lexsort((-impacts, terms))
+    terms, impacts, file = terms[order], impacts[order], pa.array(file[order])
+    new = np.flatnonzero(np.diff(terms, prepend=-1))
+    in_term = np.arange(len(terms)) - np.repeat(new, np.diff(new, append=len(terms)))
+    starts = np.flatnonzero(in_term % size == 0)
+    ends = np.append(starts, len(terms)).astype(np.int32)
+    rows = pa.StructArray.from_arrays([n.take(pa.array(order)) if c == "n" else files[c].combine_chunks().take(file) for c in ROW], names=list(ROW))
+    named = dictionary.take(pc.sort_indices(dictionary)).take(pa.array(terms[starts]))
+    return pa.RecordBatch.from_arrays(
+        [named, pa.array(first + np.arange(len(starts))), pa.array(impacts[starts]), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), rows)],
+        names=["term", "block", "bound", "filled", "rows"],
+    )
+
+
+def _given(made: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for i in range(0, made.num_rows, GIVEN):
+        yield made.slice(i, GIVEN)
 
 
 @dataclass
@@ -68,9 +192,15 @@ class Index:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def save(self, postings: DataFrame, meta: DataFrame, size: int = BLOCK) -> Index:
+        return self._store(blocks(postings, meta, size))
+
+    def save_files(self, files: DataFrame, meta: DataFrame, size: int = BLOCK) -> Index:
+        """The same from texts: path, content."""
+        return self._store(blocks_of_files(files, meta, size))
+
+    def _store(self, made: DataFrame) -> Index:
         version = self.version() + 1
-        b = blocks(postings, meta, size)
-        b.repartitionByRange("term").sortWithinPartitions("term", F.desc("bound"), "block").write.mode("overwrite").parquet(f"{self.path}/blocks")
+        made.write.mode("overwrite").option("parquet.page.row.count.limit", str(PAGE)).parquet(f"{self.path}/blocks")
         self.spark.range(1).select(F.lit(version).alias("version")).write.mode("overwrite").parquet(f"{self.path}/version")
         return self
 
@@ -95,8 +225,8 @@ class Index:
             found = scored(read).orderBy(F.desc("score"), "path", "term").limit(limit)
             if len(best) <= few:
                 break
-            floor = found.agg(F.min("score"), F.count("*")).first()
-            if floor[1] == limit and floor[0] is not None and best[few] * most < floor[0]:
+            floor = found.agg(F.min(F.coalesce("score", F.lit(float("-inf")))), F.count("*")).first()
+            if floor[1] == limit and best[few] * most < floor[0]:
                 break
             few *= 2
         self.reads = Reads(read.count(), own.count())

@@ -15,6 +15,11 @@ from tessera.functions import text
 POSTINGS = 20_000
 
 
+def texts(files: DataFrame) -> DataFrame:
+    """path, content: a path that comes twice is one file of all its texts."""
+    return files.groupBy("path").agg(F.concat_ws(" ", F.collect_list("content")).alias("content"))
+
+
 def postings(files: DataFrame) -> DataFrame:
     """term, path, n: how often each index word occurs in a file.
 
