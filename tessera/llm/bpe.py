@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, types as T
 from tessera.llm.memory import trimmed
 
 SHORT = 256
-CACHE_WORDS = 150_000
+CACHE_WORDS = 50_000
 _NONE = 1 << 30
 #: A part that is in no pair; rows of the matrices that merge in step.
 _PAD = (1 << 20) - 1
@@ -108,7 +108,7 @@ class WordBpe:
         self.pair_rank = np.array([*map(self.rank.get, at.tolist()), _NONE], dtype=np.int32)
         self.made_of = np.array(self.made, dtype=np.int64)
         self.first = np.array([self.inner, self.final], dtype=np.int64)
-        self.cache = _Cache(self.merged)
+        self.cache = _Cache(self.packed)
         self._tok = None
 
     # -- one word ---------------------------------------------------------------------
@@ -223,27 +223,24 @@ class WordBpe:
         pieces = self._tok.pre_tokenizer.pre_tokenize_str(self._tok.normalizer.normalize_str(text))
         return [bytes(map(self.by_symbol.__getitem__, p)).decode() for p, _ in pieces]
 
-    def merged(self, chunk: str) -> bytes:
-        """Ids of lower-case plain characters without white space: no word reaches beyond them."""
-        return b"".join(array("I", self.merge(w.encode())).tobytes() for w in _WORDS.findall(chunk))
+    def packed(self, word: str) -> bytes:
+        """Ids of one word of any length."""
+        return array("I", self.merge(word.encode())).tobytes()
 
     def word(self, word: str) -> bytes:
         """Ids of one word of any characters."""
         out = self.cache.get(word) or self.cache.revived(word)
         if out is None:
-            out = array("I", self.merge(word.encode())).tobytes()
+            out = self.packed(word)
             if len(word) <= SHORT:
                 self.cache[word] = out
         return out
 
-    def learn(self, chunks: list[str]) -> None:
-        """Put what short chunks lack in the cache there, all their new words merged in step."""
+    def learn(self, words: list[str]) -> None:
+        """Put what short words lack in the cache there, all new ones merged in step."""
         self.cache.age()
-        new = {c: _WORDS.findall(c) for c in chunks if c not in self.cache and len(c) <= SHORT // 4 and not self.cache.revived(c)}
-        words = list({w for ws in new.values() for w in ws if w not in self.cache})
-        self.cache.update(zip(words, self.merge_many([w.encode() for w in words])))
-        look = self.cache.__getitem__
-        self.cache.update((c, b"".join(map(look, ws))) for c, ws in new.items() if len(ws) > 1)
+        new = [w for w in words if w not in self.cache and len(w) <= SHORT // 4 and not self.cache.revived(w)]
+        self.cache.update(zip(new, self.merge_many([w.encode() for w in new])))
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -252,7 +249,7 @@ class WordBpe:
         return b"".join(self.special[p].to_bytes(4, "little") if p in self.special else b"".join(map(self.word, self.words(p))) for p in self.marks.split(text))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """``encode`` of each text; white-space chunks of plain ones are looked up once for all."""
+        """``encode`` of each text; the distinct words of plain ones are looked up once for all."""
         out: list[bytes] = [b""] * len(texts)
         plain = []
         for i, t in enumerate(texts):
@@ -260,19 +257,22 @@ class WordBpe:
                 plain.append(i)
             else:
                 out[i] = self.encode(t)
-        lists = pc.utf8_split_whitespace(pa.array([texts[i].lower() for i in plain], pa.large_string()))
-        coded = lists.flatten().dictionary_encode()
-        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self.learn(chunks)
-        packed = list(map(self.cache.__getitem__, chunks))
+        if not plain:
+            return out
+        coded, last = plain_words(_BETWEEN.join(texts[i] for i in plain).lower().encode())
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.learn(words)
+        packed = list(map(self.cache.__getitem__, words))
+        del words, coded
         ids = np.frombuffer(b"".join(packed), dtype="<u4")
-        size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-        begin, length = np.cumsum(size) - size, size[at]
-        ends = np.cumsum(length)
+        # A slice has fewer than 2^31 ids: a text has fewer bytes, and a word no more ids than bytes.
+        size = np.fromiter(map(len, packed), dtype=np.int32, count=len(packed)) // 4
+        begin, length = np.cumsum(size, dtype=np.int32) - size, size[at]
+        ends = np.cumsum(length, dtype=np.int32)
         where = np.repeat(begin[at] - ends + length, length)
-        where += np.arange(len(where))
-        flat, ends = ids[where], np.append(0, ends)[lists.offsets.to_numpy()]
-        for i, x, y in zip(plain, ends.tolist(), ends[1:].tolist()):
+        where += np.arange(len(where), dtype=np.int32)
+        flat, ends = ids[where], np.append(0, ends)[last]
+        for i, x, y in zip(plain, [0, *ends.tolist()], ends.tolist()):
             out[i] = flat[x:y].tobytes()
         return out
 
@@ -283,6 +283,45 @@ class WordBpe:
         return b" ".join(map(self.token.__getitem__, a))
 
 
+#: Stands between plain texts, and in none.
+_BETWEEN = "\x1c"
+_SPACE, _LETTER, _DIGIT, _SIGN = range(4)
+_KIND = np.full(256, _SIGN, dtype=np.uint8)
+_KIND[[*range(9, 14), 32, 28]] = _SPACE
+_KIND[[*range(97, 123), 0xC3, 0xC4, 0xC5]] = _LETTER
+_KIND[48:58] = _DIGIT
+
+
+def plain_words(text: bytes) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What ``_WORDS`` finds in lower-case plain texts with ``_BETWEEN`` them, and how many words end with each text.
+
+    All at once: a word begins where the kind of character changes and at every digit.  Of two
+    bytes the first tells the kind, but for the signs of multiplication and division.
+    """
+    b = np.frombuffer(text + b"\x1c  ", dtype=np.uint8)
+    kind = _KIND[b]
+    second = np.flatnonzero((b & 0xC0) == 0x80)
+    sign = second[(b[second - 1] == 0xC3) & ((b[second] == 0x97) | (b[second] == 0xB7))]
+    kind[sign - 1] = _SIGN
+    kind[second] = kind[second - 1]
+    held = kind != _SPACE
+    begins = np.append(True, kind[1:] != kind[:-1]) & held | (kind == _DIGIT)
+    # An apostrophe that begins a word takes certain letters along.
+    quote = np.flatnonzero((b == 0x27) & begins)
+    one, two = b[quote + 1], b[quote + 2]
+    short = np.isin(one, np.frombuffer(b"stmd", dtype=np.uint8))
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    taken = np.append(quote[short] + 1, quote[long] + 1)
+    after = np.append(quote[short] + 2, quote[long] + 3)
+    begins[taken] = False
+    begins[after] |= kind[after] == _LETTER
+    at = np.flatnonzero(begins)
+    last = np.searchsorted(at, np.flatnonzero(b == 0x1C))
+    offsets = np.append(np.flatnonzero(begins[held]), held.sum()).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(b[held]))
+    return words.dictionary_encode(), last
+
+
 class _Cache(dict):
     """Ids by string, in two generations: what the younger one lacks is taken from the older before it is made."""
 
@@ -310,6 +349,7 @@ class _Cache(dict):
 
     def age(self) -> None:
         if len(self) > CACHE_WORDS:
+            self.older = {}  # before the copy is made, not after
             self.older = dict(self)
             self.clear()
 
@@ -341,7 +381,7 @@ def _added(df: DataFrame, *fields: T.StructField) -> T.StructType:
 
 #: Rows and bytes of a batch that are in Python objects at a time.
 _SLICE = 1024
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 19
 
 
 def slices(b: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 from tokenizers import Tokenizer
@@ -38,6 +40,33 @@ def test_bpe_equals_the_library(spark):
     assert bpe.decode(bpe.encode(twice, spec), spec).count() == 2 and bpe.decode(bpe.encode(df.limit(0), spec), spec).count() == 0
 
 
+def test_bpe_worker_holds_little():
+    """Words that nearly all differ fill the cache as far as it goes; what a worker allocates stays small."""
+    rnd = random.Random(3)
+    texts = [" ".join(f"{rnd.choice('abcdefgh')}{rnd.getrandbits(40):x}".translate(str.maketrans("0123456789", "ghijklmnop")) + rnd.choice([",", ".", ""]) for _ in range(300)) for _ in range(2000)]
+    own, batch = bpe.WordBpe(bpe.read_vocabulary(PATH)), pa.record_batch([pa.array(texts)], names=["text"])
+    tracemalloc.start()
+    try:
+        for b in bpe.slices(batch, "text"):
+            own.encode_many(b.column("text").to_pylist())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40e6, most
+
+
+def test_bpe_words_of_many_texts():
+    """The words of plain texts found at once are those that the pattern finds in each."""
+    rnd = random.Random(4)
+    bits = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "r", "l", "v", "e", "é", "×", "÷", "À", "ž", "¡", "®", "­", "_", "1", "23", " ", "\n", "!", "ab", "'RE", "\x0b", "\x00", "\x7f", "'sé"]
+    for _ in range(3000):
+        texts = ["".join(rnd.choices(bits, k=rnd.randint(0, 12))) for _ in range(rnd.randint(1, 4))]
+        coded, last = bpe.plain_words(bpe._BETWEEN.join(texts).lower().encode())
+        want = [bpe._WORDS.findall(t.lower()) for t in texts]
+        assert coded.to_pylist() == [w for x in want for w in x]
+        assert last.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
 def repeats(rows):
     first, words = {}, [(t or "").encode().split() for _, t in rows]
     last = 1 << 62
