@@ -46,11 +46,10 @@ def health(chunks: DataFrame) -> DataFrame:
     return analytics.live_counts(chunks).withColumn("status", F.lit("ok"))
 
 
-def reconstruct_prompt(requests: DataFrame, scored: DataFrame, budget: int, affordable: Column) -> DataFrame:
-    """For each request: intent, chosen and compressed context as prompt, tokens saved, model.
+def contexts(scored: DataFrame, budget: int) -> DataFrame:
+    """For each query_id: its chosen and compressed candidates as ``context``, their number and tokens.
 
-    requests: id, prompt.  scored: query_id, id, path, content, language, kind, signature,
-    start_line, end_line, score.
+    scored: query_id, id, path, content, language, kind, signature, start_line, end_line, score.
     """
     dense = selection.with_density(scored)
     chosen = selection.select_within(dense, budget, by="query_id", min_score=0.3, diversity=True)
@@ -58,9 +57,21 @@ def reconstruct_prompt(requests: DataFrame, scored: DataFrame, budget: int, affo
     full = compression.compress(chosen.join(body, ["query_id", "id"]), F.greatest(F.lit(1), F.floor(F.lit(budget) / 20)))
     text_of = selection.prompt(full.drop("content").withColumnRenamed("compressed", "content"), by="query_id")
     sums = full.groupBy("query_id").agg(F.count("*").alias("chunks"), F.sum("original_tokens").alias("original"), F.sum("compressed_tokens").alias("optimized"))
-    out = routing.detect(requests).join(text_of.withColumnRenamed("prompt", "context"), F.col("id") == F.col("query_id")).drop("query_id")
-    out = out.join(sums, F.col("id") == F.col("query_id")).drop("query_id")
+    return text_of.withColumnRenamed("prompt", "context").join(sums, "query_id")
+
+
+def answer(requests: DataFrame, known: DataFrame, affordable: Column) -> DataFrame:
+    """For each request: intent, the context of its query_id, tokens saved, model.
+
+    requests: id, prompt, query_id.  known: ``contexts``; requests with the same candidates share one.
+    """
+    out = routing.detect(requests).join(known, "query_id").drop("query_id")
     return out.withColumn("savings", selection.savings(F.col("original"), F.col("optimized"))).withColumn("model", routing.route(F.col("optimized"), F.col("complexity"), affordable))
 
 
-__all__ = ["chat_context", "explain_usage", "get_chunk", "get_context", "health", "list_indexed_files", "paths", "reconstruct_prompt", "search_repo", "suggest", "text", "tokens"]
+def reconstruct_prompt(requests: DataFrame, scored: DataFrame, budget: int, affordable: Column) -> DataFrame:
+    """``answer`` for requests (id, prompt) that each have candidates of their own: query_id in ``scored`` is the request's id."""
+    return answer(requests.withColumn("query_id", F.col("id")), contexts(scored, budget), affordable)
+
+
+__all__ = ["answer", "chat_context", "contexts", "explain_usage", "get_chunk", "get_context", "health", "list_indexed_files", "paths", "reconstruct_prompt", "search_repo", "suggest", "text", "tokens"]

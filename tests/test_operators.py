@@ -240,3 +240,37 @@ def test_reconstructed_prompts_equal_a_loop(spark):
         mine = [(i, s, -(-len(c) // 3)) for k, i, _, c, s in chunks if k == q]
         want = greedy(mine, 600, 0.3, None)
         assert out[q].chunks == len(want) and all(f"## /f{i}\n" in out[q].context for i in want)
+
+
+def test_contexts_of_a_label_do_not_travel_with_each_prompt(spark, tmp_path):
+    """Each user prompt has the greedy choice among the twenty best of its label, and disk does not grow by contents a prompt."""
+    import os
+
+    from tessera.plans import q_search
+
+    rnd = random.Random(6)
+    texts = {i: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz \n", k=rnd.randint(300, 3000))) for i in range(400)}
+    labels = {i: rnd.choice([0, 1, 2, 3, 5, 12]) for i in range(20, 450)}
+    said = [(c, t, *rnd.choice([("user", "fix the bug"), ("user", "explain this"), ("assistant", "done")])) for c in range(600) for t in range(6)]
+    spark.createDataFrame([(i, x, "en", "s") for i, x in texts.items()], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0], x) for i, x in (*labels.items(), (0, None))], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([*said, (None, 1, "user", "x"), (-1, 0, "user", "x")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+
+    def sizes(*roots):
+        return {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for root in roots for at, _, names in os.walk(root) for f in names}
+
+    local = [str(x) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    before = sizes(*local)
+    out = q_search.reconstruct(spark, str(tmp_path)).collect()
+    taken = sum(n for f, n in sizes(*local).items() if f not in before)
+
+    want = {}
+    for label in (0, 1, 2, 3, 5):
+        mine = sorted((((label * 97 + i * 31) % 100 / 100, i) for i in texts if labels.get(i) == label), key=lambda x: (-x[0], x[1]))[:20]
+        chosen = greedy([(i, s, -(-len(texts[i]) // 3)) for s, i in mine], 6000, 0.3)
+        want[label] = (len(chosen), sum(-(-len(texts[i]) // 3) for i in chosen))
+    intents = {"fix the bug": "bug_fix", "explain this": "explain"}
+    asked = [(c * 1000 + t, intents[x]) for c, t, role, x in said if role == "user"]
+    assert sorted((r.id, r.intent, r.chunks, r.original) for r in out if r.id >= 0) == sorted((i, intent, *want[i % 10]) for i, intent in asked if i % 10 in want)
+    assert [r.id for r in out if r.id < 0] == [-1000]
+    assert taken < sum(sizes(tmp_path).values())
